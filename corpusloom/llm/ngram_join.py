@@ -8,10 +8,15 @@ read more, but asks for more shared shingles before a pair is verified. A pair i
 The global order comes from a table of BUCKETS counters for hashed shingles, summed over all documents: its size is
 fixed, so it can be sent to all tasks, and any order gives right results. Equal sets are one class from the start.
 
-A shingle that many classes share would bring a square of pairs. So each round pairs every class with one class of each
-of its shingles, the hub, verifies these, and merges what links. Only pairs whose ends are still in different
-components matter afterwards. When few such pairs are left, all are listed, held to the multi-match rule and verified.
-Links within a component, which would change no result, are the only ones left out.
+The count of shared prefix shingles also bounds the overlap: what is left of either set after its prefix is all that can
+be added. So a pair is asked for ``t_xy - rest`` of them, with t_xy the overlap that its two sizes need, and a class that
+has fewer prefix shingles in common with any other than a pair asks for can't be in it.
+
+A shingle that many classes share would bring a square of pairs. So each of HUB_ROUNDS rounds pairs every class with one
+class of each of its shingles, the hub, verifies the pairs that may link, and merges what links. The first hubs are the
+classes with the least of their own, as the original of many near copies is. Only pairs whose ends are still in
+different components matter afterwards; all of them are counted, held to what they are asked for, and verified. Links
+within a component, which would change no result, are the only ones left out.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, fitted
@@ -30,8 +35,8 @@ SHINGLE, PERCENT = 5, 80
 BUCKETS, MOST_MATCHES = 1 << 17, 4
 #: Cost of verifying one pair, in reads of a prefix entry, for each shingle of the document.
 VERIFY_COST = 0.2
-#: Rounds of hubs go on while the pairs left are more than this many times the shared prefix entries.
-PAIRS_PER_ENTRY, MOST_ROUNDS = 2, 6
+#: Rounds of hubs before all remaining pairs are looked at.
+HUB_ROUNDS = 2
 #: Ids up to which those of candidates are broadcast to fetch their text.
 FETCH_ROWS = 2_000_000
 
@@ -54,7 +59,7 @@ class Shingler:
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Sorted distinct hashes of the k-word shingles of text; of the whole sequence if it has fewer words."""
-        from xxhash import xxh3_64_intdigest as digest
+        from xxhash import xxh3_64_digest as digest
 
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
         if not words:
@@ -62,19 +67,19 @@ class Shingler:
         seen = self.seen
         if len(seen) > self.remember:
             seen.clear()
-        hashed = np.empty(len(words), np.uint64)
         try:
-            hashed[:] = [seen[w] for w in words]
+            raw = b"".join([seen[w] for w in words])
         except KeyError:
             for w in words:
                 if w not in seen:
                     seen[w] = digest(w)
-            hashed[:] = [seen[w] for w in words]
-        n = max(1, len(words) - self.k + 1)
-        total = np.full(n, np.uint64(min(len(words), self.k)))
-        for i in range(min(self.k, len(words))):
-            total = _mix(total + hashed[i : i + n] * _ODD[i % 5] + np.uint64(i))
-        return np.unique(total)
+            raw = b"".join([seen[w] for w in words])
+        hashed, k = np.frombuffer(raw, np.uint64), min(len(words), self.k)
+        n = len(words) - k + 1
+        total = np.full(n, np.uint64(k))
+        for i in range(k):
+            total += hashed[i : i + n] * (_ODD[i % 5] + np.uint64(2 * (i // 5)))
+        return np.unique(_mix(total))
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -85,13 +90,15 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
     """Counts of shingles over all documents by BUCKETS hashed counters."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, total = Shingler(), np.zeros(BUCKETS, np.int64)
+        shingles, total, held, n = Shingler(), np.zeros(BUCKETS, np.int64), [], 0
         for b in batches:
             for text in b["text"]:
-                if len(h := shingles(text)):
-                    total += np.bincount(_bucket(h), minlength=BUCKETS) if len(h) > BUCKETS // 8 else 0
-                    if len(h) <= BUCKETS // 8:
-                        np.add.at(total, _bucket(h), 1)
+                held.append(_bucket(shingles(text)))
+                n += len(held[-1])
+                if n > 1 << 20:
+                    total += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                    held, n = [], 0
+        total += np.bincount(np.concatenate([*held, np.empty(0, np.int64)]), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
 
@@ -155,8 +162,14 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("cid", "text").mapInPandas(sets, "cid long, set array<long>")
 
 
-def _near(n_a: str, n_b: str, percent: int) -> str:
-    return f"100 * least({n_a}, {n_b}) >= {percent} * greatest({n_a}, {n_b})"
+def _asked(x: str, y: str, percent: int) -> str:
+    """Prefix shingles that classes x and y must share if they link."""
+    return f"(({percent} * ({x}.n + {y}.n) + {99 + percent}) div {100 + percent} - greatest({x}.rest, {y}.rest))"
+
+
+def _may_link(x: str, y: str, percent: int) -> Column:
+    size = f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
+    return F.expr(f"{x}.label <> {y}.label and {size} and least({x}.common, {y}.common) >= greatest(least({x}.matches, {y}.matches), {_asked(x, y, percent)})")
 
 
 def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -172,50 +185,33 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     salt = 0
     while True:  # a class is a long from here on; another salt if ever two classes should get the same
         cid = F.xxhash64("class", F.lit(salt))
-        classes = sig.where("class is not null").groupBy(cid.alias("cid")).agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("matches").alias("matches"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+        by = sig.where("class is not null").groupBy(cid.alias("cid"))
+        classes = by.agg(
+            F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("matches").alias("matches"),
+            F.min(F.col("n") - F.size("prefix")).alias("rest"), F.min("class").alias("lo"), F.max("class").alias("hi"),
+        )
         classes = scratch.keep(classes)
         if not classes.where("lo <> hi").limit(1).count():
             break
         salt += 1
     sig = sig.withColumn("cid", F.when(F.col("class").isNotNull(), cid))
-    entries = sig.select(F.explode("prefix").alias("h"), "cid").repartition("h")
-    mine = entries.groupBy("h").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count_distinct("cid").alias("size")).where("lo <> hi")
-    shared = scratch.keep(entries.distinct().join(mine.select("h", "size"), "h"))
-    info = classes.select("cid", "n", "matches")
-    labels = None  # (cid, label) of the classes that have links
-    sets = _Sets(docs, classes, scratch)
-    tested = None
-    n_entries = shared.count()
-    for turn in range(MOST_ROUNDS + 1):
-        now = shared if labels is None else _labelled(shared, labels)
-        if labels is None:
-            now = now.withColumn("label", F.col("cid"))
-        counts = now.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count(F.lit(1)).alias("parts"))
-        open_ = scratch.keep(now.join(counts.where("parts > 1").select("h", ((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs"), "k"), "h"))
-        left = open_.groupBy("h").agg(F.first("pairs").alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
-        if turn and (left <= PAIRS_PER_ENTRY * n_entries or turn == MOST_ROUNDS):
-            break
-        if not left:
-            break
-        # the hub of a shingle: its first class in an order that changes with each round
-        hubs = open_.groupBy("h").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("o"), "cid", "label")).alias("hub"))
-        star = open_.join(hubs, "h").where("label <> hub.label")
-        star = star.groupBy("cid", F.col("hub.cid").alias("hub")).agg(F.count(F.lit(1)).alias("shared"))
-        star = star.join(info.select("cid", "n"), "cid").join(info.select(F.col("cid").alias("hub"), F.col("n").alias("m")), "hub").where(_near("n", "m", percent))
-        star = star.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"), "shared", "cid", "hub")
-        if turn == 0:  # one hub each at first, that with most shared entries
-            star = star.groupBy("cid").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "hub")).alias("p")).select("p.a", "p.b")
-        star = star.select("a", "b").distinct()
-        if tested is not None:
-            star = star.join(tested, ["a", "b"], "left_anti")
-        star = scratch.keep(star)
-        tested = star if tested is None else scratch.keep(tested.union(star))
-        labels = _merge(labels, sets.linked(star, info, percent), scratch)
-    if left:
-        pairs = _all_pairs(open_, info, percent)
+    entries = sig.select(F.explode("prefix").alias("h"), "cid").repartition("h").distinct()
+    of = Window.partitionBy("h")
+    entries = scratch.keep(entries.where("cid is not null").withColumn("lo", F.min("cid").over(of)).withColumn("hi", F.max("cid").over(of)).where("lo <> hi").select("h", "cid"))
+    # common: prefix shingles that a class shares with any other
+    info = entries.groupBy("cid").agg(F.count(F.lit(1)).alias("common")).join(classes, "cid").select("cid", "n", "matches", "rest", "common")
+    entries = scratch.keep(entries.join(info, "cid"))
+    labels, tested = None, None  # (cid, label) of the classes that have links; pairs that were verified
+    for turn in range(HUB_ROUNDS + 1):
+        now = _labelled(entries, labels)
+        parts = now.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
+        now = scratch.keep(now.join(parts, "h"))
+        pairs = _with_hubs(now, turn, percent) if turn < HUB_ROUNDS else _all_pairs(now, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        labels = _merge(labels, sets.linked(scratch.keep(pairs), info, percent), scratch)
+        pairs = scratch.keep(pairs)
+        tested = pairs if tested is None else tested.union(pairs)
+        labels = _merge(labels, _linked(docs, classes, pairs, percent, scratch), scratch)
     named = classes.select("cid", "doc_id")
     if labels is not None:
         named = named.join(labels, "cid", "left").select("cid", "doc_id", F.coalesce("label", "cid").alias("label"))
@@ -227,13 +223,14 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return sig.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(named, "cid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    return entries.drop("label").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return entries.withColumn("label", F.col("cid"))
+    return entries.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
 
 
 def _merge(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame | None:
     """labels (cid, label) after links (a, b) between classes."""
-    links = scratch.keep(links)
     if not links.limit(1).count():
         return labels
     if labels is None:
@@ -247,33 +244,32 @@ def _merge(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> Data
     return scratch.keep(old.union(new))
 
 
-def _all_pairs(entries: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in different components that share as many prefix entries as the smaller of their l."""
-    e = entries.join(info, "cid").select("h", "cid", "label", "n", "matches")
-    heads = e.select("h", "label").distinct()
-    meets = heads.alias("x").join(heads.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.label") < F.col("y.label")))
-    meets = meets.select(F.col("x.h").alias("h"), F.col("x.label").alias("label"), F.col("y.label").alias("other"))
-    one = meets.join(e, ["h", "label"]).withColumnsRenamed({"cid": "p", "n": "pn", "matches": "pm"}).drop("label")
-    two = one.join(e.withColumnRenamed("label", "other"), ["h", "other"]).where(_near("pn", "n", percent))
-    met = two.groupBy(F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("pm", "matches")).alias("asked"))
+def _with_hubs(entries: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of a class and the hub of one of its shingles that may link."""
+    own = F.col("n") - F.col("rest") - F.col("common") if turn == 0 else F.lit(0)
+    best = F.struct((own / F.col("n")).alias("own"), F.xxhash64("cid", F.lit(turn)).alias("o"), *[F.col(c) for c in ("cid", "label", "n", "matches", "rest", "common")])
+    hubs = entries.groupBy("h").agg(F.min(best).alias("y"))
+    star = entries.alias("x").join(hubs, "h").where(_may_link("x", "y", percent))
+    return star.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+
+
+def _all_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes in different components that share as many prefix shingles as they are asked for."""
+    x, y = entries.alias("x"), entries.alias("y")
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.cid") < F.col("y.cid")) & _may_link("x", "y", percent))
+    asked = F.expr(f"greatest(least(x.matches, y.matches), {_asked('x', 'y', percent)})")
+    met = met.groupBy(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(asked).alias("asked"))
     return met.where("shared >= asked").select("a", "b")
 
 
-class _Sets:
-    """Verifies pairs of classes on their whole sets; keeps the sets that it has made."""
-
-    def __init__(self, docs: DataFrame, classes: DataFrame, scratch: Scratch):
-        self.docs, self.classes, self.scratch, self.made = docs, classes, scratch, None
-
-    def linked(self, pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-        if self.made is not None:
-            ids = ids.join(self.made, "cid", "left_anti")
-        wanted = self.scratch.keep(self.classes.select("doc_id", "cid").join(ids, "cid", "left_semi"))
-        more = self.scratch.keep(class_sets(self.docs, wanted).dropDuplicates(["cid"]))
-        self.made = more if self.made is None else self.made.union(more)
-        a = self.made.select(F.col("cid").alias("a"), F.col("set").alias("set_a"))
-        b = self.made.select(F.col("cid").alias("b"), F.col("set").alias("set_b"))
-        both = pairs.join(a, "a").join(b, "b")
-        both = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("i"), (F.size("set_a") + F.size("set_b")).alias("s"))
-        return both.where(f"100 * i >= {percent} * (s - i)").select("a", "b")
+def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs that link, by their whole sets."""
+    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    wanted = scratch.keep(classes.select("doc_id", "cid").join(ids, "cid", "left_semi"))
+    sets = scratch.keep(class_sets(docs, wanted))
+    a = sets.select(F.col("cid").alias("a"), F.col("set").alias("set_a")).join(fitted(pairs), "a")
+    both = a.join(sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("i"), (F.size("set_a") + F.size("set_b")).alias("s"))
+    found = scratch.keep(both.where(f"100 * i >= {percent} * (s - i)").select("a", "b"))
+    scratch.drop(sets)
+    return found

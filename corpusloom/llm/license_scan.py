@@ -102,7 +102,8 @@ NOTICES = {
     "Released into the public domain under CC0 1.0.": "CC0-1.0",
 }
 
-_COPYRIGHT = re.compile(r"^[ \t*#/;.-]*(?:copyright\b|\(c\)|©|all rights reserved).*$", re.MULTILINE)
+#: A line that states a copyright; one that only begins with the word, as wrapped licence texts have, isn't.
+_COPYRIGHT = re.compile(r"^[ \t*#/;.-]*(?:copyright[ \t]*(?:\(c\)|©|[:,]?[ \t]*\d{4}|by\b|[\[<])|\(c\)[ \t]|©|all rights reserved\b).*$", re.MULTILINE)
 _MARKER = re.compile(r"^[ \t]*(?:[*#/;>|-]+|\(?(?:\d{1,2}|[a-z])[.)])(?=[ \t])", re.MULTILINE)
 _WORD = re.compile(r"[^\W_]+")
 

@@ -41,15 +41,14 @@ def _key(i: int, n: Column, piece: Column) -> Column:
     return F.xxhash64(F.lit(i), n, piece)
 
 
-def index_keys(line: Column, tau: int) -> Column:
-    """Keys of the tau + 1 segments of a line."""
-    n = F.length(line)
+def index_keys(line: Column, n: Column, tau: int) -> Column:
+    """Keys of the tau + 1 segments of a line of length n; n is best a stored column, as it is used again and again."""
     return F.array(*[_key(i, n, F.substring(line, s, k)) for i, (s, k) in enumerate(_segments(n, tau + 1))])
 
 
-def probe_keys(line: Column, tau: int) -> Column:
-    """Keys of the substrings that can meet a segment of a line that is 0 to tau characters shorter."""
-    n, keys = F.length(line), []
+def probe_keys(line: Column, n: Column, tau: int) -> Column:
+    """Keys of the substrings of a line of length n that can meet a segment of a line 0 to tau characters shorter."""
+    keys = []
     for gap in range(tau + 1):
         m = n - gap
         for i, (s, k) in enumerate(_segments(m, tau + 1)):
@@ -111,10 +110,9 @@ def banded_distance(a: str, b: str, tau: int) -> Column:
 
 
 def near_lines(classes: DataFrame, tau: int, scratch: Scratch) -> DataFrame:
-    """Pairs of distinct lines within distance tau: (first_a, first_b) of classes (line, h, first)."""
-    sig = signature(F.col("line"))
-    index = classes.select("h", sig.alias("sig"), F.length("line").alias("n"), F.explode(index_keys(F.col("line"), tau)).alias("key"))
-    probe = classes.select("h", sig.alias("sig"), F.length("line").alias("n"), F.explode(probe_keys(F.col("line"), tau)).alias("key"))
+    """Pairs of distinct lines within distance tau: (first_a, first_b) of classes (line, h, n, sig, first)."""
+    index = classes.select("h", "sig", "n", F.explode(index_keys(F.col("line"), F.col("n"), tau)).alias("key"))
+    probe = classes.select("h", "sig", "n", F.explode(probe_keys(F.col("line"), F.col("n"), tau)).alias("key"))
     # of two lines of equal length, the one with the larger hash probes
     r, s = index.select("key", "h", "sig", "n").alias("r"), probe.select("key", "h", "sig", "n").alias("s")
     on = (F.col("r.key") == F.col("s.key")) & ((F.col("r.n") < F.col("s.n")) | (F.col("r.n") == F.col("s.n")) & (F.col("r.h") < F.col("s.h")))
@@ -143,7 +141,7 @@ def line_decisions(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS)
     lines = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     long = lines.where(F.length("line") >= min_chars)
     classes = long.groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    classes = scratch.keep(classes.select("line", F.xxhash64("line").alias("h"), "first"))
+    classes = scratch.keep(classes.select("line", F.xxhash64("line").alias("h"), F.length("line").alias("n"), signature(F.col("line")).alias("sig"), "first"))
     near = near_lines(classes, tau, scratch)
     # the later of two near lines goes; the same first place in two lines is possible only where rows share a doc_id
     late = scratch.keep(near.where("first_a <> first_b").select(F.greatest("first_a", "first_b").alias("first")).distinct())

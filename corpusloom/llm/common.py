@@ -6,6 +6,7 @@ Scratch tables stand in for ``checkpoint()``: they cut lineage with Parquet file
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,11 @@ class Scratch:
         self.paths[id(back)] = path, back
         return back
 
+    def release(self) -> None:
+        """Let Spark's cleaner delete the shuffle files behind kept tables now, not when the driver happens to collect."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()

@@ -4,7 +4,7 @@ Two lines are near copies if their edit distance is at most tau. A line of lengt
 a line within distance tau keeps one of them whole, near its place. Each distinct line puts its segments into an index
 keyed by (segment number, length, segment) and probes it, for each length from n - tau to n, with the few substrings
 that can meet a segment of that length (the multi-match-aware windows of the segment-partition join). Candidates whose
-counts of eight common letters differ too much for tau edits leave within the join. The rest are verified with the
+counts of common letters differ too much for tau edits leave within the join. The rest are verified with the
 edit automaton in a band of 2 tau + 1 diagonals, whose tau + 1 rows of states are packed into one long and advanced by
 shifts and masks, a character a step.
 
@@ -22,7 +22,9 @@ from .common import Scratch, fitted
 #: Edits, and characters that a line must have to be looked at.
 TAU, MIN_CHARS = 2, 12
 #: Letters that are counted, modulo 16, into the signature of a line (fixed values; frequent in Latin scripts).
-LETTERS = "etaonirs"
+LETTERS = "etaonirslduc"
+#: More letters, whose counts are compared once the lines of a pair are at hand (fixed values).
+MORE_LETTERS = "mhgbpfvzkqwy.,"
 #: Rows up to which the hashes of candidate lines are broadcast to fetch their text.
 FETCH_ROWS = 2_000_000
 
@@ -47,7 +49,7 @@ def index_keys(line: Column, n: Column, tau: int) -> Column:
 
 
 def probe_keys(line: Column, n: Column, tau: int) -> Column:
-    """Keys of the substrings of a line of length n that can meet a segment of a line 0 to tau characters shorter."""
+    """(key, gap) of the substrings of a line of length n that can meet a segment of a line gap = 0 to tau characters shorter."""
     keys = []
     for gap in range(tau + 1):
         m = n - gap
@@ -56,13 +58,18 @@ def probe_keys(line: Column, n: Column, tau: int) -> Column:
             for off in range(low, high + 1):
                 at = s + off
                 fits = (at >= 1) & (at + k - 1 <= n)
-                keys.append(F.when(fits, _key(i, m, F.substring(line, at, k))))
+                keys.append(F.when(fits, F.struct(_key(i, m, F.substring(line, at, k)).alias("key"), F.lit(gap).alias("gap"))))
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
+def _count(line: Column, letter: str) -> Column:
+    """How often an ASCII letter stands in a line, by bytes."""
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter)))
+
+
 def signature(line: Column) -> Column:
     """Counts of LETTERS modulo 16, four bits each."""
-    parts = [F.shiftleft(((F.length(line) - F.length(F.replace(line, F.lit(c)))) % 16).cast("long"), 4 * i) for i, c in enumerate(LETTERS)]
+    parts = [F.shiftleft((_count(line, c) % 16).cast("long"), 4 * i) for i, c in enumerate(LETTERS)]
     out = parts[0]
     for p in parts[1:]:
         out = out.bitwiseOR(p)
@@ -111,19 +118,23 @@ def banded_distance(a: str, b: str, tau: int) -> Column:
 
 def near_lines(classes: DataFrame, tau: int, scratch: Scratch) -> DataFrame:
     """Pairs of distinct lines within distance tau: (first_a, first_b) of classes (line, h, n, sig, first)."""
-    index = classes.select("h", "sig", "n", F.explode(index_keys(F.col("line"), F.col("n"), tau)).alias("key"))
-    probe = classes.select("h", "sig", "n", F.explode(probe_keys(F.col("line"), F.col("n"), tau)).alias("key"))
+    r = classes.select(F.explode(index_keys(F.col("line"), F.col("n"), tau)).alias("key"), "h", "sig").alias("r")
+    probe = classes.select("h", "sig", F.explode(probe_keys(F.col("line"), F.col("n"), tau)).alias("p"))
+    # equal keys stand for lengths that differ by the gap, which travels above the signature
+    gap_at = 4 * len(LETTERS)
+    s = probe.select("p.key", "h", F.col("sig").bitwiseOR(F.shiftleft(F.col("p.gap").cast("long"), gap_at)).alias("sig")).alias("s")
     # of two lines of equal length, the one with the larger hash probes
-    r, s = index.select("key", "h", "sig", "n").alias("r"), probe.select("key", "h", "sig", "n").alias("s")
-    on = (F.col("r.key") == F.col("s.key")) & ((F.col("r.n") < F.col("s.n")) | (F.col("r.n") == F.col("s.n")) & (F.col("r.h") < F.col("s.h")))
-    on = on & (F.col("s.n") - F.col("r.n") <= tau) & signatures_near(F.col("r.sig"), F.col("s.sig"), tau)
+    on = (F.col("r.key") == F.col("s.key")) & ((F.shiftright("s.sig", gap_at) > 0) | (F.col("r.h") < F.col("s.h")))
+    on = on & signatures_near(F.col("r.sig"), F.col("s.sig"), tau)
     pairs = scratch.keep(r.join(s, on).select(F.col("r.h").alias("ha"), F.col("s.h").alias("hb")).distinct())
     wanted = scratch.keep(pairs.select(F.col("ha").alias("h")).union(pairs.select("hb")).distinct())
     lines = scratch.keep(classes.join(fitted(wanted, FETCH_ROWS), "h", "left_semi"))
     a = lines.select(F.col("h").alias("ha"), F.col("line").alias("line_a"), F.col("first").alias("first_a"))
     b = lines.select(F.col("h").alias("hb"), F.col("line").alias("line_b"), F.col("first").alias("first_b"))
     both = pairs.join(a, "ha").join(b, "hb")
-    return both.withColumn("distance", banded_distance("line_a", "line_b", tau)).where("distance is not null").select("first_a", "first_b", "distance")
+    gaps = [F.abs(_count(F.col("line_a"), c) - _count(F.col("line_b"), c)) for c in MORE_LETTERS]
+    may = sum(gaps[1:], gaps[0]) <= 2 * tau
+    return both.withColumn("distance", F.when(may, banded_distance("line_a", "line_b", tau))).where("distance is not null").select("first_a", "first_b", "distance")
 
 
 def line_decisions(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -142,6 +153,7 @@ def line_decisions(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS)
     long = lines.where(F.length("line") >= min_chars)
     classes = long.groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
     classes = scratch.keep(classes.select("line", F.xxhash64("line").alias("h"), F.length("line").alias("n"), signature(F.col("line")).alias("sig"), "first"))
+    scratch.release()
     near = near_lines(classes, tau, scratch)
     # the later of two near lines goes; the same first place in two lines is possible only where rows share a doc_id
     late = scratch.keep(near.where("first_a <> first_b").select(F.greatest("first_a", "first_b").alias("first")).distinct())

@@ -164,12 +164,17 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _asked(x: str, y: str, percent: int) -> str:
     """Prefix shingles that classes x and y must share if they link."""
-    return f"(({percent} * ({x}.n + {y}.n) + {99 + percent}) div {100 + percent} - greatest({x}.rest, {y}.rest))"
+    return f"(({percent}L * ({x}.n + {y}.n) + {99 + percent}) div {100 + percent} - greatest({x}.rest, {y}.rest))"
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
+    """Whether sizes, counts and marks of shared prefix shingles let two classes of different components link.
+
+    A mark that one class has and the other hasn't stands for a shingle at least that they don't share.
+    """
     size = f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
-    return F.expr(f"{x}.label <> {y}.label and {size} and least({x}.common, {y}.common) >= greatest(least({x}.matches, {y}.matches), {_asked(x, y, percent)})")
+    most = lambda a, b: f"{a}.common - bit_count({a}.m0 & ~{b}.m0) - bit_count({a}.m1 & ~{b}.m1)"
+    return F.expr(f"{x}.label <> {y}.label and {size} and least({most(x, y)}, {most(y, x)}) >= greatest(least({x}.matches, {y}.matches), {_asked(x, y, percent)})")
 
 
 def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -198,8 +203,10 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     entries = sig.select(F.explode("prefix").alias("h"), "cid").repartition("h").distinct()
     of = Window.partitionBy("h")
     entries = scratch.keep(entries.where("cid is not null").withColumn("lo", F.min("cid").over(of)).withColumn("hi", F.max("cid").over(of)).where("lo <> hi").select("h", "cid"))
-    # common: prefix shingles that a class shares with any other
-    info = entries.groupBy("cid").agg(F.count(F.lit(1)).alias("common")).join(classes, "cid").select("cid", "n", "matches", "rest", "common")
+    # common: prefix shingles that a class shares with any other; m0 and m1: 128 marks, one set for each of these
+    marks = [F.expr(f"bit_or(if(h >> 6 & 1 = {i}, shiftleft(1L, cast(h & 63 as int)), 0L))").alias(f"m{i}") for i in range(2)]
+    info = entries.groupBy("cid").agg(F.count(F.lit(1)).cast("int").alias("common"), *marks)
+    info = info.join(classes, "cid").select("cid", F.col("n").cast("int"), "matches", F.col("rest").cast("int"), "common", "m0", "m1")
     entries = scratch.keep(entries.join(info, "cid"))
     labels, tested = None, None  # (cid, label) of the classes that have links; pairs that were verified
     for turn in range(HUB_ROUNDS + 1):
@@ -247,7 +254,7 @@ def _merge(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> Data
 def _with_hubs(entries: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs (a, b) of a class and the hub of one of its shingles that may link."""
     own = F.col("n") - F.col("rest") - F.col("common") if turn == 0 else F.lit(0)
-    best = F.struct((own / F.col("n")).alias("own"), F.xxhash64("cid", F.lit(turn)).alias("o"), *[F.col(c) for c in ("cid", "label", "n", "matches", "rest", "common")])
+    best = F.struct((own / F.col("n")).alias("own"), F.xxhash64("cid", F.lit(turn)).alias("o"), *[F.col(c) for c in ("cid", "label", "n", "matches", "rest", "common", "m0", "m1")])
     hubs = entries.groupBy("h").agg(F.min(best).alias("y"))
     star = entries.alias("x").join(hubs, "h").where(_may_link("x", "y", percent))
     return star.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()

@@ -13,6 +13,7 @@ Text is tokenised once; what is shuffled is a few numbers a piece.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
@@ -33,24 +34,32 @@ END = b"\x00\x00\x00\x00"
 REMEMBER = 400_000
 #: White space to str.split() but not to the tokenizer's pattern.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Characters for which lower case before the tokenizer's own steps might come out differently.
+_OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]")
+#: A place where the tokenizer always begins a new word: after a letter, before an ASCII mark other than an apostrophe.
+_MARK = re.compile("(?<=[a-zß-öø-ÿ])(?=[!-&(-/:-@\\[-`{-~])")
 
 
 class WordIds:
     """Token ids of texts as little-endian bytes, by a tokenizer that never joins words across white space."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core; threads for single words only wait
+
         from tokenizers import Tokenizer
 
         self.tokenizer, self.seen = Tokenizer.from_file(path), {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if _ODD_SPACE.search(text):
             return self._encode([text])[0]
+        if "<|" not in text:  # fewer different words: without their marks, in lower case
+            text = _MARK.sub(" ", text if _OTHER.search(text) else text.lower())
         words, seen = text.split(), self.seen
         try:
             return b"".join([seen[w] for w in words])

@@ -210,7 +210,7 @@ def test_word_ids_match_whole_texts():
     from tokenizers import Tokenizer
 
     tok, ids = Tokenizer.from_file(queries.tokenizer_path()), packing.WordIds(queries.tokenizer_path())
-    for t in ("It's  A TEST x y", "é ́a ΑΣ Σ.", "a\x1cb", "<|endoftext|>x y", "﻿ zero​width", "😀 12 %$", "İstanbul"):
+    for t in ("It's  A TEST x y", "é ́a ΑΣ Σ.", "a\x1cb", "<|endoftext|>x y", "﻿ zero​width", "😀 12 %$", "İstanbul", "a.'s b's. x.y, É. E\u0301.a", "ÀB%%% c***d Ω. ΣΑΣ.", "x<|endoftext|>y. Z."):
         assert ids(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 

@@ -9,7 +9,7 @@ edit automaton in a band of 2 tau + 1 diagonals, whose tau + 1 rows of states ar
 shifts and masks, a character a step.
 
 Only DataFrame and SQL functions are used. Equal lines are collapsed by an aggregation that combines on the map side.
-Candidates are looked up by the hash of the line and verified on the lines themselves.
+Candidates are looked up by the number of the line and verified on the lines themselves.
 """
 
 from __future__ import annotations
@@ -49,13 +49,18 @@ def index_keys(line: Column, n: Column, tau: int) -> Column:
 
 
 def probe_keys(line: Column, n: Column, tau: int) -> Column:
-    """(key, gap) of the substrings of a line of length n that can meet a segment of a line gap = 0 to tau characters shorter."""
+    """(key, gap) of the substrings of a line of length n that can meet a segment of a line gap = 0 to tau characters shorter.
+
+    Those that stand where a segment of a line of equal length stands are left out: they are the index keys.
+    """
     keys = []
     for gap in range(tau + 1):
         m = n - gap
         for i, (s, k) in enumerate(_segments(m, tau + 1)):
             low, high = max(-i, gap - (tau - i)), min(i, gap + (tau - i))
             for off in range(low, high + 1):
+                if not gap and not off:
+                    continue
                 at = s + off
                 fits = (at >= 1) & (at + k - 1 <= n)
                 keys.append(F.when(fits, F.struct(_key(i, m, F.substring(line, at, k)).alias("key"), F.lit(gap).alias("gap"))))
@@ -117,21 +122,28 @@ def banded_distance(a: str, b: str, tau: int) -> Column:
 
 
 def near_lines(classes: DataFrame, tau: int, scratch: Scratch) -> DataFrame:
-    """Pairs of distinct lines within distance tau: (first_a, first_b) of classes (line, h, n, sig, first)."""
-    r = classes.select(F.explode(index_keys(F.col("line"), F.col("n"), tau)).alias("key"), "h", "sig").alias("r")
-    probe = classes.select("h", "sig", F.explode(probe_keys(F.col("line"), F.col("n"), tau)).alias("p"))
+    """Pairs of distinct lines within distance tau: (first_a, first_b, distance) of classes (line, id, n, sig, first).
+
+    The index is shuffled once and joined with itself, for segments in their own place, and with the other probes. The
+    number of a line stands last in the rows, as its high bytes are those of the row before and compress away.
+    """
+    index = classes.select(F.explode(index_keys(F.col("line"), F.col("n"), tau)).alias("key"), "sig", "id")
+    probe = classes.select("id", "sig", F.explode(probe_keys(F.col("line"), F.col("n"), tau)).alias("p"))
     # equal keys stand for lengths that differ by the gap, which travels above the signature
     gap_at = 4 * len(LETTERS)
-    s = probe.select("p.key", "h", F.col("sig").bitwiseOR(F.shiftleft(F.col("p.gap").cast("long"), gap_at)).alias("sig")).alias("s")
-    # of two lines of equal length, the one with the larger hash probes
-    on = (F.col("r.key") == F.col("s.key")) & ((F.shiftright("s.sig", gap_at) > 0) | (F.col("r.h") < F.col("s.h")))
-    on = on & signatures_near(F.col("r.sig"), F.col("s.sig"), tau)
-    pairs = scratch.keep(r.join(s, on).select(F.col("r.h").alias("ha"), F.col("s.h").alias("hb")).distinct())
-    wanted = scratch.keep(pairs.select(F.col("ha").alias("h")).union(pairs.select("hb")).distinct())
-    lines = scratch.keep(classes.join(fitted(wanted, FETCH_ROWS), "h", "left_semi"))
-    a = lines.select(F.col("h").alias("ha"), F.col("line").alias("line_a"), F.col("first").alias("first_a"))
-    b = lines.select(F.col("h").alias("hb"), F.col("line").alias("line_b"), F.col("first").alias("first_b"))
-    both = pairs.join(a, "ha").join(b, "hb")
+    probe = probe.select("p.key", F.col("sig").bitwiseOR(F.shiftleft(F.col("p.gap").cast("long"), gap_at)).alias("sig"), "id")
+    # of two lines of equal length, the one with the larger number probes
+    on = (F.col("r.key") == F.col("s.key")) & signatures_near(F.col("r.sig"), F.col("s.sig"), tau)
+    later = F.col("r.id") < F.col("s.id")
+    ends = [F.col("r.id").alias("ia"), F.col("s.id").alias("ib")]
+    same = index.alias("r").join(index.alias("s"), on & later).select(*ends)
+    moved = index.alias("r").join(probe.alias("s"), on & ((F.shiftright("s.sig", gap_at) > 0) | later)).select(*ends)
+    pairs = scratch.keep(same.union(moved).distinct())
+    wanted = scratch.keep(pairs.select(F.col("ia").alias("id")).union(pairs.select("ib")).distinct())
+    lines = scratch.keep(classes.join(fitted(wanted, FETCH_ROWS), "id", "left_semi"))
+    a = lines.select(F.col("id").alias("ia"), F.col("line").alias("line_a"), F.col("first").alias("first_a"))
+    b = lines.select(F.col("id").alias("ib"), F.col("line").alias("line_b"), F.col("first").alias("first_b"))
+    both = pairs.join(a, "ia").join(b, "ib")
     gaps = [F.abs(_count(F.col("line_a"), c) - _count(F.col("line_b"), c)) for c in MORE_LETTERS]
     may = sum(gaps[1:], gaps[0]) <= 2 * tau
     return both.withColumn("distance", F.when(may, banded_distance("line_a", "line_b", tau))).where("distance is not null").select("first_a", "first_b", "distance")
@@ -152,7 +164,8 @@ def line_decisions(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS)
     lines = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     long = lines.where(F.length("line") >= min_chars)
     classes = long.groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    classes = scratch.keep(classes.select("line", F.xxhash64("line").alias("h"), F.length("line").alias("n"), signature(F.col("line")).alias("sig"), "first"))
+    # numbers are stored with the lines, so a task that runs again can't give others
+    classes = scratch.keep(classes.select("line", F.monotonically_increasing_id().alias("id"), F.length("line").alias("n"), signature(F.col("line")).alias("sig"), "first"))
     scratch.release()
     near = near_lines(classes, tau, scratch)
     # the later of two near lines goes; the same first place in two lines is possible only where rows share a doc_id

@@ -127,7 +127,9 @@ def near_lines(classes: DataFrame, tau: int, scratch: Scratch) -> DataFrame:
     The index is shuffled once and joined with itself, for segments in their own place, and with the other probes. The
     number of a line stands last in the rows, as its high bytes are those of the row before and compress away.
     """
-    index = classes.select(F.explode(index_keys(F.col("line"), F.col("n"), tau)).alias("key"), "sig", "id")
+    # columns that can't be null get no filters of their own in either join, so that Spark sees one and the same shuffle
+    sig, number = F.coalesce("sig", F.lit(0)).cast("long").alias("sig"), F.coalesce("id", F.lit(0)).cast("long").alias("id")
+    index = classes.select(F.explode(index_keys(F.col("line"), F.col("n"), tau)).alias("key"), sig, number)
     probe = classes.select("id", "sig", F.explode(probe_keys(F.col("line"), F.col("n"), tau)).alias("p"))
     # equal keys stand for lengths that differ by the gap, which travels above the signature
     gap_at = 4 * len(LETTERS)

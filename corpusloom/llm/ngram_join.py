@@ -200,7 +200,10 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     marks = [F.expr(f"bit_or(if(h >> 6 & 1 = {i}, shiftleft(1L, cast(h & 63 as int)), 0L))").alias(f"m{i}") for i in range(2)]
     info = entries.groupBy("cid").agg(F.count(F.lit(1)).cast("int").alias("common"), *marks)
     info = info.join(classes, "cid").select("cid", F.col("n").cast("int"), "matches", F.col("rest").cast("int"), "common", "m0", "m1")
-    entries = scratch.keep(entries.join(info, "cid"))
+    plain, entries = entries, scratch.keep(entries.join(info, "cid"))
+    del info  # what holds a plan holds its shuffle files
+    scratch.drop(plain)
+    scratch.release()
     labels, tested = None, None  # (cid, label) of the classes that have links; pairs that were verified
     for turn in range(HUB_ROUNDS + 1):
         now = _labelled(entries, labels)
@@ -210,8 +213,12 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs)
+        scratch.drop(now)
+        del now, parts
+        scratch.release()
         tested = pairs if tested is None else tested.union(pairs)
         labels = _merge(labels, _linked(docs, classes, pairs, percent, scratch), scratch)
+        scratch.release()
     named = classes.select("cid", "doc_id")
     if labels is not None:
         named = named.join(labels, "cid", "left").select("cid", "doc_id", F.coalesce("label", "cid").alias("label"))
@@ -271,5 +278,6 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int,
     both = a.join(sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("i"), (F.size("set_a") + F.size("set_b")).alias("s"))
     found = scratch.keep(both.where(f"100 * i >= {percent} * (s - i)").select("a", "b"))
-    scratch.drop(sets)
+    scratch.drop(sets, wanted)
+    scratch.release()
     return found

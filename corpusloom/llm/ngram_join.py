@@ -196,6 +196,9 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     entries = sig.select(F.explode("prefix").alias("h"), "cid").repartition("h").distinct()
     of = Window.partitionBy("h")
     entries = scratch.keep(entries.where("cid is not null").withColumn("lo", F.min("cid").over(of)).withColumn("hi", F.max("cid").over(of)).where("lo <> hi").select("h", "cid"))
+    # the prefixes are most of what was kept, and are in entries now
+    long, sig = sig, scratch.keep(sig.select("doc_id", "n", "cid"))
+    scratch.drop(long)
     # common: prefix shingles that a class shares with any other; m0 and m1: 128 marks, one set for each of these
     marks = [F.expr(f"bit_or(if(h >> 6 & 1 = {i}, shiftleft(1L, cast(h & 63 as int)), 0L))").alias(f"m{i}") for i in range(2)]
     info = entries.groupBy("cid").agg(F.count(F.lit(1)).cast("int").alias("common"), *marks)
@@ -227,7 +230,7 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         named = named.join(smallest, "label").select("cid", "component_id")
     else:
         named = named.select("cid", F.col("doc_id").alias("component_id"))
-    return sig.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(named, "cid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sig.withColumnRenamed("n", "n_shingles").join(named, "cid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:

@@ -276,11 +276,12 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int,
     """The pairs that link, by their whole sets."""
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     wanted = scratch.keep(classes.select("doc_id", "cid").join(ids, "cid", "left_semi"))
-    sets = scratch.keep(class_sets(docs, wanted))
+    sets = class_sets(docs, wanted)  # made again for each side: cheaper than the disk for a table of sets
     a = sets.select(F.col("cid").alias("a"), F.col("set").alias("set_a")).join(fitted(pairs), "a")
     both = a.join(sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("i"), (F.size("set_a") + F.size("set_b")).alias("s"))
     found = scratch.keep(both.where(f"100 * i >= {percent} * (s - i)").select("a", "b"))
-    scratch.drop(sets, wanted)
+    scratch.drop(wanted)
+    del sets, a, both
     scratch.release()
     return found

@@ -128,8 +128,11 @@ def evidence_found(quote: Column, text: Column, long: int = 60, stride: int = 20
     return (F.size(pieces) > 0) & F.forall(pieces, found)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """V1: cosine similarity; 0 where a norm is 0."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """V1: cosine similarity; 0 where a norm is 0. Norms, sqrt(dot(x, x)), can be given if they are known."""
+    norm = (F.sqrt(dot(a, a)) if norm_a is None else norm_a) * (F.sqrt(dot(b, b)) if norm_b is None else norm_b)
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))

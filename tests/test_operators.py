@@ -131,6 +131,25 @@ def test_ivf_with_all_lists_is_exact(spark, sf):
     assert key(V.knn_ivf(V.ivf_index(e, cents), cents, q, 5, n)) == key(V.knn_exact(e, q, 5))
 
 
+def test_knn_answers_more_queries_than_a_block(spark):
+    import numpy as np
+
+    rng, n = np.random.default_rng(3), 2 * V.QUERY_BLOCK + 300
+    e, q = rng.normal(size=(7, 4)), rng.normal(size=(n, 4))
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(e)], "chunk_id long, embedding array<double>")
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, query array<double>")
+    score = np.round((q @ e.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(e, axis=1), 6)
+    want = {(i, int(c), r) for i in range(n) for r, c in enumerate(np.lexsort((np.arange(7), -score[i]))[:2], 1)}
+    assert {(r.query_id, r.chunk_id, r.rank) for r in V.knn_exact(vectors, queries, 2).collect()} == want
+
+
+def test_more_like_this_sees_all_chunks(spark):
+    n = V.QUERY_BLOCK + 50  # the last chunk alone points where chunk n does
+    rows = [(i, [1.0, 0.0]) for i in range(n - 1)] + [(n - 1, [0.0, 1.0]), (n, [0.0, 2.0])]
+    got = V.more_like_this(spark.createDataFrame(rows, "chunk_id long, embedding array<double>"), range(n), 5).collect()
+    assert [tuple(r) for r in got] == [(n, 1.0)]
+
+
 def test_streams_agree_with_batches(spark, sf, tmp_path):
     stream = T.read_stream(spark, sf, "events")
     T.run_available(T.daily_usage(stream), "daily", str(tmp_path / "a"), "complete")

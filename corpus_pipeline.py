@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.llm.common import Scratch
 from corpusloom.llm.line_dedup import line_dedup
 from corpusloom.llm.mixing import mixed_documents
-from corpusloom.llm.ngram_join import ngram_jaccard_join
+from corpusloom.llm.ngram_join import one_of_each
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.quality import quality_filter
 from corpusloom.llm.queries import table, tokenizer_path
@@ -30,9 +30,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id stays."""
-    groups = ngram_jaccard_join(docs).select("doc_id", "component_id").where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies, one row of the document with the smallest id stays."""
+    return one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -119,7 +119,7 @@ def prefix_of(h: np.ndarray, extra: np.ndarray, percent: int = PERCENT) -> tuple
 
 
 def signatures(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, class, matches, prefix) of each row: class is a 128-bit digest of the set, null if it is empty."""
+    """(doc_id, key, n, class, matches, prefix) of each row: class is a 128-bit digest of the set, null if it is empty."""
     used = counts[counts > 0]
     usual = float(np.median(used)) if len(used) else 0.0
     sent = docs.sparkSession.sparkContext.broadcast(np.maximum(0.0, counts - usual - 3 * np.sqrt(usual + 1)).astype(np.float32))
@@ -137,22 +137,37 @@ def signatures(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> D
                 cls.append(xxh3_128_digest(h.tobytes()) if len(h) else None)
                 ms.append(m)
                 prefixes.append(p.view(np.int64))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": np.array(n, np.int64), "class": cls, "matches": np.array(ms, np.int32), "prefix": prefixes})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "key": b["key"], "n": np.array(n, np.int64), "class": cls, "matches": np.array(ms, np.int32), "prefix": prefixes})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(sign, f"doc_id {kind}, n long, class binary, matches int, prefix array<long>")
+    return docs.select("doc_id", text_key(), "text").mapInPandas(sign, f"doc_id {kind}, key long, n long, class binary, matches int, prefix array<long>")
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cid, set) of the wanted classes (doc_id, cid), from the whole text of one document of each."""
+def text_key() -> Column:
+    """Tells the text of a row apart where doc_id is null or repeated."""
+    return F.xxhash64("text").alias("key")
+
+
+def same_row(x: str, y: str) -> Column:
+    """Whether rows of x and y have the same doc_id, null included, and the same text."""
+    return F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.key") == F.col(f"{y}.key"))
+
+
+def class_sets(docs: DataFrame, wanted: DataFrame, repeated: bool = True) -> DataFrame:
+    """(cid, set) of the wanted classes (doc_id, key, cid), from the whole text of one row of each.
+
+    repeated: whether rows may share doc_id and key; one of them is taken then.
+    """
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler()
         for b in batches:
             yield pd.DataFrame({"cid": b["cid"], "set": [shingles(t).view(np.int64) for t in b["text"]]})
 
-    rows = docs.select("doc_id", "text").join(fitted(wanted, FETCH_ROWS), "doc_id")
-    return rows.select("cid", "text").mapInPandas(sets, "cid long, set array<long>")
+    rows = docs.select("doc_id", text_key(), "text").alias("d").join(fitted(wanted, FETCH_ROWS).alias("w"), same_row("d", "w")).select("w.cid", "d.text")
+    if repeated:
+        rows = rows.groupBy("cid").agg(F.min("text").alias("text"))
+    return rows.mapInPandas(sets, "cid long, set array<long>")
 
 
 def _asked(x: str, y: str, percent: int) -> str:
@@ -173,11 +188,38 @@ def _may_link(x: str, y: str, percent: int) -> Column:
 def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id.
 
-    docs needs doc_id (an integer, unique; rows that share one must share the text) and text. A-Z is lower-cased, words
+    docs needs doc_id (an integer, unique; rows that share one should share the text) and text. A-Z is lower-cased, words
     are runs of anything but ASCII white space. Two documents link when 100 * overlap >= percent * union of their sets;
     component_id is the smallest doc_id reachable by links, itself included. A document without words or text has no
     set and links with nothing. A null doc_id is its own component only if nothing with an id links with it.
     """
+    groups = jaccard_groups(docs, percent)
+    return groups.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component: of its smallest doc_id, null only where all are. Rows without words all stay."""
+    scratch = Scratch(docs.sparkSession, "unique")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
+    rows = scratch.keep(jaccard_groups(docs, percent).where("label is not null").groupBy("label", "doc_id", "key").agg(F.count(F.lit(1)).alias("times")))
+    best = rows.groupBy("label").agg(first).select(F.col("label").alias("of"), "first.doc_id", "first.key")
+    rows = rows.alias("r").join(best.alias("b"), (F.col("r.label") == F.col("b.of")) & same_row("r", "b"), "left")
+    # rows that go, and those of which one stays
+    rows = scratch.keep(rows.select("r.doc_id", "r.key", F.col("of").isNotNull().alias("best"), "times").where("not best or times > 1"))
+    keyed = docs.select("doc_id", text_key(), F.struct(*docs.columns).alias("row")).alias("d")
+    out = keyed.join(fitted(rows).alias("r"), same_row("d", "r"), "left_anti").select("row.*")
+    again = rows.where("best")
+    if again.limit(1).count():
+        again = keyed.join(fitted(again).alias("r"), same_row("d", "r"), "left_semi")
+        out = out.union(again.groupBy("doc_id", "key").agg(F.min("row").alias("row")).select("row.*"))
+    return out
+
+
+def jaccard_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """A row for each row of docs: doc_id, key, n_shingles, label, component_id.
+
+    Rows of one component have one label, null without words; component_id is the smallest doc_id, null if all are null.
+    """
     scratch = Scratch(docs.sparkSession, "jaccard")
     sig = scratch.keep(signatures(docs, shingle_counts(docs), percent))
     salt = 0
@@ -185,10 +227,10 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         cid = F.xxhash64("class", F.lit(salt))
         by = sig.where("class is not null").groupBy(cid.alias("cid"))
         classes = by.agg(
-            F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("matches").alias("matches"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("row"), F.min("n").alias("n"), F.min("matches").alias("matches"),
             F.min(F.col("n") - F.size("prefix")).alias("rest"), F.min("class").alias("lo"), F.max("class").alias("hi"),
         )
-        classes = scratch.keep(classes)
+        classes = scratch.keep(classes.select("cid", "row.doc_id", "row.key", *classes.columns[2:]))
         if not classes.where("lo <> hi").limit(1).count():
             break
         salt += 1
@@ -197,8 +239,9 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     of = Window.partitionBy("h")
     entries = scratch.keep(entries.where("cid is not null").withColumn("lo", F.min("cid").over(of)).withColumn("hi", F.max("cid").over(of)).where("lo <> hi").select("h", "cid"))
     # the prefixes are most of what was kept, and are in entries now
-    long, sig = sig, scratch.keep(sig.select("doc_id", "n", "cid"))
+    long, sig = sig, scratch.keep(sig.select("doc_id", "key", "n", "cid"))
     scratch.drop(long)
+    repeated = bool(sig.where("cid is not null").groupBy("doc_id", "key").count().where("count > 1").limit(1).count())
     # common: prefix shingles that a class shares with any other; m0 and m1: 128 marks, one set for each of these
     marks = [F.expr(f"bit_or(if(h >> 6 & 1 = {i}, shiftleft(1L, cast(h & 63 as int)), 0L))").alias(f"m{i}") for i in range(2)]
     info = entries.groupBy("cid").agg(F.count(F.lit(1)).cast("int").alias("common"), *marks)
@@ -220,17 +263,17 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         del now, parts
         scratch.release()
         tested = pairs if tested is None else tested.union(pairs)
-        labels = _merge(labels, _linked(docs, classes, pairs, percent, scratch), scratch)
+        labels = _merge(labels, _linked(docs, classes, pairs, percent, scratch, repeated), scratch)
         scratch.release()
     named = classes.select("cid", "doc_id")
     if labels is not None:
         named = named.join(labels, "cid", "left").select("cid", "doc_id", F.coalesce("label", "cid").alias("label"))
         named = scratch.keep(named)
         smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-        named = named.join(smallest, "label").select("cid", "component_id")
+        named = named.join(smallest, "label").select("cid", "label", "component_id")
     else:
-        named = named.select("cid", F.col("doc_id").alias("component_id"))
-    return sig.withColumnRenamed("n", "n_shingles").join(named, "cid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        named = named.select("cid", F.col("cid").alias("label"), F.col("doc_id").alias("component_id"))
+    return sig.withColumnRenamed("n", "n_shingles").join(named, "cid", "left").select("doc_id", "key", "n_shingles", "label", "component_id")
 
 
 def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -272,11 +315,11 @@ def _all_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return met.where("shared >= asked").select("a", "b")
 
 
-def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch, repeated: bool) -> DataFrame:
     """The pairs that link, by their whole sets."""
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    wanted = scratch.keep(classes.select("doc_id", "cid").join(ids, "cid", "left_semi"))
-    sets = class_sets(docs, wanted)  # made again for each side: cheaper than the disk for a table of sets
+    wanted = scratch.keep(classes.select("doc_id", "key", "cid").join(ids, "cid", "left_semi"))
+    sets = class_sets(docs, wanted, repeated)  # made again for each side: cheaper than the disk for a table of sets
     a = sets.select(F.col("cid").alias("a"), F.col("set").alias("set_a")).join(fitted(pairs), "a")
     both = a.join(sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("i"), (F.size("set_a") + F.size("set_b")).alias("s"))

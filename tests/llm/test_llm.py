@@ -162,6 +162,32 @@ def test_jaccard_join_against_brute_force(spark):
     assert got == brute_components(rows)
 
 
+def test_jaccard_join_with_null_and_repeated_ids(spark):
+    from collections import Counter
+
+    text = " ".join(f"v{i}" for i in range(60))
+    steps = [" ".join(f"{w}x" if k and i < 4 or k > 1 and i > 55 else w for i, w in enumerate(text.split())) for k in range(3)]  # each links with the next
+    rows = [(7, steps[0]), (None, steps[1]), (5, steps[2])]  # joined through a null id
+    rows += [(None, f"{text.upper().replace('V', 'u')} {t}") for t in ("q", "r", "q")] + [(9, "same words here")] * 3 + [(None, "same words here")] * 2
+    rows += [(3, "lone"), (None, "other"), (None, None), (4, ""), (4, "")]
+    found = brute_components([(i, t) for i, (_, t) in enumerate(rows)])
+    least, groups = {}, {}
+    for i, (d, _) in enumerate(rows):
+        groups.setdefault(found[i][1], []).append(i)
+        least[found[i][1]] = min((x for x in (least.get(found[i][1]), d) if x is not None), default=None)
+    assert sorted(len(g) for g in groups.values())[-3:] == [3, 3, 5]
+    docs = frame(spark, [(d, t, "en", "s") for d, t in rows])
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(docs).collect())
+    assert got == Counter((d, found[i][0], least[found[i][1]]) for i, (d, _) in enumerate(rows))
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    kept = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert kept.total() == len(groups)
+    for g in groups.values():
+        assert sum(kept[rows[i]] > 0 for i in {rows[j]: j for j in g}.values()) == 1
+        assert any(kept[rows[i]] for i in g if rows[i][0] == least[found[g[0]][1]])
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)]

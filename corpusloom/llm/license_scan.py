@@ -3,7 +3,7 @@
 A text is normalised so that copies of a licence that differ in case, punctuation, line breaks, copyright lines or
 equivalent spellings get one form; the SHA-256 of the whole form is looked up among those of known licences by a hash
 join. Each line is looked up the same way among known one-line notices. The texts are read once; only digests are
-joined, and only those of lines short enough to be a notice leave the scan.
+joined, and only those of lines whose form is as long as that of a known notice leave the scan.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -85,6 +86,33 @@ http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
 }
 
+#: Licence by file below licenses/, with the title that the file begins with.
+FILES = {
+    "Apache-2.0": ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    "GPL-1": ("GPL-1.0-only", "GNU General Public License Version 1, February 1989"),
+    "GPL-2": ("GPL-2.0-only", "GNU General Public License Version 2, June 1991"),
+    "GPL-3": ("GPL-3.0-only", "GNU General Public License Version 3, 29 June 2007"),
+    "LGPL-2": ("LGPL-2.0-only", "GNU Library General Public License Version 2, June 1991"),
+    "LGPL-2.1": ("LGPL-2.1-only", "GNU Lesser General Public License Version 2.1, February 1999"),
+    "LGPL-3": ("LGPL-3.0-only", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    "MPL-1.1": ("MPL-1.1", "Mozilla Public License Version 1.1"),
+    "MPL-2.0": ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    "CC0-1.0": ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    "GFDL-1.2": ("GFDL-1.2-only", "GNU Free Documentation License Version 1.2, November 2002"),
+    "GFDL-1.3": ("GFDL-1.3-only", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+}
+#: Titles that stand above a text without being part of it.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero-Clause License (0BSD)", "0BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "Revised BSD License", "BSD License"),
+    "CC0-1.0": ("CC0 1.0 Universal",),
+}
+END = "END OF TERMS AND CONDITIONS"
+
 #: One-line notices.
 NOTICES = {
     "Released under the MIT License.": "MIT",
@@ -120,23 +148,63 @@ def _digest(form: str) -> bytes:
     return hashlib.sha256(form.encode("utf-8", "ignore")).digest()
 
 
-def known_licenses(spark: SparkSession, licenses: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
-    """(digest, license_id, whole) of licence texts and of notices."""
-    rows = [(_digest(canonical(t)), k, True) for k, t in (LICENSES if licenses is None else licenses).items()]
-    rows += [(_digest(canonical(t)), k, False) for t, k in (NOTICES if notices is None else notices).items()]
-    return spark.createDataFrame([(bytearray(d), k, w) for d, k, w in rows], "digest binary, license_id string, whole boolean")
+def _stored(name: str) -> str:
+    return (Path(__file__).parent / "licenses" / f"{name}.txt").read_text(encoding="utf-8")
+
 
+def license_texts() -> list[tuple[str, str]]:
+    """(license_id, text) of all known texts, some in several wordings."""
+    out = [*LICENSES.items(), *((k, _stored(name)) for name, (k, _) in FILES.items())]
+    bsd = _stored("BSD")
+    third = bsd[bsd.index("3. Neither") : bsd.index("THIS SOFTWARE")]
+    for who in ("", "HOLDER", "OWNER"):
+        three = bsd
+        if who:
+            three = bsd.replace("BY THE REGENTS", "BY THE COPYRIGHT HOLDERS").replace("THE REGENTS OR", f"THE COPYRIGHT {who} OR")
+        out.append(("BSD-2-Clause", three.replace(third, "\n")))
+        out += [("BSD-3-Clause", three.replace("the University nor", f"{x} nor")) for x in ("the University", "the copyright holder", "the copyright holders")]
+    return out
 
-def license_scan(docs: DataFrame, known: DataFrame | None = None, notice_chars: int = 200) -> DataFrame:
+
+def license_forms() -> list[tuple[str, str]]:
+    """(form, license_id) of the known texts, with and without title and what follows their terms."""
+    out, titles = [], {k: {canonical(t) for t in v} for k, v in TITLES.items()}
+    for k, title in FILES.values():
+        titles.setdefault(k, set()).add(canonical(title))
+    for k, text in license_texts():
+        cuts = {text, *(text[: text.index(END) + n] for n in (0, len(END)) if END in text)}
+        for form in map(canonical, cuts):
+            bare = form
+            for t in sorted(titles.get(k, ()), key=len, reverse=True):
+                bare = bare.removeprefix(t + " ")
+            out += [(form, k), (bare, k), *((f"{t} {bare}", k) for t in titles.get(k, ()))]
+    return out
+
+
+def known_licenses(spark: SparkSession, licenses: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
+    """(digest, license_id, whole, chars) of licence texts and of notices; chars is the length of the form."""
+    forms = license_forms() if licenses is None else [(canonical(t), k) for k, t in licenses.items()]
+    rows: dict[bytes, tuple[str, bool, int]] = {}
+    for f, k in forms:
+        rows.setdefault(_digest(f), (k, True, len(f)))
+    for t, k in (NOTICES if notices is None else notices).items():
+        f = canonical(t)
+        rows.setdefault(_digest(f), (k, False, len(f)))
+    return spark.createDataFrame([(bytearray(d), *r) for d, r in rows.items()], "digest binary, license_id string, whole boolean, chars int")
+
+
+def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """A row for each doc_id: doc_id, n_words, canonical_sha256, license_id, notice_ids.
 
     license_id is the known licence that the whole text is, or a notice if that is all there is; null if none.
-    notice_ids are the distinct licences whose notice stands as a line of at most notice_chars characters in the text,
-    sorted. A text that is null, empty or has no words has n_words 0, matches nothing, and has the digest of the empty
+    notice_ids are the distinct licences whose notice stands as a line in the text, sorted. A text that is null, empty or has no words has n_words 0, matches nothing, and has the digest of the empty
     form. Rows that share a doc_id are one document: their notices are joined, and the first of their licences and the
-    sum of their words are given. known is broadcast if it is small.
+    sum of their words are given. known is broadcast if it is small; without a
+    column chars, all lines are looked up.
     """
     known = known_licenses(docs.sparkSession) if known is None else known
+    # only lines whose form is as long as that of a notice can be one
+    lengths = {r["chars"] for r in known.where("not whole").select("chars").distinct().collect()} if "chars" in known.columns else None
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -145,7 +213,9 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, notice_chars:
                 form = canonical(text)
                 n.append(form.count(" ") + 1 if form else 0)
                 whole.append(_digest(form))
-                short = {f for x in (text or "").splitlines() if 0 < len(x) <= notice_chars and "licen" in x.lower() or "public domain" in x.lower() for f in [canonical(x)] if f}
+                split = (text or "").splitlines()
+                short = {form} if len(split) == 1 else set(map(canonical, split))
+                short = {f for f in short if f and (lengths is None or len(f) in lengths)}
                 lines.append([_digest(f) for f in sorted(short)])
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_words": n, "whole": whole, "lines": lines})
 

@@ -322,6 +322,30 @@ def test_licenses(spark):
     assert got == {1: ("MIT", []), 2: (None, ["MIT"]), 3: ("MIT", ["MIT"]), 4: (None, []), 5: (None, [])}
 
 
+def test_whole_licenses_in_their_usual_forms(spark):
+    own = "Copyright (c) 2021 Some One\n\n"
+    bsd = license_scan._stored("BSD").replace("Copyright (c) The Regents of the University of California.\nAll rights reserved.\n", "").replace("the University nor", "the copyright holder nor")
+    bsd = bsd.replace("BY THE REGENTS", "BY THE COPYRIGHT HOLDERS").replace("THE REGENTS OR", "THE COPYRIGHT HOLDER OR")
+    rows = [("MIT", "MIT License\n\n" + own + license_scan.LICENSES["MIT"]), ("ISC", "ISC License\n\n" + own + license_scan.LICENSES["ISC"]), ("Zlib", "zlib License\n\n" + own + license_scan.LICENSES["Zlib"])]
+    rows += [("BSD-3-Clause", "BSD 3-Clause License\n\n" + own + bsd), ("BSD-3-Clause", own + bsd)]
+    for name, (k, _) in license_scan.FILES.items():
+        text = license_scan._stored(name)
+        rows += [(k, text), (k, text.lstrip("\n ").split("\n", 2)[2])] if name.startswith(("GPL", "MPL")) else [(k, text)]
+        rows += [(k, text.split(license_scan.END)[0])] if license_scan.END in text else []
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: (r.license_id, r.n_words) for r in license_scan.license_scan(docs).collect()}
+    assert got == {i: (k, len(license_scan.canonical(t).split())) for i, (k, t) in enumerate(rows)}
+
+
+def test_notices_of_any_length_and_wording(spark):
+    notices = {"Free for all uses.": "X-free", "This grant " + "goes on and " * 60 + "ends.": "X-long"}
+    text = "a\n" + "\n".join(notices) + "\nb\nReleased   " + " " * 300 + "under the MIT License."
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    known = license_scan.known_licenses(spark, notices={**license_scan.NOTICES, **notices})
+    for k in (known, known.drop("chars")):
+        assert license_scan.license_scan(docs, k).first().notice_ids == ["MIT", "X-free", "X-long"]
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 #: Fixed values of the HTML standard: elements by how they are shown.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-UNSEEN = {"head", "script", "style", "template", "noscript", "title", "meta", "link", "base", "datalist", "object", "iframe", "audio", "video", "canvas", "svg", "math", "noframes", "area", "param", "rp"}
+UNSEEN = {"head", "script", "style", "template", "noscript", "title", "meta", "link", "base", "datalist", "object", "iframe", "audio", "video", "canvas", "noframes", "area", "param", "rp"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
     "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main",
@@ -42,6 +42,13 @@ CLOSES = {
     "rt": ({"rt", "rp"}, {"ruby"}),
     "rp": ({"rt", "rp"}, {"ruby"}),
 }
+#: Parents of cells, whose other contents stand before the table; the tags they hold; and what an inner tag goes back to.
+PARTS = {"table", "thead", "tbody", "tfoot", "tr"}
+ROWS = {"thead", "tbody", "tfoot", "table"}
+BACK_TO = {"td": PARTS, "th": PARTS, "tr": ROWS, **dict.fromkeys(("thead", "tbody", "tfoot", "caption", "colgroup", "col"), {"table"})}
+#: Foreign content: a slash ends its elements. Those of svg that aren't drawn where they stand.
+FOREIGN = {"svg", "math"}
+UNDRAWN = {"defs", "symbol", "clippath", "mask", "pattern", "marker", "metadata", "desc"}
 SCOPE = {"table", "td", "th", "caption", "html", "template", "button", "object"}
 
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden", re.IGNORECASE)
@@ -95,23 +102,53 @@ class TreeBuilder(HTMLParser):
             self._close({"p"}, SCOPE)
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and self.open[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             self.open.pop()
-        if tag in CLOSES:
+        at = self._table() if tag in BACK_TO or tag == "table" or self.open[-1].tag == "colgroup" else 0
+        if at and tag in BACK_TO:
+            if tag != "col" or self.open[-1].tag != "colgroup":
+                self._back(BACK_TO[tag])
+        elif at and self.open[-1].tag == "colgroup" and tag != "template":
+            self.open.pop()
+        if tag == "table" and at and self.open[-1].tag in PARTS:  # a table can't stand in a row: the open one ends
+            del self.open[at:]
+        elif tag in CLOSES and not (at and tag in BACK_TO):
             self._close(*CLOSES[tag])
         if tag == "a":
             self._close({"a"}, SCOPE | BLOCK)
         if tag in ("td", "th") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
             self._push("tr", [])
-        self._push(tag, attrs)
+        stray = self.open[-1].tag in PARTS and tag not in BACK_TO and tag not in ("script", "style", "template")
+        if stray and tag == "form" and self._table():  # is no parent of rows and cells
+            return
+        self._push(tag, attrs, stray)
         if tag in VOID:
             self.open.pop()
 
-    def _push(self, tag, attrs):
+    def _table(self) -> int:
+        """Where the innermost open table is; 0 if none is."""
+        return next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag == "table"), 0)
+
+    def _back(self, kinds: set[str]) -> None:
+        """End what is open inside the innermost element of kinds."""
+        at = next(i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag in kinds)
+        del self.open[at + 1 :]
+
+    def _add(self, node, stray: bool) -> None:
+        """Put node at the end of the open element; before the table, if it is stray in one."""
+        if stray and (at := self._table()):
+            kids = self.open[at - 1].kids
+            kids.insert(len(kids) - 1, node)  # an open table is the last of its parent
+        else:
+            self.open[-1].kids.append(node)
+
+    def _push(self, tag, attrs, stray=False):
         node = Node(tag, dict(attrs))
-        self.open[-1].kids.append(node)
+        self._add(node, stray)
         self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)  # a slash means nothing but on void elements
+        self.handle_starttag(tag, attrs)  # a slash means nothing but on void elements and in foreign content
+        if tag not in VOID and self.open[-1].tag == tag and any(k.tag in FOREIGN for k in self.open):
+            self.open.pop()
 
     def handle_endtag(self, tag):
         if tag == "br":
@@ -129,7 +166,10 @@ class TreeBuilder(HTMLParser):
     def handle_data(self, data):
         if self.open[-1].tag == "head" and data.strip():
             self._close({"head"}, set())
-        self.open[-1].kids.append(data)
+        if self.open[-1].tag == "colgroup" and data.strip():
+            self.open.pop()
+        stray = self.open[-1].tag in PARTS and bool(data.strip())
+        self._add(f" {data} " if stray else data, stray)
 
 
 class Renderer:
@@ -262,6 +302,16 @@ def _element(k: Node, r: Renderer) -> None:
                 _element(s, r)
                 break
         return r.end()
+    if tag == "svg":
+        return _drawing(k, r)
+    if tag == "semantics":  # only its first element is shown
+        first = next((x for x in k.kids if isinstance(x, Node)), None)
+        return _element(first, r) if first else None
+    if tag in ("mfrac", "msup", "msub", "msubsup", "mroot", "mover", "munder", "munderover", "mtr", "mtd"):
+        for x in k.kids:
+            r.text(x) if isinstance(x, str) else _element(x, r)
+            r.space = True
+        return None
     if tag == "q":
         r.text("“")
         _render(k, r)
@@ -288,6 +338,18 @@ def _element(k: Node, r: Renderer) -> None:
     return None
 
 
+def _drawing(node: Node, r: Renderer) -> None:
+    """The texts of an svg element, a space between them; what else it holds isn't text that is drawn."""
+    for k in node.kids:
+        if isinstance(k, Node) and k.seen() and k.tag not in UNDRAWN and (k.attrs.get("display") or "").strip().lower() != "none":
+            if k.tag in ("text", "foreignobject"):
+                r.space = True
+                _render(k, r)
+                r.space = True
+            else:
+                _drawing(k, r)
+
+
 def _list(node: Node, r: Renderer) -> None:
     got = re.match(r"\s*(-?\d{1,9})", node.attrs.get("start") or "")
     n = int(got[1]) if got else 1

@@ -363,6 +363,35 @@ def test_html(html, text):
     assert html_text.render(html).strip() == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<table><tr><form><td>a</td><td>b</td></form></tr></table>", "a  b"),
+        ("<table><tr>x<td>a</td><div>y</div></tr><tbody><p>z</p></tbody></table>", "x\ny\n\nz\n\na"),
+        ("<table><tr><div><td>a</td></div></tr></table>", "a"),
+        ("<table><colgroup>x<col><tr><td>a</table>", "x\n\na"),
+        ("<table><tr><td>a</td><table><tr><td>b</table>", "a\n\nb"),
+        ("<table><tr><td><table><tr><td>a</table><td>b</table>", "a  b"),
+        ("a <math><semantics><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation>no</annotation></semantics></math> b", "a x=1 2 b"),
+        ("a <svg><title>no</title><defs/><rect/><text>one</text><g><text>two<tspan> three</tspan></text></g>no</svg> b", "a one two three b"),
+    ],
+)
+def test_stray_html(html, text):
+    assert html_text.render(html).strip() == text
+
+
+def test_no_word_of_random_tables_is_lost():
+    rng, tags = random.Random(8), ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "form", "div", "a", "p", "b", "caption", "colgroup", "ul", "li", "math", "center")
+    for _ in range(1500):
+        parts, n = ["<table>"], 0
+        for _ in range(rng.randrange(2, 30)):
+            t = rng.choice(tags)
+            parts.append(rng.choice((f"<{t}>", f"<{t}>", f"</{t}>", f" w{n} ")))
+            n += parts[-1] == f" w{n} "
+        html = "".join(parts)
+        assert {w for w in html_text.render(html).split() if w[0] == "w"} == {f"w{i}" for i in range(n)}, html
+
+
 def test_deep_html():
     assert html_text.render("<div>" * 30_000 + "x").strip() == "x"
 

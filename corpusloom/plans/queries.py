@@ -613,8 +613,12 @@ def v07_rrf_fuse(spark, d):
 @query()
 def v09_hybrid_search(spark, d):
     e = S.read_table(spark, d, "embeddings").withColumnRenamed("vec_id", "chunk_id")
-    near = V.knn_exact(e, e.where("chunk_id % 250 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query")), 40).drop("rank")
-    words = V.search_fulltext(V.postings(S.as_chunks(docs(spark, d))), ["this", "er"]).select(F.lit(0).cast("long").alias("query_id"), F.col("id").alias("chunk_id"), "score")
+    asked = e.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
+    near = V.knn_exact(e, asked, 40).drop("rank")
+    # the words of a query: the first two different ones of the document with its id
+    own = F.filter(F.transform(F.regexp_extract_all("text", F.lit(f"({V.TOKEN})"), 1), F.lower), lambda x: ~x.isin(*V.STOPWORDS))
+    terms = docs(spark, d).join(asked.select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), F.slice(F.array_distinct(own), 1, 2).alias("terms"))
+    words = V.search_fulltext_batch(V.postings(S.as_chunks(docs(spark, d))), terms).select("query_id", F.col("id").alias("chunk_id"), "score")
     words = words.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     return V.search_hybrid(near, words, e.select("chunk_id", F.col("label").cast("long").alias("id")), 5)
 

@@ -150,6 +150,22 @@ def test_more_like_this_sees_all_chunks(spark):
     assert [tuple(r) for r in got] == [(n, 1.0)]
 
 
+def test_fulltext_batch_is_each_search_alone(spark):
+    texts = ["x y x z y", "y y x q q q q q q q q q z", "z x", "X Z z y x", "q"]
+    posts = V.postings(spark.createDataFrame([(10 + i, i, t) for i, t in enumerate(texts)], "chunk_id long, id long, text string"))
+    asked = {1: ["x", "Y"], 2: ["z"], 3: ["x", "y", "z", "x"], 4: ["none", "x"], 5: [], 6: ["q"]}
+    got = V.search_fulltext_batch(posts, spark.createDataFrame(list(asked.items()), "query_id long, terms array<string>")).collect()
+    want = {(k, *r) for k, t in asked.items() if t for r in V.search_fulltext(posts, t).collect()}
+    assert want and {(r.query_id, r.chunk_id, r.id, r.score) for r in got} == want
+
+
+def test_hybrid_search_answers_each_query(spark, sf):
+    from corpusloom.plans import queries as Q
+
+    got = {r.query_id for r in Q.v09_hybrid_search(spark, sf).select("query_id").distinct().collect()}
+    assert got == {r.vec_id for r in S.read_table(spark, sf, "embeddings").where("vec_id % 100 = 0").select("vec_id").collect()}
+
+
 def test_streams_agree_with_batches(spark, sf, tmp_path):
     stream = T.read_stream(spark, sf, "events")
     T.run_available(T.daily_usage(stream), "daily", str(tmp_path / "a"), "complete")

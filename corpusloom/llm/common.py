@@ -10,6 +10,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +94,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.select("node", "label")
 
 
+def beside_ids(batch: pa.RecordBatch, columns: dict[str, pa.Array], rows: list[int] | None = None, carried: tuple[str, ...] = ("doc_id",)) -> pa.RecordBatch:
+    """columns beside the carried ones of batch, taken at rows if they are given; ids stay Arrow, so nulls cost them no digit."""
+    at = None if rows is None else pa.array(rows, pa.int64())
+    kept = {c: batch.column(c) if at is None else batch.column(c).take(at) for c in carried}
+    return pa.RecordBatch.from_pydict(kept | columns)
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

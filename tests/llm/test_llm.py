@@ -221,23 +221,66 @@ def test_packing_round_trip(spark, docs):
     assert got["sequence_id"].nunique() <= 1.01 * -(-got["length"].sum() // 2048) + 1
 
 
-def test_bin_completion_beats_best_fit():
+def fewest_by_force(sizes, capacity):
+    """Bins that sizes need, by (bins, filling of the last) over all subsets."""
+    best = [(0, 0)] + [(99, 0)] * ((1 << len(sizes)) - 1)
+    for m in range(1, len(best)):
+        for i, s in enumerate(sizes):
+            if m >> i & 1:
+                bins, used = best[m ^ 1 << i]
+                new = (bins, used + s) if bins and used + s <= capacity else (bins + 1, s)
+                best[m] = min(best[m], new)
+    return best[-1][0]
+
+
+def test_bin_completion_reaches_the_optimum():
     sizes = [6, 6, 5, 5, 4, 4] * 3  # capacity 15: 6 + 5 + 4 fills each bin, best fit takes more
-    assert len(packing.pack(sizes, 15)) == 6
-    rng = random.Random(1)
-    for _ in range(20):
-        s = [rng.randrange(1, 60) for _ in range(rng.randrange(40))]
-        bins = packing.pack(s, 100)
-        assert sorted(x for b in bins for x in b) == sorted(s) and all(sum(b) <= 100 for b in bins)
-        assert len(bins) <= len(packing.best_fit(s, 100))
+    assert len(packing.pack(sizes, 15)) == 6 < len(packing.best_fit(sizes, 15))
+    rng, better = random.Random(1), 0
+    for _ in range(300):
+        capacity = rng.choice([10, 15, 20, 50, 100])
+        s = [rng.randrange(1, capacity // rng.choice([1, 2, 3]) + 1) for _ in range(rng.randrange(1, 12))]
+        bins = packing.pack(s, capacity)
+        assert sorted(x for b in bins for x in b) == sorted(s) and all(sum(b) <= capacity for b in bins)
+        assert len(bins) == fewest_by_force(s, capacity) >= packing.fewest_bins(np.bincount(s, minlength=capacity + 1), capacity)
+        better += len(bins) < len(packing.best_fit(s, capacity))
+    assert better
+    assert packing.pack([], 10) == [] and packing.pack([3, 3], 10, effort=0) == [[3, 3]]
+
+
+def test_fillings_are_the_undominated_ones():
+    """By force: a filling is dominated if one that is left over could stand for a part of it."""
+    from itertools import combinations
+
+    rng = random.Random(3)
+    for t in range(150):
+        free = 10 if not t else rng.randrange(1, 25)
+        items = [5, 4, 4, 3, 3, 2, 2] if not t else [rng.randrange(1, 14) for _ in range(rng.randrange(8))]
+        left = [items.count(s) for s in range(30)]
+        want = set()
+        for n in range(len(items) + 1):
+            for take in combinations(range(len(items)), n):
+                f, rest = [items[i] for i in take], [x for i, x in enumerate(items) if i not in take]
+                room = free - sum(f)
+                parts = [p for k in range(n + 1) for p in combinations(f, k)]
+                worse = any(sum(p) < x <= sum(p) + room or (len(p) > 1 and x == sum(p)) for p in parts for x in rest)
+                if room >= 0 and not worse:
+                    want.add(tuple(sorted(f, reverse=True)))
+        got = list(packing.fillings(left, free))
+        assert len(got) == len(set(got)) and set(got) == want
+        assert [free - sum(f) for f in got] == sorted(free - sum(f) for f in got)
+    assert want is not None and set(packing.fillings([0, 0, 2, 2, 2, 1], 10)) == {(5, 3, 2), (4, 4, 2), (4, 3, 3), (5, 4)}
 
 
 def test_word_ids_match_whole_texts():
     from tokenizers import Tokenizer
 
-    tok, ids = Tokenizer.from_file(queries.tokenizer_path()), packing.WordIds(queries.tokenizer_path())
-    for t in ("It's  A TEST x y", "é ́a ΑΣ Σ.", "a\x1cb", "<|endoftext|>x y", "﻿ zero​width", "😀 12 %$", "İstanbul", "a.'s b's. x.y, É. E\u0301.a", "ÀB%%% c***d Ω. ΣΑΣ.", "x<|endoftext|>y. Z."):
-        assert ids(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    tok, words = Tokenizer.from_file(queries.tokenizer_path()), packing.WordIds(queries.tokenizer_path())
+    rng, odd = random.Random(6), "aZ'.,!(<|>09 \n\t\x1c\x85\xa0éÉßıİſǅΣςе́̂漢😀“–\x01`[ ŉǰ"
+    given = ["It's  A TEST x y", "é ́a ΑΣ Σ.", "a\x1cb", "<|endoftext|>x y", "\ufeff zero\u200bwidth", "😀 12 %$", "İstanbul", "a.'s b's. x.y, É. E\u0301.a", "ÀB%%% c***d Ω. ΣΑΣ.", "x<|endoftext|>y. Z."]
+    given += ["".join(rng.choice(odd) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    for t in given:
+        assert words.ids(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
 # mixing

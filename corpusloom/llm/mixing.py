@@ -2,8 +2,10 @@
 
 A source's weight follows a straight line over training time t in [0, 1]: rate(t) = target * (1 + tilt * (2 t - 1)),
 with tilt in [-1, 1]. Its integral over [0, t] is the demand for the source's words up to t, and reaches the target at
-t = 1. A document takes its words from a stretch of that demand; the stretch's middle, put through the inverse of the
-integral, is the document's training position. A range sort by position gives the order of training.
+t = 1. The documents of a source are laid along that demand one after the other, and again from the first for a source
+that is repeated. Each time a document takes its words from a stretch of the demand; the stretch's middle, put through
+the inverse of the integral, is the document's training position for that turn. A range sort by position gives the
+order of training.
 
 Only DataFrame functions are used. The running sums within a source go over BUCKETS hash buckets first and then within
 each bucket, so that a source with a third of all rows isn't summed in one task.
@@ -59,13 +61,14 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, tilts:
 
 
 def curriculum_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, tilts: Sequence[float] = TILTS, epoch: float = EPOCH, repeats: int = REPEATS) -> DataFrame:
-    """A row for each row of docs: doc_id, source, size, source_size, target, taken, position; unsorted.
+    """A row for each row of docs: doc_id, source, size, source_size, target, taken, turns; unsorted.
 
     docs needs doc_id, text and source. size is the number of words (null text: 0). Within a source documents follow
     the md5 of their doc_id, then doc_id and size. The target is laid over the source again and again, so a document
     takes all its words in each full round and, where the target ends within it, its first words only; the words
-    taken add up to the target, rounded down. A document that takes nothing has a null position. A null doc_id hashes
-    as an empty text; rows that are alike in doc_id and size are interchangeable.
+    taken add up to the target, rounded down. turns has (words, position) of each round that takes any, in order, and is
+    empty for a document that takes nothing. A null doc_id hashes as an empty text; rows that are alike in doc_id and
+    size are interchangeable. Texts are only counted, whatever their length.
     """
     rows = docs.select(
         "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("hash")
@@ -84,31 +87,34 @@ def curriculum_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, tilts: S
         up_to = F.floor("target") - F.col("source_size") * turn - F.col("begin")
         return F.greatest(F.lit(0), F.least(F.col("size"), up_to))
 
-    taken = sum((words(i) for i in range(1, repeats)), words(0)).cast("long")
-    rows = rows.withColumn("taken", taken)
-    # The middle of what the document takes in the first round, as a share of the target.
-    share = (F.col("begin") + words(0) / 2) / F.col("target")
-    a = F.col("tilt")
-    t = F.when(a == 0, share).otherwise(((a - 1) + F.sqrt((1 - a) * (1 - a) + 4 * a * share)) / (2 * a))
-    rows = rows.withColumn("position", F.when(F.col("taken") > 0, F.round(t, 9)))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "position")
+    def turn(i: int) -> Column:
+        """The middle of what the document takes in round i, as a share of the target, and when the schedule gets there."""
+        share = (F.col("begin") + F.col("source_size") * i + words(i) / 2) / F.col("target")
+        late = 1 - F.col("tilt")
+        # tilt * t * t + (1 - tilt) * t = share
+        t = F.when(share > 0, 2 * share / (late + F.sqrt(late * late + 4 * F.col("tilt") * share))).otherwise(0.0)
+        return F.struct(words(i).cast("long").alias("words"), F.round(t, 9).alias("position"))
+
+    rows = rows.withColumn("turns", F.filter(F.array(*[turn(i) for i in range(repeats)]), lambda x: x["words"] > 0))
+    taken = F.aggregate("turns", F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "turns")
 
 
 def in_training_order(mix: DataFrame) -> DataFrame:
-    """A range sort by position; ties go by doc_id, and documents that aren't taken come last."""
-    return mix.orderBy(F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_last())
+    """A range sort of mix by the position of the first turn; ties go by doc_id, and documents that aren't taken come last."""
+    return mix.orderBy(F.get("turns", F.lit(0))["position"].asc_nulls_last(), F.col("doc_id").asc_nulls_last())
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix with the columns of docs, in training order.
 
-    A document stays if the mix takes half its words at least, and appears as often as its whole text is taken, rounded
-    to whole times; a document without words has nothing to take and goes. doc_id should be unique: rows that share one
-    are looked up by it, and only one of their decisions counts. Extra columns pass through unchanged.
+    A document appears once for each turn that takes half its words at least, at the position of that turn; so copies
+    of a repeated document stand apart. A document without words has nothing to take and goes. doc_id should be unique:
+    rows that share one, null ids too, are looked up by it, and all take the turns of the one with the first position.
+    Extra columns pass through unchanged, and an empty table gives no rows.
     """
-    mix = curriculum_mix(docs, **options).where("taken > 0")
-    mix = mix.groupBy(F.col("doc_id").alias("__doc")).agg(F.min("position").alias("__position"), F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias("__times"))
-    mix = Scratch(docs.sparkSession, "mixing").keep(mix.where("__times > 0"))
+    mix = curriculum_mix(docs, **options).select("doc_id", F.filter("turns", lambda x: 2 * x["words"] >= F.col("size")).alias("turns"))
+    mix = mix.where(F.size("turns") > 0).groupBy(F.col("doc_id").alias("__doc")).agg(F.min(F.transform("turns", lambda x: x["position"])).alias("__positions"))
+    mix = Scratch(docs.sparkSession, "mixing").keep(mix)
     rows = docs.join(fitted(mix, FETCH_ROWS), F.col("doc_id").eqNullSafe(F.col("__doc")))
-    rows = rows.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return rows.orderBy("__position", "doc_id", "__turn").select(*docs.columns)
+    return rows.withColumn("__position", F.explode("__positions")).orderBy("__position", "doc_id").select(*docs.columns)

@@ -57,7 +57,8 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = in_training_order(curriculum_mix(table(spark, sf_dir, "documents")))
-    return mix.select("doc_id", "size", "source_size", "target", "taken", "position")
+    again = [F.get("turns", F.lit(i))["position"].alias(x) for i, x in enumerate(("position", "position_again"))]
+    return mix.select("doc_id", "size", "source_size", "target", "taken", *again)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,11 +127,17 @@ ORACLE_SQL = {
             SELECT d.doc_id, size, source_size, target, tilt,
                    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY hash, d.doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin_
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-        ), k AS (
-            SELECT *, greatest(0, least(size, floor(target)::BIGINT - begin_)) AS one, greatest(0, least(size, floor(target)::BIGINT - source_size - begin_)) AS two FROM r
-        ), q AS (SELECT *, (one + two)::BIGINT AS taken, (begin_ + one / 2.0::DOUBLE) / target AS share FROM k)
-        SELECT doc_id, size, source_size, target, taken,
-               CASE WHEN taken > 0 THEN round(CASE WHEN tilt = 0 THEN share ELSE ((tilt - 1) + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * share)) / (2 * tilt) END, 9) END AS position
-        FROM q
+        ), turn AS (
+            SELECT *, greatest(0, least(size, floor(target)::BIGINT - begin_ - source_size * round_)) AS words, begin_ + source_size * round_ AS since
+            FROM r, (VALUES (0), (1)) AS v(round_)
+        ), x AS (
+            -- the t in [0, 1] at which the integral of target * (1 + tilt * (2 u - 1)) from 0 to t is what was asked for by then
+            SELECT *, CASE WHEN words > 0 THEN round(CASE WHEN tilt = 0 THEN (since + words / 2.0::DOUBLE) / target
+                ELSE (tilt - 1 + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * ((since + words / 2.0::DOUBLE) / target))) / (2 * tilt) END, 9) END AS t
+            FROM turn
+        )
+        SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target, sum(words)::BIGINT AS taken,
+               max(t) FILTER (round_ = 0) AS position, max(t) FILTER (round_ = 1) AS position_again
+        FROM x GROUP BY doc_id
     """,
 }

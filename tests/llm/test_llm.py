@@ -309,7 +309,27 @@ def test_mix_meets_targets_and_its_schedule(spark, docs):
     got = mixing.curriculum_mix(docs).toPandas()
     by = got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
     assert ((by["target"] - by["taken"]).abs() < 1).all()
-    assert (got["taken"] <= 2 * got["size"]).all() and got.loc[got["taken"] > 0, "position"].between(0, 1).all()
+    assert (got["taken"] <= 2 * got["size"]).all()
+    turns = [(r.source, float(r.target), x["words"], x["position"]) for r in got.itertuples() for x in r.turns]
+    assert sum(x[2] for x in turns) == got["taken"].sum() and all(0 <= x[3] <= 1 for x in turns)
+    names = [*sorted(k for k in by.index if k is not None)]
+    assert any(by.loc[k, "taken"] > got.loc[got["source"] == k, "size"].sum() for k in names)
+    for i, k in enumerate(names):
+        tilt, mine = mixing.TILTS[i % 3], [x for x in turns if x[0] == k]
+        longest = max(x[2] for x in mine)
+        for t in np.linspace(0.1, 1, 10):
+            steps = np.linspace(0, t, 2001)
+            rate = mine[0][1] * (1 + tilt * (2 * steps - 1))
+            demand = float(((rate[1:] + rate[:-1]) / 2 * np.diff(steps)).sum())
+            assert abs(sum(x[2] for x in mine if x[3] <= t) - demand) <= longest + 1
+
+
+def test_copies_of_repeated_documents_stand_apart(spark):
+    rows = [(i, " ".join(["w"] * 10), "en", "a" if i < 20 else "b") for i in range(100)]
+    got = [r.doc_id for r in mixing.mixed_documents(frame(spark, rows)).collect()]
+    twice = [i for i in range(20) if got.count(i) == 2]
+    assert len(got) == 150 and len(twice) == 20
+    assert all(got.index(i, got.index(i) + 1) - got.index(i) > 20 for i in twice)
 
 
 # quality, language, media, licences, HTML

@@ -1,7 +1,7 @@
 """Media columns from ISO media containers.
 
-read_container() walks the nested boxes of a file, decodes the sample tables of its first track and gives codec,
-duration and the byte ranges of the key frames, without decoding any payload. write_container() stores bytes losslessly
+read_tracks() walks the nested boxes of a file, decodes the sample tables and movie fragments of its tracks and gives
+codec, duration and the byte ranges of the key frames, without decoding any payload. write_container() stores bytes losslessly
 as 8-bit PCM samples of one track, in the same kind of file.
 """
 
@@ -13,11 +13,15 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import beside_ids
+
 #: Boxes that hold boxes.
-NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"udta", b"dinf", b"mvex"}
+NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"udta", b"dinf", b"mvex", b"moof", b"traf"}
+#: Boxes within boxes that are entered; the format's own need no more than six.
+DEEPEST = 32
 BLOCK, RATE, KEY_EVERY = 64, 8000, 64
 
 
@@ -65,10 +69,16 @@ def write_container(payload: bytes) -> bytes:
     return ftyp + moov(at) + _box(b"mdat", payload)
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, start, end) of the body of each box; a box that runs over its parent's end stops the walk."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def walk(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path, start, end) of the body of each box, in file order.
+
+    A box that runs over its parent's end ends the walk of that parent; boxes nested deeper than DEEPEST aren't entered.
+    """
+    inside = [((), 0, len(data))]
+    while inside:
+        path, start, end = inside.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
         if size == 1 and start + 16 <= end:
@@ -76,11 +86,11 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
         elif size == 0:
             size = end - start
         if size < head or start + size > end:
-            return
+            continue
+        inside.append((path, start + size, end))
         yield (*path, kind), start + head, start + size
-        if kind in NESTED:
-            yield from walk(data, start + head, start + size, (*path, kind))
-        start += size
+        if kind in NESTED and len(path) < DEEPEST:
+            inside.append(((*path, kind), start + head, start + size))
 
 
 def _table(data: bytes, at: int, end: int, width: int, skip: int = 4) -> np.ndarray:
@@ -90,46 +100,158 @@ def _table(data: bytes, at: int, end: int, width: int, skip: int = 4) -> np.ndar
     return np.frombuffer(data, ">u4", n * width, at + skip + 4).astype(np.int64).reshape(n, width)
 
 
-def read_container(data: bytes | None) -> dict | None:
-    """codec, timescale, duration (in timescale units), offsets, sizes and sync (sample numbers from 0) of the first track.
-
-    None if there is no track with sample tables. Tables that are cut short are read as far as they go.
-    """
-    box: dict[bytes, tuple[int, int]] = {}
-    tracks = 0
-    for path, a, b in walk(data or b""):
-        tracks += path[-1] == b"trak"
-        if tracks == 1 and path[:2] == (b"moov", b"trak"):
-            box.setdefault(path[-1], (a, b))
-    try:
-        if not {b"stsd", b"stsc", b"mdhd"} <= box.keys():
-            return None
-        a, b = box[b"mdhd"]
-        scale, length = struct.unpack_from(">IQ" if data[a] else ">II", data, a + (20 if data[a] else 12))
-        codec = data[box[b"stsd"][0] + 12 : box[b"stsd"][0] + 16].decode("latin-1")
-        a, b = box.get(b"stsz", (None, None))
-        if a is None:
-            return None
+def _sample_sizes(data: bytes, box: dict[bytes, tuple[int, int]]) -> np.ndarray:
+    """Sizes by stsz or stz2. A size that all samples share is taken for as many as the file has bytes for."""
+    if b"stsz" in box:
+        a, b = box[b"stsz"]
         one, n = struct.unpack_from(">II", data, a + 4)
-        sizes = np.full(n, one, np.int64) if one else _table(data, a, b, 1, 8).ravel()
-        if b"co64" in box:
-            pairs = _table(data, *box[b"co64"], 2)
-            chunks = pairs[:, 0] << 32 | pairs[:, 1]
-        else:
-            chunks = _table(data, *box[b"stco"], 1).ravel() if b"stco" in box else np.empty(0, np.int64)
-        runs = _table(data, *box[b"stsc"], 3)
-        if not len(runs) or not len(chunks):
-            return {"codec": codec, "timescale": scale, "duration": length, "offsets": np.empty(0, np.int64), "sizes": sizes[:0], "sync": np.empty(0, np.int64)}
-        per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0] - 1, len(chunks))))[: len(chunks)]
-        of = np.repeat(np.arange(len(per_chunk)), per_chunk)[: len(sizes)]
-        sizes = sizes[: len(of)]
-        before = np.cumsum(sizes) - sizes
-        first = np.searchsorted(of, np.arange(len(chunks)), "left")
-        offsets = chunks[of] + before - before[np.minimum(first[of], len(before) - 1)]
-        sync = _table(data, *box[b"stss"], 1).ravel() - 1 if b"stss" in box else np.arange(len(sizes))
-        return {"codec": codec, "timescale": scale, "duration": length, "offsets": offsets, "sizes": sizes, "sync": sync[(sync >= 0) & (sync < len(sizes))]}
-    except (struct.error, ValueError, IndexError):
-        return None
+        return np.full(min(n, len(data) // one), one, np.int64) if one else _table(data, a, b, 1, 8).ravel()
+    a, b = box[b"stz2"]
+    bits, n = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
+    raw = np.frombuffer(data, np.uint8, b - a - 12, a + 12)
+    if bits == 4:
+        raw = np.stack([raw >> 4, raw & 15], 1).ravel()
+    elif bits == 16:
+        raw = raw[: len(raw) // 2 * 2].view(">u2")
+    elif bits != 8:
+        raise ValueError("field size of stz2")
+    return raw[:n].astype(np.int64)
+
+
+def _sample_table(data: bytes, box: dict[bytes, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, sizes, numbers of sync samples from 0) by a track's sample table; empty without one."""
+    none = np.empty(0, np.int64)
+    if b"stsc" not in box or not {b"stsz", b"stz2"} & box.keys() or not {b"stco", b"co64"} & box.keys():
+        return none, none, none
+    sizes = _sample_sizes(data, box)
+    if b"co64" in box:
+        pairs = _table(data, *box[b"co64"], 2)
+        chunks = pairs[:, 0] << 32 | pairs[:, 1]
+    else:
+        chunks = _table(data, *box[b"stco"], 1).ravel()
+    runs = _table(data, *box[b"stsc"], 3)
+    if not len(runs) or not len(chunks) or not len(sizes):
+        return none, none, none
+    run = np.searchsorted(runs[:, 0] - 1, np.arange(len(chunks)), "right") - 1
+    per_chunk = np.where(run < 0, 0, np.minimum(runs[run, 1], len(sizes)))
+    ends = np.cumsum(per_chunk)
+    sizes = sizes[: ends[-1]]
+    of = np.searchsorted(ends, np.arange(len(sizes)), "right")
+    before = np.cumsum(sizes) - sizes
+    offsets = chunks[of] + before - before[(ends - per_chunk)[of]]
+    sync = _table(data, *box[b"stss"], 1).ravel() - 1 if b"stss" in box else np.arange(len(sizes))
+    return offsets, sizes, sync[(sync >= 0) & (sync < len(sizes))]
+
+
+def _fragment(data: bytes, box: list[tuple[bytes, int, int]], moof: int, after: int, usual: dict[int, tuple[int, ...]]) -> tuple[int, list[tuple[np.ndarray, ...]], int, int]:
+    """(track, its runs as (offsets, sizes, sync), their duration, end of the data) of one traf with boxes (kind, start, end)."""
+    at, end = next((a, b) for k, a, b in box if k == b"tfhd")
+    flags, track = struct.unpack_from(">II", data, at)
+    flags, at = flags & 0xFFFFFF, at + 8
+    duration, size, kind = usual.get(track, (0, 0, 0))
+    base = moof if flags & 0x20000 or after < 0 else after
+    if flags & 1:
+        base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+    at += 4 if flags & 2 else 0
+    values = []
+    for bit, now in ((8, duration), (16, size), (32, kind)):
+        if flags & bit and at + 4 <= end:
+            now, at = struct.unpack_from(">I", data, at)[0], at + 4
+        values.append(now)
+    duration, size, kind = values
+    runs, took, place = [], 0, base
+    for name, a, b in box:
+        if name != b"trun":
+            continue
+        flags, n = struct.unpack_from(">II", data, a)
+        a += 8
+        if flags & 1:
+            place, a = base + struct.unpack_from(">i", data, a)[0], a + 4
+        first = None
+        if flags & 4:
+            first, a = struct.unpack_from(">I", data, a)[0], a + 4
+        fields = [f for f in (0x100, 0x200, 0x400, 0x800) if flags & f]
+        n = min(n, (b - a) // (4 * len(fields)) if fields else len(data) // max(size, 1))
+        table = np.frombuffer(data, ">u4", n * len(fields), a).astype(np.int64).reshape(n, len(fields))
+        column = {f: table[:, i] for i, f in enumerate(fields)}
+        sizes = column.get(0x200, np.full(n, size, np.int64))
+        kinds = column.get(0x400, np.full(n, kind, np.int64)).copy()
+        if first is not None and n:
+            kinds[0] = first
+        took += int(column[0x100].sum()) if 0x100 in column else n * duration
+        runs.append((place + np.cumsum(sizes) - sizes, sizes, kinds & 0x10000 == 0))
+        place += int(sizes.sum())
+    return track, runs, took, place
+
+
+def read_tracks(data: bytes | None) -> list[dict]:
+    """The tracks of a file in its order: track_id, handler, codec, timescale, duration (in timescale units), offsets and
+    sizes of samples, and sync (sample numbers from 0) of those that are key frames.
+
+    Samples come from the sample table and from movie fragments. The duration is the media header's, and that of the
+    fragments where the header has none; edit lists aren't applied. A track whose tables are broken is left out; tables that are
+    cut short are read as far as they go. Anything but an ISO file, a null too, has no tracks.
+    """
+    data = data or b""
+    tracks: list[dict[bytes, tuple[int, int]]] = []
+    parts: list[tuple[int, list[tuple[bytes, int, int]]]] = []  # of each traf: where its moof begins, and its boxes
+    usual: dict[int, tuple[int, ...]] = {}
+    moof = 0
+    for path, a, b in walk(data):
+        if path == (b"moov", b"trak"):
+            tracks.append({})
+        elif path[:2] == (b"moov", b"trak") and tracks:
+            tracks[-1].setdefault(path[-1], (a, b))
+        elif path == (b"moov", b"mvex", b"trex") and b - a >= 24:
+            track, _, *rest = struct.unpack_from(">5I", data, a + 4)
+            usual[track] = tuple(rest)
+        elif path == (b"moof",):
+            moof = a - 8
+        elif path == (b"moof", b"traf"):
+            parts.append((moof, []))
+        elif path[:2] == (b"moof", b"traf") and len(path) == 3 and parts:
+            parts[-1][1].append((path[-1], a, b))
+    found: dict[int, dict] = {}
+    out = []
+    for box in tracks:
+        try:
+            a, _ = box[b"mdhd"]
+            scale, length = struct.unpack_from(">IQ" if data[a] else ">II", data, a + (20 if data[a] else 12))
+            number = 0
+            if b"tkhd" in box:
+                number = struct.unpack_from(">I", data, box[b"tkhd"][0] + (20 if data[box[b"tkhd"][0]] else 12))[0]
+            handler = data[box[b"hdlr"][0] + 8 : box[b"hdlr"][0] + 12].decode("latin-1") if b"hdlr" in box else ""
+            codec = data[box[b"stsd"][0] + 12 : box[b"stsd"][0] + 16].decode("latin-1")
+            offsets, sizes, sync = _sample_table(data, box)
+        except (struct.error, ValueError, IndexError, KeyError):
+            continue
+        out.append({"track_id": number, "handler": handler, "codec": codec, "timescale": scale, "duration": length, "offsets": offsets, "sizes": sizes, "sync": sync, "runs": [], "took": 0})
+        found.setdefault(number, out[-1])
+    after, last = -1, None
+    for moof, box in parts:
+        after = after if moof == last else -1
+        last = moof
+        try:
+            number, runs, took, after = _fragment(data, box, moof, after, usual)
+        except (struct.error, ValueError, StopIteration):
+            continue
+        if number in found:
+            found[number]["runs"] += runs
+            found[number]["took"] += took
+    for t in out:
+        runs, took = t.pop("runs"), t.pop("took")
+        if runs:
+            n = np.cumsum([len(t["sizes"]), *(len(r[1]) for r in runs)])
+            t["sync"] = np.concatenate([t["sync"], *(np.flatnonzero(r[2]) + k for r, k in zip(runs, n, strict=False))])
+            t["offsets"], t["sizes"] = (np.concatenate([t[x], *(r[i] for r in runs)]) for i, x in enumerate(("offsets", "sizes")))
+            t["duration"] = t["duration"] or took
+    return out
+
+
+def read_container(data: bytes | None) -> dict | None:
+    """The first video track of a file, else its first track; None if it has none."""
+    tracks = read_tracks(data)
+    return next((t for t in tracks if t["handler"] == "vide"), tracks[0] if tracks else None)
 
 
 def key_ranges(track: dict) -> list[dict]:
@@ -147,37 +269,48 @@ def samples(data: bytes, track: dict) -> bytes:
     return b"".join(data[o[a] : o[b] + s[b]] for a, b in zip(starts, ends, strict=True))
 
 
+def _seconds(track: dict) -> float | None:
+    return track["duration"] / track["timescale"] if track["timescale"] else None
+
+
 def media_columns(files: DataFrame, column: str = "media") -> DataFrame:
-    """files with the column replaced by codec, duration_s and keyframes (array of offset, length).
+    """files with the column replaced by codec, duration_s, keyframes (array of offset, length) and tracks.
 
-    Nulls, empty and broken files, and files without a track, give nulls. Payloads aren't decoded. Columns of files that
-    are named like a new one are dropped.
+    tracks has track_id, handler, codec, duration_s and keyframes of each track, in file order; the other columns are those
+    of the first video track, else of the first track. Nulls, empty and broken files, and files without a track, give
+    nulls and no tracks. Payloads aren't decoded, and a file of any length is walked by its headers alone. Columns of files that are
+    named like a new one are dropped. Rows stand for themselves, repeated ones too; an empty table gives no rows.
     """
-    new = ["codec", "duration_s", "keyframes"]
+    new = ["codec", "duration_s", "keyframes", "tracks"]
     rest = [c for c in files.columns if c != column and c not in new]
+    ranges = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
+    each = pa.list_(pa.struct([("track_id", pa.int64()), ("handler", pa.string()), ("codec", pa.string()), ("duration_s", pa.float64()), ("keyframes", ranges)]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [read_container(x) for x in b[column]]
-            out = b[rest].copy()
-            out["codec"] = [t and t["codec"] for t in got]
-            out["duration_s"] = [t["duration"] / t["timescale"] if t and t["timescale"] else None for t in got]
-            out["keyframes"] = [key_ranges(t) if t else None for t in got]
-            yield out
-
+            all_, first = [], []
+            for x in b.column(column).to_pylist():
+                tracks = [{"track_id": t["track_id"], "handler": t["handler"], "codec": t["codec"], "duration_s": _seconds(t), "keyframes": key_ranges(t)} for t in read_tracks(x)]
+                all_.append(tracks)
+                first.append(next((t for t in tracks if t["handler"] == "vide"), tracks[0] if tracks else {}))
+            got = {c: pa.array([t.get(c) for t in first], kind) for c, kind in zip(new, (pa.string(), pa.float64(), ranges), strict=False)}
+            yield beside_ids(b, got | {"tracks": pa.array(all_, each)}, carried=tuple(rest))
+
+    keys = "array<struct<offset: long, length: long>>"
     schema = "".join(f"`{c}` {files.schema[c].dataType.simpleString()}, " for c in rest)
-    return files.select(*rest, column).mapInPandas(run, schema + "codec string, duration_s double, keyframes array<struct<offset: long, length: long>>")
+    schema += f"codec string, duration_s double, keyframes {keys}, tracks array<struct<track_id: long, handler: string, codec: string, duration_s: double, keyframes: {keys}>>"
+    return files.select(*rest, column).mapInArrow(run, schema)
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): the UTF-8 bytes of each text (null: empty), padded and stored in a container."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = [(t or "").encode("utf-8", "surrogatepass") for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": [len(r) for r in raw], "media": [write_container(padded(r)) for r in raw]})
+            raw = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
+            yield beside_ids(b, {"n_bytes": pa.array(map(len, raw), pa.int64()), "media": pa.array([write_container(padded(r)) for r in raw], pa.binary())})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def media_digests(stored: DataFrame) -> DataFrame:
@@ -185,23 +318,26 @@ def media_digests(stored: DataFrame) -> DataFrame:
 
     A broken or null file gives nulls for all but doc_id and n_bytes. feature sums up the track in a line.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ranges = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
+    kinds = {
+        "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(),
+        "feature": pa.string(), "codec": pa.string(), "duration_s": pa.float64(), "keyframes": ranges,
+    }
+
+    def digests(data: bytes | None) -> tuple:
+        t = read_container(data)
+        if t is None:
+            return (None,) * len(kinds)
+        back, keys = samples(data, t), key_ranges(t)
+        last = keys[-1] if keys else {"offset": 0, "length": 0}
+        feature = f"codec={t['codec'].strip()};scale={t['timescale']};duration={t['duration']};samples={len(t['sizes'])};keyframes={len(keys)};last_key={last['offset']}+{last['length']}"
+        return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, t["codec"], _seconds(t), keys
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for data in b["media"]:
-                t = read_container(data)
-                if t is None:
-                    rows.append((None,) * 9)
-                    continue
-                back, keys = samples(data, t), key_ranges(t)
-                last = keys[-1] if keys else {"offset": 0, "length": 0}
-                feature = f"codec={t['codec'].strip()};scale={t['timescale']};duration={t['duration']};samples={len(t['sizes'])};keyframes={len(keys)};last_key={last['offset']}+{last['length']}"
-                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, t["codec"], t["duration"] / t["timescale"], keys))
-            out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration_s", "keyframes"])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            out.insert(1, "n_bytes", b["n_bytes"].to_numpy())
-            yield out
+            rows = [digests(data) for data in b.column("media").to_pylist()]
+            columns = {c: pa.array([r[i] for r in rows], kind) for i, (c, kind) in enumerate(kinds.items())}
+            yield beside_ids(b, columns, carried=("doc_id", "n_bytes"))
 
     schema = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, keyframes array<struct<offset: long, length: long>>"
-    return stored.mapInPandas(run, f"doc_id {stored.schema['doc_id'].dataType.simpleString()}, {schema}")
+    return stored.mapInArrow(run, f"doc_id {stored.schema['doc_id'].dataType.simpleString()}, {schema}")

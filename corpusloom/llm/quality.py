@@ -1,9 +1,11 @@
 """Quality selection by importance resampling.
 
 Two generative models over hashed words and word pairs are counted: one of target text (labelled as good), one of all
-text. A document's importance is the ratio of the two, per token; Gumbel noise on its logarithm turns the k largest keys
-into a sample without replacement, of probability in proportion to importance. k comes from the data: as many documents
-as lie on the good side of the cut that best parts the labelled ones.
+text. A document's importance is the ratio of the two for an excerpt of EXCERPT tokens that is like the whole: the mean
+log ratio of its tokens times EXCERPT, so that long and short texts of one kind weigh the same. Gumbel noise on the
+logarithm of the importance turns the k largest keys into a sample without replacement, of probability in proportion to
+importance. k is given, or comes from the labels: as many documents as have a key above the cut that best parts the keys
+of the labelled ones.
 
 Two passes over all texts. BUCKETS counts and a histogram of labelled scores reach the driver; the k-th key is found by
 counting keys in ever finer intervals, not by a sort.
@@ -17,17 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fitted
+from .common import Scratch, beside_ids, fitted
 
 BUCKETS, PAIR = 10_000, np.uint64(0x9E3779B97F4A7C15)
 #: Labelled documents that are used at most: those whose doc_id has the smallest hash.
 MOST_LABELLED = 20_000
-#: Inverse temperature: importance is exp(SHARPNESS * mean log ratio of a token), so that noise of a few units moves
-#: only documents near the cut.
-SHARPNESS, SEED, BINS = 400.0, 17, 2000
+#: Tokens of the excerpt whose importance is a document's.
+EXCERPT, SEED, BINS = 64, 17, 2000
 #: Ids of refused documents up to which they are broadcast.
 FETCH_ROWS = 2_000_000
 
@@ -77,31 +79,31 @@ def score(rows: DataFrame, ratios: np.ndarray) -> DataFrame:
     """rows (doc_id, good, text) with n_tokens and mean_ratio in place of text; a text without tokens has mean 0."""
     sent = rows.sparkSession.sparkContext.broadcast(ratios)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = sent.value
         for b in batches:
             total, n = np.zeros(len(b)), np.zeros(len(b), np.int64)
-            for i, text in enumerate(b["text"]):
+            for i, text in enumerate(b.column("text").to_pylist()):
                 for f in features(text):
                     total[i] += r[f].sum()
                     n[i] += len(f)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "good": b["good"], "n_tokens": n, "mean_ratio": total / np.maximum(n, 1)})
+            yield beside_ids(b, {"n_tokens": pa.array(n), "mean_ratio": pa.array(total / np.maximum(n, 1))}, carried=("doc_id", "good"))
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "good", "text").mapInPandas(run, f"doc_id {kind}, good int, n_tokens long, mean_ratio double")
+    return rows.select("doc_id", "good", "text").mapInArrow(run, f"doc_id {kind}, good int, n_tokens long, mean_ratio double")
 
 
 def best_cut(scored: DataFrame) -> float:
-    """The cut of mean_ratio that parts labelled documents best, of equally good ones the lowest; -inf without both labels.
+    """The cut of key that parts labelled documents best, of equally good ones the lowest; -inf without both labels.
 
     A wrongly refused good document weighs as much as ten wrongly kept bad ones, in shares of each kind.
     """
     known = scored.where("good is not null and n_tokens > 0")
-    ends = known.agg(F.min("mean_ratio"), F.max("mean_ratio"), F.min("good"), F.max("good")).first()
+    ends = known.agg(F.min("key"), F.max("key"), F.min("good"), F.max("good")).first()
     if ends[0] is None or ends[2] == ends[3]:
         return float("-inf")
     low, step = ends[0], max((ends[1] - ends[0]) / BINS, 1e-12)
-    bin_ = F.least(F.floor((F.col("mean_ratio") - low) / step), F.lit(BINS - 1)).cast("int")
+    bin_ = F.least(F.floor((F.col("key") - low) / step), F.lit(BINS - 1)).cast("int")
     h = np.zeros((2, BINS))
     for r in known.groupBy(bin_.alias("bin"), "good").count().collect():  # 2 BINS rows at most
         h[int(r["good"] == 1), r["bin"]] += r["count"]
@@ -133,11 +135,11 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 512) -> float:
     return low
 
 
-def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None, sharpness: float = SHARPNESS, seed: int = SEED, most_labelled: int = MOST_LABELLED) -> DataFrame:
+def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None, excerpt: int = EXCERPT, seed: int = SEED, most_labelled: int = MOST_LABELLED) -> DataFrame:
     """A row for each row of docs: doc_id, n_tokens, mean_ratio, gumbel_key, sampled.
 
     labels has doc_id and quality (1 good, 0 bad; a null is no label). At most most_labelled of them, those of the
-    smallest hash, are used. k is the size of the sample, by default the number of documents above the best cut; ties
+    smallest hash, are used. k is the size of the sample, by default the number of documents with a key above the best cut; ties
     at the k-th key are all sampled. Noise is a hash of doc_id and seed, so reruns agree. A text that is null or has no
     tokens has a mean of 0. Without good labels the models are equal but for smoothing; without labels of both
     kinds every document is sampled unless k says otherwise.
@@ -149,9 +151,9 @@ def importance_sample(docs: DataFrame, labels: DataFrame, k: int | None = None,
     rows = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("__doc"), "left").select("doc_id", "good", "text")
     scored = score(rows, log_ratios(rows.select("text", "good")))
     unit = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**52)).cast("double") + 0.5) / float(2**52)
-    scored = scratch.keep(scored.withColumn("key", F.col("mean_ratio") * sharpness - F.log(-F.log(unit))))
+    scored = scratch.keep(scored.withColumn("key", F.col("mean_ratio") * excerpt - F.log(-F.log(unit))))
     if k is None:
-        k = scored.where(F.col("mean_ratio") >= best_cut(scored)).count()
+        k = scored.where(F.col("key") >= best_cut(scored)).count()
     return scored.select("doc_id", "n_tokens", "mean_ratio", F.col("key").alias("gumbel_key"), (F.col("key") >= kth_largest(scored, k)).alias("sampled"))
 
 

@@ -17,9 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import beside_ids
+
 #: n-gram lengths in bytes, counters of the hash, and bytes that are looked at together.
 GRAMS, BUCKETS, BLOCK = (2, 3, 4), 1 << 16, 1 << 20
 #: Scale of a classifier's output before the loss, and the score gap under which a decision is ambiguous.
@@ -31,20 +34,29 @@ _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint3
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
-    """n codewords: all ways to split up to 7 languages in two, else random columns, 12 for each doubling of n."""
+    """n codewords: all ways to split up to 7 languages in two, else random columns, 12 for each doubling of n at least.
+
+    Columns are added until any two codewords differ in a third of them, so that a sixth of the bits may be wrong.
+    """
     if n < 2:
         return np.ones((n, 1))
     if n <= 7:
         cols = [c for c in itertools.product((1, -1), repeat=n) if c[0] == 1 and -1 in c]
         return np.array(cols, float).T
     rng, cols = np.random.default_rng(seed), []
-    while len(cols) < 12 * int(np.ceil(np.log2(n))):
+    while len(cols) < 12 * int(np.ceil(np.log2(n))) or 3 * _nearest(np.array(cols).T) < len(cols):
         c = rng.permutation(np.where(np.arange(n) % 2, 1, -1))
         if not any(np.array_equal(c, x) or np.array_equal(-c, x) for x in cols):
             cols.append(c)
     return np.array(cols, float).T
 
 
+def _nearest(code: np.ndarray) -> int:
+    """Bits in which the two nearest codewords differ."""
+    apart = (code.shape[1] - code @ code.T) / 2
+    return int((apart + np.eye(len(code)) * code.shape[1]).min())
+
+
 def _bytes_of(text: str | None) -> bytes:
     return b" " + text.lower().encode("utf-8", "ignore").translate(_LETTERS_ONLY) + b" " if text else b""
 
@@ -67,21 +79,18 @@ def _hashes(b: np.ndarray) -> list[np.ndarray]:
 
 
 def _blocks(raw: bytes) -> Iterator[np.ndarray]:
-    """raw in blocks that overlap by the longest n-gram less one byte."""
+    """Buckets of the n-grams of each length that start in each block of raw; every n-gram comes once."""
     b = np.frombuffer(raw, np.uint8)
-    over = max(GRAMS) - 1
-    for i in range(0, max(1, len(b) - over), BLOCK):
-        yield b[i : i + BLOCK + over]
+    for i in range(0, len(b), BLOCK):
+        for h in _hashes(b[i : i + BLOCK + max(GRAMS) - 1]):
+            yield h[:BLOCK]
 
 
 def _distribution(raw: bytes) -> np.ndarray:
     """Share of each bucket in a text's n-grams."""
     total = np.zeros(BUCKETS)
-    for block in _blocks(raw):
-        for h in _hashes(block):
-            total += np.bincount(h, minlength=BUCKETS) if len(h) > 20_000 else 0
-            if len(h) <= 20_000:
-                np.add.at(total, h, 1.0)
+    for h in _blocks(raw):
+        total += np.bincount(h, minlength=BUCKETS)
     n = total.sum()
     return total / n if n else total
 
@@ -96,13 +105,11 @@ def _outputs(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
             size += len(texts[j])
             j += 1
         if j == i + 1:
-            for block in _blocks(texts[i]):
-                for h in _hashes(block):
-                    out[i] += weights[h].sum(axis=0, dtype=np.float64)
-                    n[i] += len(h)
+            for h in _blocks(texts[i]):
+                out[i] += weights[h].sum(axis=0, dtype=np.float64)
+                n[i] += len(h)
         else:
             b = np.frombuffer(b"".join(texts[i:j]), np.uint8)
-            ends = np.cumsum([len(t) for t in texts[i:j]])
             owner = np.repeat(np.arange(i, j), [len(t) for t in texts[i:j]])
             for g, h in zip(GRAMS, _hashes(b), strict=False):
                 inside = owner[: len(h)] == owner[g - 1 : g - 1 + len(h)]  # n-grams within one text
@@ -110,7 +117,6 @@ def _outputs(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
                 for bit in range(weights.shape[1]):
                     out[:, bit] += np.bincount(own, weights[h[inside], bit], len(texts))
                 n += np.bincount(own, minlength=len(texts))
-            del ends
         i = j
     return out / np.maximum(n, 1)[:, None]
 
@@ -207,16 +213,16 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            n = len(b)
+            texts, n = b.column("text").to_pylist(), len(b)
             lang, score, clear = np.full(n, UNDETERMINED, object), np.zeros(n), np.zeros(n)
-            at = np.array([i for i, t in enumerate(b["text"]) if m is not None and _has_letter(t)], int)
+            at = np.array([i for i, t in enumerate(texts) if m is not None and _has_letter(t)], int)
             if len(at):
-                best, top, gap = m.decode(_outputs([_bytes_of(b["text"].iloc[i]) for i in at], m.weights))
+                best, top, gap = m.decode(_outputs([_bytes_of(texts[i]) for i in at], m.weights))
                 lang[at], score[at], clear[at] = np.array(m.languages, object)[best], top, gap
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": lang, "score": score, "ambiguous": clear < CLEAR})
+            yield beside_ids(b, {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score), "ambiguous": pa.array(clear < CLEAR)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(predict, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+    return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")

@@ -13,11 +13,11 @@ import re
 from collections.abc import Iterator
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fitted
+from .common import beside_ids, fitted
 
 #: Spellings that licence matching guidelines treat alike, each with the form that stands for it.
 EQUIVALENT = {
@@ -206,10 +206,10 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     # only lines whose form is as long as that of a notice can be one
     lengths = {r["chars"] for r in known.where("not whole").select("chars").distinct().collect()} if "chars" in known.columns else None
 
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, whole, lines = [], [], []
-            for text in b["text"]:
+            for text in b.column("text").to_pylist():
                 form = canonical(text)
                 n.append(form.count(" ") + 1 if form else 0)
                 whole.append(_digest(form))
@@ -217,10 +217,10 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
                 short = {form} if len(split) == 1 else set(map(canonical, split))
                 short = {f for f in short if f and (lengths is None or len(f) in lengths)}
                 lines.append([_digest(f) for f in sorted(short)])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_words": n, "whole": whole, "lines": lines})
+            yield beside_ids(b, {"n_words": pa.array(n, pa.int64()), "whole": pa.array(whole, pa.binary()), "lines": pa.array(lines, pa.list_(pa.binary()))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInPandas(digests, f"doc_id {kind}, n_words long, whole binary, lines array<binary>")
+    rows = docs.select("doc_id", "text").mapInArrow(digests, f"doc_id {kind}, n_words long, whole binary, lines array<binary>")
     marks = rows.select("doc_id", "n_words", "whole", F.explode(F.concat(F.array(F.struct(F.col("whole").alias("digest"), F.lit(True).alias("all"))), F.transform("lines", lambda x: F.struct(x.alias("digest"), F.lit(False).alias("all"))))).alias("m"))
     marks = marks.select("doc_id", "whole", "m.digest", "m.all", F.when(F.col("m.all"), F.col("n_words")).alias("n_words"))
     found = marks.join(fitted(known.select("digest", "license_id", F.col("whole").alias("is_text"))), "digest", "left")

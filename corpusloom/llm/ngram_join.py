@@ -25,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, fitted
+from .common import Scratch, beside_ids, components, fitted
 
 SHINGLE, PERCENT = 5, 80
 #: Counters of the table of shingle frequencies, and the largest l.
@@ -79,6 +80,10 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)], dtype=np.int32), np.concatenate([*parts, np.empty(0, np.int64)]))
+
+
 def shingle_counts(docs: DataFrame) -> np.ndarray:
     """Counts of shingles over all documents by BUCKETS hashed counters."""
 
@@ -124,23 +129,23 @@ def signatures(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> D
     usual = float(np.median(used)) if len(used) else 0.0
     sent = docs.sparkSession.sparkContext.broadcast(np.maximum(0.0, counts - usual - 3 * np.sqrt(usual + 1)).astype(np.float32))
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         shingles, extra = Shingler(), sent.value
         for b in batches:
             n, cls, ms, prefixes = [], [], [], []
-            for text in b["text"]:
+            for text in b.column("text").to_pylist():
                 h = shingles(text)
                 m, p = prefix_of(h, extra, percent) if len(h) else (0, h)
                 n.append(len(h))
                 cls.append(xxh3_128_digest(h.tobytes()) if len(h) else None)
                 ms.append(m)
                 prefixes.append(p.view(np.int64))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "key": b["key"], "n": np.array(n, np.int64), "class": cls, "matches": np.array(ms, np.int32), "prefix": prefixes})
+            yield beside_ids(b, {"n": pa.array(n, pa.int64()), "class": pa.array(cls, pa.binary()), "matches": pa.array(ms, pa.int32()), "prefix": _lists(prefixes)}, carried=("doc_id", "key"))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key(), "text").mapInPandas(sign, f"doc_id {kind}, key long, n long, class binary, matches int, prefix array<long>")
+    return docs.select("doc_id", text_key(), "text").mapInArrow(sign, f"doc_id {kind}, key long, n long, class binary, matches int, prefix array<long>")
 
 
 def text_key() -> Column:
@@ -159,15 +164,15 @@ def class_sets(docs: DataFrame, wanted: DataFrame, repeated: bool = True) -> Dat
     repeated: whether rows may share doc_id and key; one of them is taken then.
     """
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
         for b in batches:
-            yield pd.DataFrame({"cid": b["cid"], "set": [shingles(t).view(np.int64) for t in b["text"]]})
+            yield beside_ids(b, {"set": _lists([shingles(t).view(np.int64) for t in b.column("text").to_pylist()])}, carried=("cid",))
 
     rows = docs.select("doc_id", text_key(), "text").alias("d").join(fitted(wanted, FETCH_ROWS).alias("w"), same_row("d", "w")).select("w.cid", "d.text")
     if repeated:
         rows = rows.groupBy("cid").agg(F.min("text").alias("text"))
-    return rows.mapInPandas(sets, "cid long, set array<long>")
+    return rows.mapInArrow(sets, "cid long, set array<long>")
 
 
 def _asked(x: str, y: str, percent: int) -> str:

@@ -344,10 +344,25 @@ def test_kth_largest(spark):
     assert quality.kth_largest(df, 550) == float("-inf") and quality.kth_largest(df, 0) == float("inf")
 
 
-def test_quality_against_labels(spark, sf, docs):
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    got = quality.importance_sample(docs, labels).join(labels, "doc_id").toPandas()
-    assert got.loc[got["quality"] == 1, "sampled"].mean() > 0.97 and got.loc[got["quality"] == 0, "sampled"].mean() < 0.2
+def test_quality_against_labels(spark):
+    """Models and size of the sample come from half of the labels; the other half judges."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    got = quality.importance_sample(docs, labels.where(half)).join(labels.where(~half), "doc_id").toPandas()
+    assert got.loc[got["quality"] == 1, "sampled"].mean() > 0.97 and got.loc[got["quality"] == 0, "sampled"].mean() < 0.25
+
+
+def test_inclusion_follows_importance(spark):
+    """Gumbel top-k takes a document of log weight w with probability 1 - exp(-exp(w - cut))."""
+    kinds = {"good": "the plain words of good text", "mixed": "the plain words of zxq zxw zxe", "bad": "zxq zxw zxe zxr zxt zxy"}
+    rows = [(i, kinds[k]) for i, k in enumerate(k for k in kinds for _ in range(600))]
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in (*range(30), *range(1750, 1780))], "doc_id long, quality int")
+    got = quality.importance_sample(spark.createDataFrame(rows, "doc_id long, text string"), labels, k=700, excerpt=2).toPandas()
+    assert got["sampled"].sum() == 700
+    cut = got.loc[got["sampled"], "gumbel_key"].min()
+    got["expected"] = 1 - np.exp(-np.exp(got["mean_ratio"] * 2 - cut))
+    rates = got.groupby(got["doc_id"] // 600).agg(rate=("sampled", "mean"), expected=("expected", "mean"))
+    assert (rates["rate"] - rates["expected"]).abs().max() < 0.06 and rates["rate"].iloc[0] > rates["rate"].iloc[1] > rates["rate"].iloc[2]
 
 
 def test_language_held_out(spark, sf):
@@ -355,10 +370,20 @@ def test_language_held_out(spark, sf):
     assert (got["lang"] == got["lang_pred"]).mean() > 0.97 and got["score"].between(0, 1).all()
 
 
-@pytest.mark.parametrize("n", [1, 2, 4, 7, 12])
+@pytest.mark.parametrize("n", [1, 2, 4, 7, 12, 40])
 def test_codewords_differ(n):
     code = language_id.codewords(n)
     assert len({tuple(r) for r in code.tolist()}) == n
+    apart = [(a != b).mean() for i, a in enumerate(code) for b in code[:i]]
+    assert min(apart, default=1) >= 1 / 3
+
+
+def test_grams_of_long_texts_count_once(monkeypatch):
+    raw = language_id._bytes_of("Some words of a text, again and again, ends here")
+    whole = language_id._distribution(raw)
+    for block in (3, 4, 7, 16):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        assert np.allclose(language_id._distribution(raw), whole)
 
 
 @pytest.mark.parametrize("raw", [b"", b"x", b"a" * 64, b"ab" * 5000])
@@ -376,6 +401,79 @@ def test_broken_media():
     assert media.read_container(None) is None and media.read_container(b"junk") is None
     for cut in range(0, len(good), 37):
         media.read_container(good[:cut])
+    rng = random.Random(11)
+    for _ in range(500):
+        bad = bytearray(good)
+        for _ in range(rng.randrange(1, 12)):
+            bad[rng.randrange(len(bad) - 1000)] = rng.choice([0, 1, 255, rng.randrange(256)])
+        media.read_tracks(bytes(bad))
+
+
+def test_hostile_media():
+    deep = b""
+    for _ in range(3000):
+        deep = media._box(b"moov", deep)
+    assert media.read_tracks(deep) == []
+    good = media.write_container(media.padded(b"x" * 1000))
+    most = (2**32 - 1).to_bytes(4, "big")
+    for name, skip in ((b"stsz", 12), (b"stsc", 12), (b"stsc", 16), (b"stss", 8), (b"co64", 8)):
+        at = good.index(name) + skip
+        media.read_tracks(good[:at] + most + good[at + 4 :])
+
+
+def word(*values):
+    return b"".join(v.to_bytes(4, "big") for v in values)
+
+
+def track_box(number, handler, codec, scale, duration, *tables):
+    head = media._full(b"tkhd", word(0, 0, number, 0, duration), b"\0" * 60)
+    table = media._box(b"stbl", media._full(b"stsd", word(1), media._box(codec, b"\0" * 8)), *tables)
+    body = media._box(b"mdia", media._full(b"mdhd", word(0, 0, scale, duration, 0)), media._full(b"hdlr", b"\0" * 4, handler, b"\0" * 13), media._box(b"minf", table))
+    return media._box(b"trak", head, body)
+
+
+def two_tracks():
+    """Sound in two chunks of 2 and 1 samples with sizes by stz2, then video in two chunks of which samples 1 and 3 are keys."""
+    sound = track_box(1, b"soun", b"mp4a", 1000, 3000, media._full(b"stsc", word(2, 1, 2, 1, 2, 1, 1)), media._full(b"stz2", word(4, 3), b"\x12\x30"), media._full(b"stco", word(2, 5000, 6000)))
+    video = track_box(2, b"vide", b"avc1", 600, 1200, media._full(b"stss", word(2, 1, 3)), media._full(b"stsc", word(1, 1, 2, 1)), media._full(b"stsz", word(0, 4, 10, 20, 30, 40)), media._full(b"stco", word(2, 5100, 6100)))
+    return media._box(b"ftyp", b"isom") + media._box(b"moov", sound, video)
+
+
+def fragmented():
+    track = track_box(7, b"vide", b"hvc1", 100, 0)
+    trex = media._box(b"mvex", media._full(b"trex", word(7, 1, 5, 11, 0x10000)))
+    head = media._box(b"ftyp", b"isom") + media._box(b"moov", track, trex)
+    first = media._box(b"moof", media._full(b"mfhd", word(1)), media._box(b"traf", media._full(b"tfhd", word(7), flags=0x20000), media._full(b"trun", word(3, 200, 0), flags=0x5)))
+    second = media._box(b"moof", media._box(b"traf", media._full(b"tfhd", word(7, 9), flags=0x20008), media._full(b"trun", word(2, 300), word(21, 0x10000, 22, 0), flags=0x601), media._full(b"trun", word(1, 23, 0), flags=0x600)))
+    return head + first + second, len(head), len(head) + len(first)
+
+
+def test_tracks_and_fragments(spark):
+    sound, video = media.read_tracks(two_tracks())
+    assert (sound["track_id"], sound["handler"], sound["codec"], sound["sizes"].tolist(), sound["offsets"].tolist(), sound["sync"].tolist()) == (1, "soun", "mp4a", [1, 2, 3], [5000, 5001, 6000], [0, 1, 2])
+    assert media.key_ranges(video) == [{"offset": 5100, "length": 10}, {"offset": 6100, "length": 30}]
+    data, one, two = fragmented()
+    (t,) = media.read_tracks(data)
+    assert t["sizes"].tolist() == [11, 11, 11, 21, 22, 23] and t["duration"] == 3 * 5 + 3 * 9
+    assert t["offsets"].tolist() == [one + 200, one + 211, one + 222, two + 300, two + 321, two + 343] and t["sync"].tolist() == [0, 4, 5]
+    rows = [(2**53 + 1, two_tracks(), "x"), (None, None, "y"), (2**53 + 3, b"", None), (4, data, "z")]
+    files = spark.createDataFrame(rows, "doc_id long, media binary, codec string")
+    got = {r.doc_id: r for r in media.media_columns(files).collect()}
+    assert got.keys() == {r[0] for r in rows}
+    r = got[2**53 + 1]
+    assert (r.codec, r.duration_s, [x.handler for x in r.tracks], [x.length for x in r.keyframes]) == ("avc1", 2.0, ["soun", "vide"], [10, 30])
+    assert got[None].codec is None and got[None].tracks == [] and got[4].duration_s == 0.42
+    assert media.media_columns(files.limit(0)).count() == 0
+
+
+def test_ids_keep_all_digits_beside_nulls(spark):
+    rows = [(2**53 + 1, "one two three"), (None, "no id at all"), (2**53 + 3, None), (-(2**62) - 1, "four five. " * 3)]
+    docs = frame(spark, [(i, t, "en", "s") for i, t in rows])
+    for name, run in OPERATORS.items():
+        got = run(spark, docs)
+        if "doc_id" in got.columns and name not in ("mixed", "quality_filter"):
+            ids = {r.doc_id for r in got.select("doc_id").collect()}
+            assert ids <= {r[0] for r in rows} and {2**53 + 1, None, -(2**62) - 1} <= ids, name
 
 
 def test_licenses(spark):

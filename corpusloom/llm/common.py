@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join is broadcast; it is counted first, and a shuffle join follows beyond it.
 BROADCAST_ROWS = 200_000
+#: Bytes of a side's columns up to which it is broadcast, however few its rows are.
+BROADCAST_BYTES = 64 << 20
 
 #: What separates words in the contracts on words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,9 +66,20 @@ class Scratch:
                 p.getFileSystem(conf).delete(p, True)
 
 
-def fitted(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """small with a broadcast hint if it has at most limit rows (counted up to there), else with a hash-join hint."""
-    few = small.limit(limit + 1).count() <= limit
+def _bytes_of_row(df: DataFrame) -> Column:
+    """About the bytes of a row: 8 for each column, and what strings, binaries and arrays hold."""
+    held = {"string": F.octet_length, "binary": F.octet_length, "array": lambda c: 8 * F.size(c)}
+    parts = [F.coalesce(held[f.dataType.typeName()](F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema if f.dataType.typeName() in held]
+    return sum(parts, F.lit(8 * len(df.columns)))
+
+
+def fitted(small: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """small with a broadcast hint if it has at most limit rows and most_bytes bytes, else with a hash-join hint.
+
+    Rows are counted up to limit only. A hash join leaves a side with a hot key to AQE, which splits it.
+    """
+    seen = small.limit(limit + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(_bytes_of_row(small).cast("long")).alias("bytes")).first()
+    few = seen["n"] <= limit and (seen["bytes"] or 0) <= most_bytes
     return F.broadcast(small) if few else small.hint("shuffle_hash")
 
 

@@ -6,7 +6,8 @@ document, or whose texts have ended, leaves the recursion; only the rest of the
 in company goes on. Equality is decided by the bytes alone.
 
 Each level is one aggregation by (group, digit), which combines on the map side, and one join of the rows with the
-groups of two and more, broadcast while these are few and hash-joined otherwise. No task holds a group.
+groups of two and more, broadcast while these are few and their digits take few bytes, and hash-joined otherwise. No task
+holds a group.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .common import Scratch, fitted
 
 #: Bytes of the first digit; each next digit is WIDEN times as wide.
 FIRST_DIGIT, WIDEN = 64, 32
+#: What a column can hold, and a position in it can be.
+WIDEST = 2**31 - 1
 
 
 def _groups(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -60,14 +63,14 @@ def exact_dedup(docs: DataFrame, first_digit: int = FIRST_DIGIT, widen: int = WI
                 F.coalesce("g.n", F.lit(1)).cast("long").alias("n"),
                 F.when(F.col("g.n").isNull(), rows["doc_id"]).otherwise(F.col("g.keep")).alias("grp"),
                 F.coalesce("g.mark", F.lit(0)).alias("twin"),
-                F.when(goes_on, F.substring(rows["rest"], width + 1, 2**31 - 1)).alias("rest"),
+                F.when(goes_on, F.substring(rows["rest"], width + 1, WIDEST)).alias("rest"),
             )
         )
         done.append(level.where("rest is null"))
         active = level.where("rest is not null")
         if not active.limit(1).count():
             break
-        width *= widen
+        width = min(width * widen, WIDEST)
     return reduce(DataFrame.unionByName, done).select(
         "doc_id",
         F.col("grp").alias("keep_id"),

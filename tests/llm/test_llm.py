@@ -67,6 +67,15 @@ def test_exact_dedup_of_long_and_near_texts(spark):
         assert got[i] == (max(same), len(same), i == max(same), hashlib.sha256((t or "").encode()).hexdigest())
 
 
+def test_exact_dedup_with_wide_digits(spark, monkeypatch):
+    base = "ab" * 40_000
+    rows = [(1, base), (2, base), (3, base[:-1] + "x"), (4, base[:-1] + "x"), (5, base[1:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(df, first_digit=2, widen=1 << 15).collect()} == {1: 2, 2: 2, 3: 4, 4: 4, 5: 5}
+    monkeypatch.setattr(exact_dedup, "fitted", lambda g: common.fitted(g, most_bytes=0))
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(df).collect()} == {1: (2, 2), 2: (2, 2), 3: (4, 2), 4: (4, 2), 5: (5, 1)}
+
+
 # line deduplication
 
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Unicode ranges that mathematics is written in.
-MATH_RANGES = r"∀-⋿⟀-⟯⦀-⧿⨀-⫿←-⇿Ͱ-Ͽ⁰-₟℀-⅏"
-MATH_SHARE, ACCENTED, PLAIN = 0.0005, "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+#: Unicode ranges that mathematics is written in: mathematical letters, Greek, operators, arrows, combining
+#: marks, raised and lowered digits, letterlike symbols, and signs of Latin-1.
+MATH_RANGES = r"\x{1D400}-\x{1D7FF}\x{370}-\x{3FF}\x{2200}-\x{22FF}\x{2190}-\x{21FF}\x{300}-\x{36F}\x{2070}-\x{209F}\x{2100}-\x{214F}\x{B0}-\x{BF}"
+MATH_SHARE = 0.0005
+#: Strategies whose chunks carry their own context, and what older prefixed chunks begin with.
+SPECIAL_STRATEGIES, PREFIXES = ("summary", "image", "table"), ("Section:", "Context:")
 
 
 def sanitize(c: Column) -> Column:
@@ -22,21 +28,38 @@ def content_hash(text: Column, binary: Column | None = None) -> Column:
 
 
 def clean_equations(c: Column) -> Column:
-    """Display and environment mathematics become [equation]."""
-    out = F.regexp_replace(c, r"(?s)\\begin\{(equation|align|eqnarray|gather|multline)\*?\}.*?\\end\{\1\*?\}", "[equation]")
-    return F.regexp_replace(F.regexp_replace(out, r"(?s)\$\$.+?\$\$", "[equation]"), r"(?s)\\\[.+?\\\]", "[equation]")
+    """Embedded formulas, in latexit tags on one line, become [equation]."""
+    return F.regexp_replace(c, r"<latexit[^>]*>.*?</latexit>", "[equation]")
 
 
 def slides_to_markdown(c: Column) -> Column:
-    """P5: the first line of a slide is its title, bullets become '- ', other lines continue the one before."""
-    lines = F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: F.length(x) > 0)
+    """P5: the first line of a slide is its title; bullets become list items, of a second level after a ring.
 
-    def add(acc: Column, x: Column) -> Column:
-        bullet = x.rlike(r"^[•·▪*\-–]\s*")
-        item = F.concat(F.lit("\n- "), F.regexp_replace(x, r"^[•·▪*\-–]\s*", ""))
-        return F.concat(acc, F.when(acc == "", F.concat(F.lit("## "), x)).when(bullet, item).otherwise(F.concat(F.when(F.instr(acc, "\n") == 0, "\n").otherwise(" "), x)))
+    A line that doesn't begin with a capital goes on with the item before it; a bare bullet goes; an empty line ends a list.
+    """
+    rest = lambda x: F.trim(F.substring(x, 2, 1 << 30))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("listed"))
 
-    return F.aggregate(lines, F.lit(""), add)
+    def add(acc: Column, x: Column) -> Column:
+        def put(line: Column, listed: bool) -> Column:
+            return F.struct(F.concat(acc["out"], F.array(line)).alias("out"), F.lit(listed).alias("listed"))
+
+        first = F.substring(x, 1, 1)
+        capital = (F.upper(first) == first) & (F.lower(first) != first)
+        last = F.concat(F.element_at(acc["out"], -1), F.lit(" "), x)
+        joined = F.struct(F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(last)).alias("out"), F.lit(True).alias("listed"))
+        return (
+            F.when((x == "") & acc["listed"], put(F.lit(""), False))
+            .when(x == "", acc)
+            .when(F.size(acc["out"]) == 0, put(F.concat(F.lit("# "), x), False))
+            .when(first.isin("•", "-", "●"), F.when(rest(x) == "", acc).otherwise(put(F.concat(F.lit("- "), rest(x)), True)))
+            .when(acc["listed"] & ~capital, joined)
+            .when(first == "○", F.when(rest(x) == "", acc).otherwise(put(F.concat(F.lit("    - "), rest(x)), True)))
+            .otherwise(put(x, False))
+        )
+
+    lines = F.transform(F.split(c, "\n", -1), F.trim)
+    return F.aggregate(lines, start, add, lambda acc: F.array_join(acc["out"], "\n"))
 
 
 def math_density(c: Column) -> Column:
@@ -52,7 +75,7 @@ def prose_words_per_kchar(c: Column) -> Column:
 
 
 def entry_key(source: Column, doc_id: Column) -> Column:
-    """Source and leading number of a doc_id, or the whole id if there is none."""
+    """Source and leading number of a doc_id, or the whole id if there is none; the pattern is a fixed value."""
     lead = F.regexp_extract(doc_id, r"^(\d+)(?:[-/_]|$)", 1)
     return F.concat_ws(":", source, F.when(lead != "", lead).otherwise(doc_id))
 
@@ -62,16 +85,25 @@ def base_strategy(c: Column) -> Column:
     return F.regexp_replace(c, r"^(summary)_\d+$", "$1")
 
 
-def embed_text(text: Column, section: Column, context: Column) -> Column:
-    """P10: text with its section and context before it, as far as they are known."""
+def embed_text(text: Column, section: Column, context: Column, strategy: Column | None = None) -> Column:
+    """P10: text with its section and context before it, as far as they are known.
+
+    Chunks of the special strategies, and those that begin with such a prefix already, stay as they are; null is empty.
+    """
     part = lambda label, c: F.when(F.length(F.coalesce(c, F.lit(""))) > 0, F.concat(F.lit(f"{label}: "), c))
-    return F.concat_ws("\n\n", part("Section", section), part("Context", context), text)
+    clean = F.coalesce(text, F.lit(""))
+    as_is = F.startswith(clean, F.lit(PREFIXES[0])) | F.startswith(clean, F.lit(PREFIXES[1]))
+    if strategy is not None:
+        as_is = as_is | F.coalesce(base_strategy(strategy).isin(*SPECIAL_STRATEGIES), F.lit(False))
+    return F.when(as_is, clean).otherwise(F.concat_ws("\n\n", part("Section", section), part("Context", context), clean))
 
 
-def provenance(meta: Column) -> Column:
-    """Page, pages, caption and level out of the metadata."""
+def provenance(doc_type: Column, meta: Column) -> Column:
+    """Where a document comes from, out of its metadata; an empty caption is none."""
     get = lambda k: F.get_json_object(meta, f"$.{k}")
-    return F.struct(get("page").try_cast("int").alias("page"), get("page_end").try_cast("int").alias("page_end"), get("caption").alias("caption"), get("level").try_cast("int").alias("level"))
+    number = lambda k: get(k).try_cast("int").alias(k)
+    caption = F.when(get("caption") != "", get("caption")).alias("caption")
+    return F.struct(doc_type.alias("doc_type"), *map(number, ("page", "page_start", "page_end")), get("section_title").alias("section_title"), *map(number, ("level", "num_rows", "num_cols")), caption)
 
 
 def slice_text(text: Column, start: Column, end: Column) -> Column:
@@ -79,15 +111,27 @@ def slice_text(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
 
 
+@cache
+def _accents() -> tuple[str, str]:
+    """Letters that decompose into one character and marks, and those characters."""
+    pairs = []
+    for c in map(chr, range(0xC0, 0x10000)):
+        bare = [x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn"]
+        if len(bare) == 1 and bare[0] != c:
+            pairs.append((c, bare[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def canonical_name(c: Column) -> Column:
-    """Lower case, common Latin accents dropped, white space squeezed."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), r"\s+", " "))
+    """Lower case, accents and combining marks dropped, white space squeezed; null becomes empty."""
+    bare = F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), *_accents()), r"\p{Mn}", "")
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
 def expand_abbreviation(df: DataFrame, mapping: DataFrame, name: str = "name") -> DataFrame:
     """Names that mapping (short, long) knows, with or without 'the', become the long form."""
     key = F.regexp_replace(canonical_name(F.col(name)), "^the ", "")
-    return df.withColumn("short", key).join(F.broadcast(mapping), "short", "left").withColumn(name, F.coalesce("long", name)).drop("short", "long")
+    return df.withColumn("short", key).join(mapping, "short", "left").withColumn(name, F.coalesce("long", name)).drop("short", "long")
 
 
 def fill_markers(text: Column, marker: str, values: Column) -> Column:

@@ -92,9 +92,17 @@ def stage_stats(logs: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def image_registry(images: DataFrame) -> DataFrame:
-    """Copies, documents and bytes of each image hash, and its first usable description."""
+    """Copies, documents, entries and bytes of each image hash, and its first usable description.
+
+    images has hash, image_id, doc_id, document_id, bytes, description. An entry is the number that a doc_id begins with; bytes are those of
+    the first copy by image_id.
+    """
     usable = F.length(F.coalesce("description", F.lit(""))) > 0
-    return images.groupBy("hash").agg(F.count(F.lit(1)).alias("copies"), F.count_distinct("document_id").alias("documents"), F.max("bytes").alias("bytes"), F.min_by(F.when(usable, F.col("description")), F.when(usable, F.col("image_id"))).alias("description"))
+    entry = F.regexp_extract("doc_id", r"^(\d+)(?:[-/_]|$)", 1)
+    return images.where("hash is not null").groupBy("hash").agg(
+        F.count(F.lit(1)).alias("copies"), F.count_distinct("document_id").alias("documents"), F.count_distinct(F.when(entry != "", entry)).alias("entries"),
+        F.min_by("bytes", "image_id").alias("bytes"), F.min_by(F.when(usable, F.col("description")), F.when(usable, F.col("image_id"))).alias("description"),
+    )
 
 
 def repeat_candidates(registry: DataFrame, copies: int, n: int = 100) -> DataFrame:

@@ -82,12 +82,17 @@ def chunk_budget(docs: DataFrame, cap: int, splitter: Callable[[str, int], list[
     return docs.select("id", "text").mapInPandas(run, "id long, chunk_index int, text string")
 
 
-def drop_number_chunks(chunks: DataFrame, least: float = 3.0, long: int = 20) -> DataFrame:
-    """Long documents (chunks and more) lose chunks with few words; their best one always stays."""
-    w = Window.partitionBy("id")
-    rows = chunks.withColumn("prose", prose_words_per_kchar(F.col("text"))).withColumn("n", F.count(F.lit(1)).over(w))
-    rows = rows.withColumn("best", F.row_number().over(w.orderBy(F.desc("prose"), "chunk_index")))
-    return rows.where((F.col("n") < long) | (F.col("prose") >= least) | (F.col("best") == 1)).select(*chunks.columns)
+def drop_number_chunks(chunks: DataFrame, docs: DataFrame, least: float = 3.0, max_chars: int = 1_000_000) -> DataFrame:
+    """Chunks (id, strategy, chunk_index, text) without those that are mostly numbers, of long texts and tables.
+
+    Of a document (id, doc_type, text) with more than max_chars characters, body chunks with fewer than least words in
+    1,000 characters go; the wordiest one always stays, and summary chunks are spared.
+    """
+    long = docs.where(F.col("doc_type").isin("text", "table") & (F.length("text") > max_chars)).select("id", F.lit(True).alias("long"))
+    body = ~F.startswith(F.coalesce("strategy", F.lit("")), F.lit("summary"))
+    rows = chunks.join(long, "id", "left").withColumn("body", body).withColumn("prose", prose_words_per_kchar(F.coalesce("text", F.lit(""))))
+    best = F.row_number().over(Window.partitionBy("id", "body").orderBy(F.desc("prose"), "chunk_index"))
+    return rows.withColumn("best", best).where(F.col("long").isNull() | ~F.col("body") | (F.col("prose") >= least) | (F.col("best") == 1)).select(*chunks.columns)
 
 
 def replace_chunks(existing: DataFrame, new: DataFrame) -> DataFrame:

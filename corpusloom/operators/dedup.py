@@ -45,10 +45,16 @@ def duplicate_groups(docs: DataFrame, keys: Sequence[str], age: str = "id") -> D
     return rows.where("group_size > 1").withColumn("rank", F.row_number().over(w.orderBy(age, "id")))
 
 
-def deduplicate(docs: DataFrame, rules: Sequence[Sequence[str]]) -> DataFrame:
-    """Docs without those that any rule finds to be a later copy; the oldest of a group is never dropped by its rule."""
+def deduplicate(docs: DataFrame, rules: Sequence[Sequence[str]], age: str = "insert_time") -> DataFrame:
+    """Docs without those that any rule finds to be a later copy.
+
+    The oldest of a group by the column age, then by id, is never dropped by its rule. The oldest is found by an
+    aggregation that combines on the map side, so a group of any size is no task of its own.
+    """
     for keys in rules:
-        docs = docs.join(duplicate_groups(docs, keys).where("rank > 1").select("id"), "id", "left_anti")
+        oldest = docs.dropna(subset=list(keys)).groupBy(*keys).agg(F.min(F.struct(age, "id")).alias("__oldest"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+        later = docs.join(oldest, list(keys)).where(F.col("id") != F.col("__oldest.id")).select("id")
+        docs = docs.join(later, "id", "left_anti")
     return docs
 
 

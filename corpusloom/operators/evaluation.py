@@ -57,10 +57,15 @@ def question_matrix(results: DataFrame, runs: Sequence[str]) -> DataFrame:
     return out.withColumn("solved", solved).orderBy("solved", "question_id")
 
 
-def run_groups(runs: DataFrame, kinds: Sequence[str]) -> DataFrame:
-    """Runs by the part of their name before -<kind>-, newest group first."""
-    prefix = F.regexp_extract("name", rf"^(.*?)-(?:{'|'.join(kinds)})-", 1)
-    return runs.groupBy(F.when(prefix != "", prefix).otherwise(F.col("name")).alias("prefix")).agg(F.count(F.lit(1)).alias("runs"), F.max("created_time").alias("newest")).orderBy(F.desc("newest"), "prefix")
+def run_groups(runs: DataFrame) -> DataFrame:
+    """Runs (name, search_type, created_time) by the part of their name before -<search_type>-, newest group first.
+
+    Runs without such a part, or with an empty one, are in no group.
+    """
+    at = F.expr("instr(name, concat('-', search_type, '-'))")
+    prefix = F.when(at > 1, F.expr("left(name, instr(name, concat('-', search_type, '-')) - 1)"))
+    rows = runs.where("search_type <> ''").select(prefix.alias("prefix"), "created_time").where("prefix is not null")
+    return rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("runs"), F.max("created_time").alias("newest")).orderBy(F.desc("newest"), "prefix")
 
 
 def question_funnel(questions: DataFrame, rejected: DataFrame, usable: DataFrame) -> DataFrame:
@@ -97,11 +102,14 @@ def generation_hash(settings: DataFrame, columns: Sequence[str]) -> DataFrame:
     return settings.withColumn("generation", F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in sorted(columns)])), 256))
 
 
-def build_context(hits: DataFrame, budget: int) -> DataFrame:
-    """The texts of a question's documents by rank, each cut to an equal share of a budget of characters."""
-    hits = hits.withColumn("n", F.count(F.lit(1)).over(_by_question()))
-    part = F.struct("rank", F.expr(f"substring(text, 1, CAST({budget} DIV n AS INT))").alias("t"))
-    return hits.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n\n").alias("context"))
+def build_context(hits: DataFrame, budget: int = 720_000) -> DataFrame:
+    """The texts of a question's documents by rank, each cut to an equal share of a budget of characters.
+
+    Each text stands under its doc_id in brackets, with a rule between two; documents without text don't count.
+    """
+    hits = hits.where("text <> ''").withColumn("n", F.count(F.lit(1)).over(_by_question()))
+    part = F.struct("rank", F.expr(f"concat('[', doc_id, ']\n', substring(text, 1, CAST({budget} DIV n AS INT)))").alias("t"))
+    return hits.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n\n---\n\n").alias("context"))
 
 
 def _by_question():

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIRECT = frozenset({"id", "doc_id", "source_id", "parser_id", "doc_type", "n_chars", "insert_time", "doc_time"})
+CLAUSES = ("term", "terms", "range", "match", "wildcard")
 
 
 class FilterError(ValueError):
@@ -39,7 +40,7 @@ def predicate(query: Mapping, direct: frozenset[str] = DIRECT) -> Column:
     clause, body = _one(query, "a filter")
     if clause == "bool":
         return _bool(body, direct)
-    if clause not in ("term", "terms", "range", "match", "wildcard"):
+    if clause not in CLAUSES:
         raise FilterError(f"unknown clause {clause!r}")
     name, v = _one(body, clause)
     c = field(name, direct)
@@ -125,9 +126,16 @@ def get_documents(docs: DataFrame, where: Column | None = None, text_contains: s
     return docs.orderBy(order, "id").offset(offset).limit(limit)
 
 
+def names_field(query: object, field: str) -> bool:
+    """Whether any clause of a filter is on the field."""
+    if isinstance(query, Mapping):
+        return any((k in CLAUSES and isinstance(v, Mapping) and field in v) or names_field(v, field) for k, v in query.items())
+    return isinstance(query, list | tuple) and any(names_field(q, field) for q in query)
+
+
 def exclude_images(query: Mapping | None, boosts_images: bool = False) -> Mapping | None:
     """the filter with images excluded, unless it names doc_type or images are wanted."""
-    if boosts_images or "doc_type" in str(query or ""):
+    if boosts_images or names_field(query, "doc_type"):
         return query
     no = {"term": {"doc_type": "image"}}
     return {"bool": {"must": [query] if query else [], "must_not": [no]}}
@@ -151,6 +159,3 @@ def siblings(docs: DataFrame) -> DataFrame:
     other = docs.select("raw_id", F.col("id").alias("sibling_id"))
     return docs.select("raw_id", "id").join(other, "raw_id").where("id <> sibling_id").select("id", "sibling_id")
 
-
-def matches_all(conditions: Sequence[Column]) -> Column:
-    return reduce(and_, conditions, F.lit(True))

@@ -58,11 +58,17 @@ def neighbours(items: DataFrame, window: int) -> DataFrame:
 
 
 def verify_citations(cites: DataFrame, docs: DataFrame) -> DataFrame:
-    """Cites (cite_id, entry, reference) with whether documents of the entry exist and are newer than the reference."""
-    known = docs.groupBy("entry").agg(F.max("id").alias("newest"))
-    out = cites.join(known, "entry", "left")
-    state = F.when(F.col("newest").isNull(), "missing").when(F.col("newest") > F.col("reference"), "newer").otherwise("older")
-    return out.select("cite_id", F.col("newest").isNotNull().alias("found"), state.alias("state"))
+    """Cites (cite_id, number, reference) with whether an entry of that number exists, and its age.
+
+    docs has doc_id; an entry n has the documents n, and n followed by a dash, a slash or an underscore. Numbers grow
+    with time, so a number over that which reference begins with is newer; age is null if reference has no number.
+    """
+    lead = lambda c: F.regexp_extract(c, r"^(\d+)(?:[-/_]|$)", 1)
+    known = docs.select(lead(F.col("doc_id")).alias("entry")).where("entry <> ''").distinct().withColumn("exists", F.lit(True))
+    out = cites.join(known, F.col("number").cast("string") == F.col("entry"), "left")
+    mine = lead(F.col("reference")).try_cast("long")
+    age = F.when(F.col("number") > mine, "newer").when(F.col("number") < mine, "older").when(F.col("number") == mine, "same")
+    return out.select("cite_id", "number", F.coalesce("exists", F.lit(False)).alias("exists"), age.alias("age"))
 
 
 def runs_with_privacy(runs: DataFrame, privacy: DataFrame, kinds: Sequence[str]) -> DataFrame:

@@ -178,7 +178,8 @@ def p07_prose_density(spark, d):
     return S.read_table(spark, d, "documents").select("doc_id", F.round(P.prose_words_per_kchar(F.col("text")), 6).alias("prose"))
 
 
-@query(f"SELECT doc_id, round(CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^{P.MATH_RANGES}]', '', 'g')) / length(text)::DOUBLE ELSE 0 END, 8) AS density FROM documents")
+@query(r"""SELECT doc_id, round(CASE WHEN length(text) > 0 THEN length(regexp_replace(text,
+  '[^\x{1D400}-\x{1D7FF}\x{370}-\x{3FF}\x{2200}-\x{22FF}\x{2190}-\x{21FF}\x{300}-\x{36F}\x{2070}-\x{209F}\x{2100}-\x{214F}\x{B0}-\x{BF}]', '', 'g')) / length(text)::DOUBLE ELSE 0 END, 8) AS density FROM documents""")
 def p06_math_density(spark, d):
     return S.read_table(spark, d, "documents").select("doc_id", F.round(P.math_density(F.col("text")), 8).alias("density"))
 
@@ -191,9 +192,9 @@ def p08_entry_key(spark, d):
     return x.select("doc_id", P.entry_key(F.col("source"), k).alias("entry"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(translate(lower(left(text, 60)), 'áàâäãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '\s+', ' ', 'g')) AS name FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(strip_accents(lower(coalesce(text, ''))), '\s+', ' ', 'g')) AS name FROM documents")
 def p13_canonical_name(spark, d):
-    return S.read_table(spark, d, "documents").select("doc_id", P.canonical_name(F.substring("text", 1, 60)).alias("name"))
+    return S.read_table(spark, d, "documents").select("doc_id", P.canonical_name(F.col("text")).alias("name"))
 
 
 @query(r"SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0)::INT AS tokens FROM documents")
@@ -207,36 +208,41 @@ def p31_page_text(spark, d):
     return x.select("doc_id", "p.page", "p.next_offset")
 
 
-@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'Section: ' || source || chr(10) || chr(10) ELSE '' END || text AS embed_text FROM documents")
+@query("""SELECT doc_id, CASE WHEN lang = 'de' OR starts_with(text, 'Section:') OR starts_with(text, 'Context:') THEN coalesce(text, '')
+  ELSE CASE WHEN lang = 'en' THEN 'Section: ' || source || chr(10) || chr(10) ELSE '' END || 'Context: ' || lang || chr(10) || chr(10) || coalesce(text, '') END AS embed_text FROM documents""")
 def p10_embed_text(spark, d):
     section = F.when(F.col("lang") == "en", F.col("source"))
-    return S.read_table(spark, d, "documents").select("doc_id", P.embed_text(F.col("text"), section, F.lit(None).cast("string")).alias("embed_text"))
+    strategy = F.when(F.col("lang") == "de", "summary_256").otherwise("tokens")
+    return S.read_table(spark, d, "documents").select("doc_id", P.embed_text(F.col("text"), section, F.col("lang"), strategy).alias("embed_text"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events")
+@query("""SELECT event_id, event_type AS doc_type, json_extract_string(props, '$.k')::INT AS page, CASE WHEN event_type <> 'view' THEN event_type END AS caption, user_id::INT AS num_rows FROM events""")
 def p11_provenance(spark, d):
-    return S.read_table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"))
+    meta = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("page"), F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type")).alias("caption"), F.col("user_id").alias("num_rows")))
+    rows = S.read_table(spark, d, "events").select("event_id", P.provenance(F.col("event_type"), meta).alias("p"))
+    return rows.select("event_id", "p.doc_type", "p.page", "p.caption", "p.num_rows")
 
 
-@query("SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}', '[EMAIL]', 'g') AS text FROM documents WHERE contains(text, '@')")
+@query("SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}', '[redacted: e-mail]', 'g') AS text FROM documents WHERE contains(text, '@')")
 def p21_redact_mail(spark, d):
     x = S.read_table(spark, d, "documents").where(F.contains("text", F.lit("@")))
-    return x.select("doc_id", R.redact(F.col("text"), [("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}")]).alias("text"))
+    return x.select("doc_id", R.redact(F.col("text"), patterns=[("e-mail", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", False)]).alias("text"))
 
 
-@query("""WITH f AS (SELECT doc_id AS id, unnest(list_distinct(list_transform(regexp_extract_all(regexp_replace(text, '\\s+', ' ', 'g'), '(?i)(licen[cs]ed? under [a-z]+|released under [a-z]+)'), lambda x: lower(x)))) AS wording FROM documents)
-SELECT id, 'licence' AS family, wording FROM f""")
+@query(r"""WITH f AS (SELECT doc_id AS id, unnest(list_distinct(list_transform(regexp_extract_all(text, '(?i)licen[cs]ed?\s+under\s+[a-z]+|released\s+under\s+[a-z]+'), lambda x: lower(regexp_replace(x, '\s+', ' ', 'g'))))) AS wording FROM documents)
+SELECT id, 'licence' AS family, 'low' AS severity, wording FROM f""")
 def p18_find_markers(spark, d):
-    return R.find_markers(docs(spark, d), {"licence": r"licen[cs]ed? under [a-z]+|released under [a-z]+"}, 1000)
+    families = {"licence": ("low", r"(?i)licen[cs]ed?\s+under\s+[a-z]+|released\s+under\s+[a-z]+")}
+    return R.find_markers(docs(spark, d), families, 1000).select("id", "family", "severity", "wording")
 
 
-@query("""WITH s AS (SELECT l_orderkey AS id, l_linenumber * 10 AS b, l_linenumber * 10 + l_quantity::BIGINT AS e FROM lineitem),
-w AS (SELECT *, max(e) OVER (PARTITION BY id ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
-i AS (SELECT *, sum(CASE WHEN before IS NULL OR b >= before THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS island FROM w)
-SELECT id, min(b) AS "begin", max(e) AS "end" FROM i GROUP BY id, island""")
+@query("""WITH s AS (SELECT l_orderkey AS id, l_linenumber * 10 AS b, l_linenumber * 10 + l_quantity::BIGINT AS e, l_returnflag || l_linestatus AS label, 9 - l_linenumber AS p FROM lineitem),
+w AS (SELECT *, max(e) OVER (PARTITION BY id ORDER BY b, e DESC, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
+i AS (SELECT *, sum(CASE WHEN before IS NULL OR b >= before THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY b, e DESC, p ROWS UNBOUNDED PRECEDING) AS island FROM w)
+SELECT id, min(b) AS "begin", max(e) AS "end", arg_min(label, (b, -e, p)) AS label FROM i GROUP BY id, island""")
 def p22_merge_spans(spark, d):
-    x = S.read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") * 10).cast("long").alias("begin"), (F.col("l_linenumber") * 10 + F.col("l_quantity").cast("long")).alias("end"), F.col("l_returnflag").alias("label"), F.col("l_linenumber").alias("priority"))
-    return R.merge_spans(x).drop("label")
+    x = S.read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") * 10).cast("long").alias("begin"), (F.col("l_linenumber") * 10 + F.col("l_quantity").cast("long")).alias("end"), F.concat("l_returnflag", "l_linestatus").alias("label"), (9 - F.col("l_linenumber")).alias("priority"))
+    return R.merge_spans(x)
 
 
 @query("""WITH f AS (SELECT l_orderkey AS id, l_orderkey * 10 + l_linenumber AS finding_id, l_linenumber * 10 AS b, l_linenumber * 10 + 5 AS e FROM lineitem),
@@ -292,12 +298,15 @@ def j13_neighbours(spark, d):
     return J.neighbours(items, 2)
 
 
-@query("""WITH k AS (SELECT o_custkey AS entry, max(o_orderkey) AS newest FROM orders GROUP BY 1)
-SELECT l_orderkey * 10 + l_linenumber AS cite_id, newest IS NOT NULL AS found, CASE WHEN newest IS NULL THEN 'missing' WHEN newest > l_orderkey THEN 'newer' ELSE 'older' END AS state
-FROM lineitem LEFT JOIN k ON entry = l_partkey""")
+@query("""WITH d AS (SELECT DISTINCT regexp_extract(doc_id || (['', '-v1', '/x', '_b', '.c'])[doc_id % 5 + 1], '^(\\d+)([-/_]|$)', 1) AS entry FROM documents)
+SELECT l_orderkey * 10 + l_linenumber AS cite_id, l_partkey AS number, entry IS NOT NULL AS exists,
+  CASE WHEN l_suppkey % 9 = 0 THEN NULL WHEN l_partkey > l_suppkey * 10 THEN 'newer' WHEN l_partkey < l_suppkey * 10 THEN 'older' ELSE 'same' END AS age
+FROM lineitem LEFT JOIN d ON entry = l_partkey::VARCHAR""")
 def j15_verify_citations(spark, d):
-    cites = S.read_table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("cite_id"), F.col("l_partkey").alias("entry"), F.col("l_orderkey").alias("reference"))
-    return J.verify_citations(cites, S.read_table(spark, d, "orders").select(F.col("o_custkey").alias("entry"), F.col("o_orderkey").alias("id")))
+    reference = F.when(F.col("l_suppkey") % 9 == 0, "none").otherwise(F.concat((F.col("l_suppkey") * 10).cast("string"), F.lit("-v2")))
+    cites = S.read_table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("cite_id"), F.col("l_partkey").alias("number"), reference.alias("reference"))
+    tail = F.get(F.array(*map(F.lit, ("", "-v1", "/x", "_b", ".c"))), (F.col("doc_id") % 5).cast("int"))
+    return J.verify_citations(cites, S.read_table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), tail).alias("doc_id")))
 
 
 @query("""SELECT user_id AS log_path, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error FROM events GROUP BY 1""")
@@ -399,9 +408,10 @@ def a14_stage_stats(spark, d):
     return rounded(rounded(out, "total", "mean", "median", "stdev", "p10", "p90", digits=4), "share")
 
 
-@query("""SELECT md5(text) AS hash, count(*) AS copies, count(DISTINCT source) AS documents, max(n_chars) AS bytes, arg_min(lang, doc_id) AS description FROM documents GROUP BY 1""")
+@query("""SELECT md5(text) AS hash, count(*) AS copies, count(DISTINCT source) AS documents, count(DISTINCT doc_id // 7) AS entries, arg_min(n_chars, doc_id) AS bytes, arg_min(lang, doc_id) AS description FROM documents GROUP BY 1""")
 def a15_image_registry(spark, d):
-    return A.image_registry(S.read_table(spark, d, "documents").select(F.md5("text").alias("hash"), F.col("source").alias("document_id"), F.col("n_chars").alias("bytes"), F.col("lang").alias("description"), F.col("doc_id").alias("image_id")))
+    name = F.concat(F.floor(F.col("doc_id") / 7).cast("string"), F.lit("-p1"))
+    return A.image_registry(S.read_table(spark, d, "documents").select(F.md5("text").alias("hash"), name.alias("doc_id"), F.col("source").alias("document_id"), F.col("n_chars").alias("bytes"), F.col("lang").alias("description"), F.col("doc_id").alias("image_id")))
 
 
 @query("SELECT quality::VARCHAR AS label, count(*) AS n, round(count(*) / (SELECT count(*) FROM labels)::DOUBLE, 6) AS share FROM labels GROUP BY 1")
@@ -484,9 +494,12 @@ def e08_question_matrix(spark, d):
     return E.question_matrix(results(spark, d), ["AF", "NO", "RF"])
 
 
-@query("""SELECT CASE WHEN regexp_extract(p_name || '-rag-' || p_size, '^(.*?)-(?:rag|agent)-', 1) <> '' THEN p_name ELSE p_name END AS prefix, count(*) AS runs, max(p_partkey) AS newest FROM part GROUP BY 1""")
+@query("""SELECT p_brand AS prefix, count(*) AS runs, max(p_partkey) AS newest FROM part WHERE p_size % 3 <> 0 GROUP BY 1""")
 def e09_run_groups(spark, d):
-    return E.run_groups(S.read_table(spark, d, "part").select(F.concat("p_name", F.lit("-rag-"), F.col("p_size").cast("string")).alias("name"), F.col("p_partkey").alias("created_time")), ["rag", "agent"])
+    kind = F.when(F.col("p_size") % 3 == 1, "rag").otherwise("agent")
+    shown = F.when(F.col("p_size") % 3 == 0, "other").otherwise(kind)
+    name = F.concat("p_brand", F.lit("-"), shown, F.lit("-"), F.col("p_size").cast("string"))
+    return E.run_groups(S.read_table(spark, d, "part").select(name.alias("name"), kind.alias("search_type"), F.col("p_partkey").alias("created_time")))
 
 
 @query("""SELECT l_returnflag AS mode, l_linestatus AS model, grouping(l_returnflag, l_linestatus)::INT AS level, count(*) AS n, round(avg((l_discount > 0.03)::INT), 6) AS accuracy FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
@@ -506,10 +519,10 @@ def e13_agent_behaviour(spark, d):
     return rounded(rounded(E.agent_behaviour(S.read_table(spark, d, "conversations")), "turns", "answers"), "chars", digits=4)
 
 
-@query("""WITH h AS (SELECT conv_id AS question_id, turn AS rank, text, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
-SELECT question_id, string_agg(substring(text, 1, (600 // n)::INT), chr(10) || chr(10) ORDER BY rank) AS context FROM h GROUP BY 1""")
+@query("""WITH h AS (SELECT conv_id AS question_id, turn AS rank, role, text, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE text <> '')
+SELECT question_id, string_agg('[' || role || turn_ || ']' || chr(10) || substring(text, 1, (600 // n)::INT), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM (SELECT *, rank::VARCHAR AS turn_ FROM h) GROUP BY 1""")
 def e18_build_context(spark, d):
-    return E.build_context(S.read_table(spark, d, "conversations").select(F.col("conv_id").alias("question_id"), F.col("turn").alias("rank"), "text"), 600)
+    return E.build_context(S.read_table(spark, d, "conversations").select(F.col("conv_id").alias("question_id"), F.col("turn").alias("rank"), F.concat("role", F.col("turn").cast("string")).alias("doc_id"), "text"), 600)
 
 
 # -- ranking and deduplication
@@ -549,9 +562,10 @@ def a06_duplicate_groups(spark, d):
     return D.duplicate_groups(docs(spark, d).withColumn("h", F.md5("text")), ["h", "parser_id"]).select("id", "group_size", "rank")
 
 
-@query("SELECT min(doc_id) AS id FROM documents GROUP BY md5(text)")
+@query("SELECT arg_min(doc_id, (doc_id % 100, doc_id)) AS id FROM documents GROUP BY md5(text)")
 def d05_deduplicate(spark, d):
-    return D.deduplicate(docs(spark, d).withColumn("h", F.md5("text")), [["h"]]).select("id")
+    rows = docs(spark, d).withColumn("h", F.md5("text")).withColumn("insert_time", F.timestamp_seconds(F.col("id") % 100))
+    return D.deduplicate(rows, [["h"]]).select("id")
 
 
 @query("""WITH n AS (SELECT * FROM documents WHERE doc_id % 2 = 1), e AS (SELECT * FROM documents WHERE doc_id % 2 = 0),
@@ -639,11 +653,15 @@ def c01_chunk_tokens(spark, d):
     return C.chunk_tokens(docs(spark, d), 100).drop("char_start", "char_end")
 
 
-@query(r"""WITH c AS (SELECT doc_id AS id, i - 1 AS chunk_index, line AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE length(line) > 0),
-p AS (SELECT *, 1000.0 * len(regexp_extract_all(text, '\p{L}{4,}')) / length(text) AS prose, count(*) OVER (PARTITION BY id) AS n FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY prose DESC, chunk_index) AS best FROM p)
-SELECT id, chunk_index FROM r WHERE n < 5 OR prose >= 100 OR best = 1""")
+@query(r"""WITH c AS (SELECT doc_id AS id, i - 1 AS chunk_index, line AS text, n_chars, CASE WHEN i % 4 = 0 THEN 'summary_256' ELSE 'lines' END AS strategy
+  FROM (SELECT doc_id, n_chars, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE length(line) > 0),
+p AS (SELECT *, 1000.0 * len(regexp_extract_all(text, '\p{L}{4,}')) / length(text) AS prose, strategy = 'lines' AS body FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY id, body ORDER BY prose DESC, chunk_index) AS best FROM p)
+SELECT id, chunk_index FROM r WHERE n_chars <= 2000 OR NOT body OR prose >= 100 OR best = 1""")
 def c06_drop_number_chunks(spark, d):
-    return C.drop_number_chunks(S.as_chunks(docs(spark, d)), 100.0, 5).select("id", F.col("chunk_index").cast("long"))
+    strategy = F.when(F.col("chunk_index") % 4 == 3, "summary_256").otherwise("lines")
+    chunks = S.as_chunks(docs(spark, d)).withColumn("strategy", strategy)
+    return C.drop_number_chunks(chunks, docs(spark, d).withColumn("doc_type", F.lit("text")), 100.0, 2000).select("id", F.col("chunk_index").cast("long"))
 
 
 @query()
@@ -659,13 +677,23 @@ def c09_embed_chunks(spark, d):
 # -- visibility and graph
 
 
-@query("""SELECT c_custkey AS id, bool_or(l_shipmode = 'hide') AS hide, bool_or(l_shipmode = 'redact') AS redact, bool_or(l_shipmode = 'flag') AS flag FROM
-(SELECT c_custkey, o_orderkey % 3 = 0 AS covered, CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 'hide' WHEN o_orderstatus = 'O' AND o_orderpriority = '2-HIGH' THEN 'redact' WHEN o_orderstatus = 'P' AND o_orderpriority = '5-LOW' THEN 'flag' ELSE 'none' END AS l_shipmode
- FROM orders JOIN customer ON c_custkey = o_custkey) WHERE l_shipmode = 'hide' OR NOT covered GROUP BY 1""")
+@query("""WITH f AS (SELECT o_custkey AS id, (['restricted', 'credentials', 'personal_data', 'personnel', 'security'])[o_orderkey % 5 + 1] AS category,
+  (['low', 'medium', 'high'])[o_orderkey % 3 + 1] AS severity, o_orderkey % 7 < 3 AS covered, o_orderkey % 2 = 0 AS exact, o_orderkey % 11 = 0 AS marker FROM orders),
+g AS (SELECT *, category IN ('personal_data', 'personnel') AND severity = 'high' AS people FROM f WHERE severity <> 'low'),
+h AS (SELECT *, (category = 'restricted' AND marker) OR (category = 'credentials' AND severity = 'high' AND NOT exact) AS hide, exact AND (category IN ('credentials', 'personal_data') OR people) AS redact
+  FROM g WHERE category = 'restricted' OR people OR NOT covered)
+SELECT id, bool_or(hide OR people) AS hide_search, bool_or(hide) AS hide_get, count(DISTINCT CASE WHEN redact THEN category END) AS redacted,
+  bool_or(NOT (hide OR people OR (redact AND NOT (category = 'credentials' AND severity = 'high')))) AS flag FROM h GROUP BY id""")
 def r04_policy_actions(spark, d):
-    f = S.read_table(spark, d, "orders").join(S.read_table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    f = f.select(F.col("c_custkey").alias("id"), F.col("o_orderstatus").alias("category"), F.col("o_orderpriority").alias("severity"), (F.col("o_orderkey") % 3 == 0).alias("covered"))
-    return R.policy_actions(f, {("F", "1-URGENT"): "hide", ("O", "2-HIGH"): "redact", ("P", "5-LOW"): "flag"})
+    key = F.col("o_orderkey")
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), (key % n).cast("int"))
+    f = S.read_table(spark, d, "orders").select(
+        F.col("o_custkey").alias("id"), pick(("restricted", "credentials", "personal_data", "personnel", "security"), 5).alias("category"), pick(("low", "medium", "high"), 3).alias("severity"),
+        F.when(key % 2 == 0, "secret  WORD").otherwise("not there").alias("span"), F.lit("").alias("evidence"), F.when(key % 11 == 0, "marker").alias("source"), (key % 7 < 3).alias("covered"),
+    )
+    texts = S.read_table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("a Secret\nword here").alias("text"))
+    out = R.policy_actions(f, texts)
+    return out.select("id", "hide_search", "hide_get", F.size(F.array_distinct(F.transform("redact", lambda x: x["label"]))).cast("long").alias("redacted"), "flag")
 
 
 @query("""SELECT count(*) AS matched, count(*) FILTER (h) AS decided, count(*) FILTER (NOT h) AS pending FROM (SELECT p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) AS h FROM part WHERE p_name ILIKE '%RING%' AND NOT p_name ILIKE 'small%')""")

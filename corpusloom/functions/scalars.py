@@ -58,7 +58,7 @@ def slides_to_markdown(c: Column) -> Column:
             .otherwise(put(x, False))
         )
 
-    lines = F.transform(F.split(c, "\n", -1), F.trim)
+    lines = F.transform(F.split(c, "\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     return F.aggregate(lines, start, add, lambda acc: F.array_join(acc["out"], "\n"))
 
 
@@ -180,3 +180,20 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     """V1: cosine similarity; 0 where a norm is 0. Norms, sqrt(dot(x, x)), can be given if they are known."""
     norm = (F.sqrt(dot(a, a)) if norm_a is None else norm_a) * (F.sqrt(dot(b, b)) if norm_b is None else norm_b)
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
+
+
+def replace_inline(text: Column, image_ref: Column, alt: Column) -> Column:
+    """Text with the description of an inline image replaced: ![...](link) [image_id:image_ref ...].
+
+    The description goes back to the nearest '![', so one with brackets is replaced whole. White space in alt is squeezed.
+    """
+    quoted = F.regexp_replace(image_ref, r"([^\p{L}\p{N}_])", r"\\$1")
+    pattern = F.concat(F.lit(r"(?s)!\[(?:(?!!\[).)*?\]\(([^()\s]*)\) \[image_id:"), quoted, F.lit(r"(?=[\] ])"))
+    clean = F.replace(F.trim(F.regexp_replace(alt, r"\s+", " ")), F.lit("]("), F.lit("] ("))
+    literal = lambda c: F.regexp_replace(c, r"([\\$])", r"\\$1")
+    return F.regexp_replace(text, pattern, F.concat(F.lit("!["), literal(clean), F.lit("]($1) [image_id:"), literal(image_ref)))
+
+
+def words(c: Column) -> Column:
+    """Lower-case runs of letters, digits and underscores."""
+    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), 0), F.lower)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import entry_key, words
+
 
 def hit_rate(results: DataFrame, by: Sequence[str] = ("run_id",), flag: str = "is_hit") -> DataFrame:
     """Share of hits among rows with a flag."""
@@ -113,8 +115,6 @@ def build_context(hits: DataFrame, budget: int = 720_000) -> DataFrame:
 
 
 def _by_question():
-    from pyspark.sql import Window
-
     return Window.partitionBy("question_id")
 
 
@@ -127,3 +127,51 @@ def list_audits(audits: DataFrame, kind: str | None = None, valid: bool | None =
     """E20."""
     out = audits if kind is None else audits.where(F.col("audit_type") == kind)
     return out if valid is None else out.where(F.col("is_valid") == valid)
+
+
+#: Function words, which say nothing about a shared wording.
+FUNCTION_WORDS = (
+    "a an and are as at be by can did do does for from has have how in is it its of on or "
+    "that the their these this to was were what when where which who why will with"
+).split()
+
+
+def question_overlap(pairs: DataFrame) -> DataFrame:
+    """P25: pairs (id, question, document) with bigram_overlap and longest_shared_words.
+
+    The first is the share of the question's pairs of neighbouring content words that the document has too, to three places; the second the
+    length of the longest run of words that the question has from the document. Runs come from the places where a word
+    of one is a word of the other: places on one diagonal, without a gap, are a run.
+    """
+    rows = pairs.select("id", words(F.col("question")).alias("q"), words(F.col("document")).alias("d"))
+
+    def bigrams(c: str) -> Column:
+        content = F.filter(c, lambda x: ~x.isin(*FUNCTION_WORDS))
+        n = F.greatest(F.size(content) - 1, F.lit(0))
+        return F.zip_with(F.slice(content, F.lit(1), n), F.slice(content, F.lit(2), n), lambda x, y: F.concat(x, F.lit(" "), y))
+
+    found = rows.select("id", bigrams("q").alias("bigrams"), F.array_distinct(bigrams("d")).alias("known"))
+    shared = F.size(F.filter("bigrams", lambda b: F.array_contains("known", b)))
+    share = found.select("id", F.when(F.size("bigrams") > 0, F.round(shared / F.size("bigrams"), 3)).otherwise(0.0).alias("bigram_overlap"))
+    q, d = (rows.select("id", F.posexplode(c).alias(f"{c}_at", "word")) for c in "qd")
+    met = q.join(d, ["id", "word"]).select("id", "q_at", (F.col("d_at") - F.col("q_at")).alias("diagonal"))
+    run = F.col("q_at") - F.row_number().over(Window.partitionBy("id", "diagonal").orderBy("q_at"))
+    longest = met.withColumn("run", run).groupBy("id", "diagonal", "run").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.max("n").alias("longest"))
+    return share.join(longest, "id", "left").select("id", "bigram_overlap", F.coalesce("longest", F.lit(0)).cast("long").alias("longest_shared_words"))
+
+
+def overlap_audit(pairs: DataFrame, most: float = 0.5) -> DataFrame:
+    """Audit rows (id, audit_type, is_valid, bigram_overlap): a question that shares more than most of its bigrams with its document is invalid."""
+    return question_overlap(pairs).select("id", F.lit("overlap").alias("audit_type"), (F.col("bigram_overlap") <= most).alias("is_valid"), "bigram_overlap")
+
+
+def mentions_source(results: DataFrame) -> DataFrame:
+    """Results (id, tool_result, source_document_id, source_entry_key) with whether a result shows its question's source.
+
+    It does by the document's id as it stands, or by any doc_id in it, as JSON or after ID:, that belongs to the source's entry.
+    """
+    ids = F.concat(F.regexp_extract_all("tool_result", F.lit(r'"doc_id":\s*"([^"]+)"'), 1), F.regexp_extract_all("tool_result", F.lit(r"(?m)^ID:\s*(\S+)"), 1))
+    source = F.substring_index("source_entry_key", ":", 1)
+    by_id = F.contains("tool_result", F.col("source_document_id"))
+    by_entry = F.exists(ids, lambda i: entry_key(source, i) == F.col("source_entry_key"))
+    return results.select("id", (F.coalesce(by_id, F.lit(False)) | F.coalesce(by_entry, F.lit(False))).alias("mentioned"))

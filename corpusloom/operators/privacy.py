@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import replace_inline
 from .ranking import latest_by
 
 #: Labels of redacted spans by the category of a finding.
@@ -308,9 +309,9 @@ def sensitivity_scan(docs: DataFrame, score: Callable[[DataFrame], DataFrame] |
 def merge_spans(spans: DataFrame) -> DataFrame:
     """Overlapping spans (id, begin, end, label, priority) as one, with the label of the one that begins first.
 
-    Of those that begin together the longest gives the label, then the one of the first priority.
+    Of those that begin together the longest gives the label, then the one of the first priority, then the first label.
     """
-    first = F.struct("begin", -F.col("end"), "priority")
+    first = F.struct("begin", -F.col("end"), "priority", "label")
     w = Window.partitionBy("id").orderBy("begin", F.desc("end"), "priority")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = spans.withColumn("new", F.coalesce((F.col("begin") >= before).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(w))
@@ -341,3 +342,34 @@ def review_actions(actions: DataFrame, current: DataFrame) -> DataFrame:
     a = actions.join(current.select("raw_id", "state"), "raw_id", "left")
     new = F.when((F.col("action") == "confirm") & (F.col("state") == "provisional"), "confirmed").when(F.col("action") == "show", "visible").when(F.col("action") == "hide", "hidden")
     return a.select("raw_id", "action", new.alias("new_state"), new.isNull().alias("rejected"))
+
+
+#: Visibility rules by name: conditions on raw documents, for visibility_sweep().
+VISIBILITY_RULES: dict[str, Column] = {}
+
+
+def visibility_rule(name: str, rule: Column) -> Column:
+    """Register a rule; a name can be taken once."""
+    if name in VISIBILITY_RULES:
+        raise ValueError(f"rule {name!r} is there already")
+    VISIBILITY_RULES[name] = rule
+    return rule
+
+
+def apply_image_decisions(records: DataFrame, registry: DataFrame, parents: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, parents, chunks) after the registry's decisions on images.
+
+    records has id, image_hash, image_ref, parent_id, description, label; registry has image_hash, decorative, label. A decorative image is
+    demoted: its description gives way to the label, which is kept beside it. One that isn't any more is restored. Parents (id, text) have the
+    new description at its reference; chunks (id, ...) of changed records go, to be made anew.
+    """
+    r = records.join(registry.select("image_hash", "decorative", F.col("label").alias("__label")), "image_hash", "left")
+    demote = F.coalesce(F.col("decorative"), F.lit(False)) & F.col("label").isNull()
+    restore = F.col("decorative").isNotNull() & ~F.col("decorative") & F.col("label").isNotNull()
+    r = r.withColumn("__changed", demote | restore).withColumn("shown", F.when(F.coalesce("decorative", F.lit(False)), F.coalesce("__label", "label")).otherwise(F.col("description")))
+    after = r.withColumn("label", F.when(demote, F.col("__label")).when(restore, F.lit(None)).otherwise(F.col("label")))
+    changed = after.where("__changed").select("id", "parent_id", "image_ref", "shown")
+    swaps = changed.groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("image_ref", "shown"))).alias("s"))
+    text = F.aggregate("s", F.col("text"), lambda t, x: replace_inline(t, x["image_ref"], x["shown"]))
+    new_parents = parents.join(swaps, "id", "left").withColumn("text", F.when(F.col("s").isNull(), F.col("text")).otherwise(text)).drop("s")
+    return after.select(*records.columns), new_parents, chunks.join(changed.select("id"), "id", "left_anti")

@@ -239,7 +239,7 @@ def p18_find_markers(spark, d):
 @query("""WITH s AS (SELECT l_orderkey AS id, l_linenumber * 10 AS b, l_linenumber * 10 + l_quantity::BIGINT AS e, l_returnflag || l_linestatus AS label, 9 - l_linenumber AS p FROM lineitem),
 w AS (SELECT *, max(e) OVER (PARTITION BY id ORDER BY b, e DESC, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
 i AS (SELECT *, sum(CASE WHEN before IS NULL OR b >= before THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY b, e DESC, p ROWS UNBOUNDED PRECEDING) AS island FROM w)
-SELECT id, min(b) AS "begin", max(e) AS "end", arg_min(label, (b, -e, p)) AS label FROM i GROUP BY id, island""")
+SELECT id, min(b) AS "begin", max(e) AS "end", arg_min(label, (b, -e, p, label)) AS label FROM i GROUP BY id, island""")
 def p22_merge_spans(spark, d):
     x = S.read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") * 10).cast("long").alias("begin"), (F.col("l_linenumber") * 10 + F.col("l_quantity").cast("long")).alias("end"), F.concat("l_returnflag", "l_linestatus").alias("label"), (9 - F.col("l_linenumber")).alias("priority"))
     return R.merge_spans(x)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from ..functions.scalars import content_hash
 from ..operators.ranking import latest_by
@@ -69,3 +71,33 @@ def chunk_stream(docs: DataFrame, chunker: Callable[[DataFrame], DataFrame], out
     q = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+def stuck_holds(decisions: DataFrame, hours: int = 24) -> DataFrame:
+    """An alert (raw_id, since) for each document that is held and gets no other decision for so many hours of event time.
+
+    decisions has raw_id, state and ts. The state of a document is the time of its hold; a later decision ends it, and
+    the watermark's timer raises the alert once.
+    """
+
+    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            since = state.get[0]
+            state.remove()
+            yield pd.DataFrame({"raw_id": [key[0]], "since": [pd.Timestamp(since, unit="us")]})
+            return
+        last = max((r for b in batches for r in zip(b["ts"], b["state"], strict=True)), default=None)
+        if last is None:
+            return
+        at = last[0].value // 1000
+        if state.exists and state.get[0] > at:
+            return
+        if last[1] != "held":
+            if state.exists:
+                state.remove()
+            return
+        state.update((at,))
+        due = at // 1000 + hours * 3_600_000
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+
+    return decisions.withWatermark("ts", "1 hour").groupBy("raw_id").applyInPandasWithState(watch, "raw_id long, since timestamp", "since long", "append", "EventTimeTimeout")

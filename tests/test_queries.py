@@ -5,10 +5,10 @@ import math
 import duckdb
 import pytest
 
-from corpusloom.plans import queries, registry
+from corpusloom.plans import more, registry
 from corpusloom.sources.tables import NAMES
 
-assert queries
+assert more
 
 
 @pytest.fixture(scope="module")

@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next.
 
 Quality selection, line deduplication, near-duplicate removal, mixing to target weights, packing. Stages 1 to 4 return
-the columns of documents; the last returns a row per piece of a packed sequence.
+the columns of documents; the last returns a row per piece of a packed sequence. Each stage takes nulls in any column,
+repeated rows, an empty table, extra columns and texts of any length as its operator's docstring says; missing labels
+refuse no document.
 """
 
 from __future__ import annotations
@@ -52,7 +54,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: SQL can't express the quality models, the edit join and the packing; tests hold each stage against brute force.
+#: SQL can't express the quality models, the edit join and the packing; tests hold near duplicates against brute force,
+#: the others against labels, known answers and each other's ids.
 ORACLE_SQL = None
 
 
@@ -60,6 +63,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents of sf_dir."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
+    before = None
     for _, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir))
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs

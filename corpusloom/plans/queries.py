@@ -624,8 +624,24 @@ def v07_rrf_fuse(spark, d):
     return V.rrf_fuse(side(F.col("o_totalprice")), side(F.col("o_orderdate")))
 
 
-@query()
+@query(f"""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), e AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS e FROM embeddings),
+near AS (SELECT query_id, chunk_id, round(coalesce(list_cosine_similarity(e, q), 0), 6) AS score FROM q, e),
+a AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM near QUALIFY rank <= 10),
+{POSTS}, own AS (SELECT doc_id AS query_id, list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'), lambda x: lower(x)) AS w FROM documents WHERE doc_id IN (SELECT query_id FROM q)),
+ow AS (SELECT query_id, unnest(w) AS term, generate_subscripts(w, 1) AS place FROM own),
+t AS (SELECT query_id, term, min(place) AS place FROM ow WHERE term NOT IN {V.STOPWORDS} GROUP BY query_id, term QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY min(place)) <= 2),
+u AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY term) AS i, count(*) OVER (PARTITION BY query_id) AS n FROM t),
+h AS (SELECT query_id, chunk_id, id, pos, i, n FROM posts JOIN u USING (term)), full_ AS (SELECT query_id, chunk_id FROM h GROUP BY ALL HAVING count(DISTINCT i) = max(n)),
+p AS (SELECT h.*, last_value(CASE WHEN i = 1 THEN pos END IGNORE NULLS) OVER w AS p0, last_value(CASE WHEN i = 2 THEN pos END IGNORE NULLS) OVER w AS p1 FROM h JOIN full_ USING (query_id, chunk_id)
+  WINDOW w AS (PARTITION BY query_id, chunk_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, CASE WHEN n = 1 THEN p0 WHEN p0 IS NOT NULL AND p1 IS NOT NULL THEN least(p0, p1) END AS b FROM p), c AS (SELECT *, lag(b) OVER (PARTITION BY query_id, chunk_id ORDER BY pos) AS was FROM g),
+found AS (SELECT query_id, chunk_id, id, round(sum(least(1.0, 8.0 / (pos - b + 1))), 6) AS score FROM c WHERE b IS NOT NULL AND (was IS NULL OR b > was) GROUP BY ALL),
+best AS (SELECT query_id, id AS chunk_id, max(score) AS score FROM found GROUP BY ALL),
+b AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM best QUALIFY rank <= 10),
+f AS (SELECT query_id, chunk_id, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 8) AS score FROM a FULL JOIN b USING (query_id, chunk_id) WHERE chunk_id IN (SELECT doc_id FROM documents))
+SELECT query_id, chunk_id AS id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS doc_rank FROM f QUALIFY doc_rank <= 5""")
 def v09_hybrid_search(spark, d):
+    """A vector is that of the document with its id; documents without one are found by their words alone."""
     e = S.read_table(spark, d, "embeddings").withColumnRenamed("vec_id", "chunk_id")
     asked = e.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
     near = V.knn_exact(e, asked, 40).drop("rank")
@@ -634,7 +650,8 @@ def v09_hybrid_search(spark, d):
     terms = docs(spark, d).join(asked.select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), F.slice(F.array_distinct(own), 1, 2).alias("terms"))
     words = V.search_fulltext_batch(V.postings(S.as_chunks(docs(spark, d))), terms).select("query_id", F.col("id").alias("chunk_id"), "score")
     words = words.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
-    return V.search_hybrid(near, words, e.select("chunk_id", F.col("label").cast("long").alias("id")), 5)
+    found = V.search_hybrid(near, words, docs(spark, d).select(F.col("id").alias("chunk_id"), "id"), 5)
+    return found.select("query_id", "id", "chunk_id", "score", "doc_rank")
 
 
 @query("""WITH q AS (SELECT conv_id, turn, list_distinct(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x))) AS q, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations)

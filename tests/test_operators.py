@@ -22,7 +22,7 @@ def one(spark, column, **values):
 
 
 @pytest.mark.parametrize("bad", [{"fuzzy": {"a": 1}}, {"term": {"a": 1, "b": 2}}, {"terms": {"a": []}}, {"range": {"n_chars": {}}}, {"range": {"n_chars": {"above": 1}}}])
-def test_bad_filters(bad):
+def test_bad_filters(spark, bad):
     with pytest.raises(L.FilterError):
         L.predicate(bad)
 
@@ -73,16 +73,16 @@ def test_heading_paths(spark):
     assert [r.section_path for r in got] == ["A", "A > B", "A > B", "C", "C"]
 
 
-def test_merged_spans_take_the_first_label(spark):
+def test_merged_spans_take_the_label_that_begins_first(spark):
     rows = [(1, 0, 10, "b", 2), (1, 5, 20, "a", 1), (1, 20, 22, "c", 0)]
     got = R.merge_spans(spark.createDataFrame(rows, "id int, begin int, end int, label string, priority int")).orderBy("begin").collect()
-    assert [(r.begin, r.end, r.label) for r in got] == [(0, 20, "a"), (20, 22, "c")]
+    assert [(r.begin, r.end, r.label) for r in got] == [(0, 20, "b"), (20, 22, "c")]
 
 
 def test_redact_twice_changes_nothing(spark):
-    rules = [("MAIL", r"[a-z]+@[a-z.]+"), ("PIN", r"(?i)pin:? \d{4}")]
-    c = R.redact(F.col("t"), rules)
-    assert one(spark, R.redact(c, rules), t="me@x.org, PIN 1234") == one(spark, c, t="me@x.org, PIN 1234") == "[MAIL], [PIN]"
+    patterns = [("MAIL", r"[a-z]+@[a-z.]+", False), ("PIN", r"(?i)pin:? \d{4}", False)]
+    c = R.redact(F.col("t"), patterns=patterns)
+    assert one(spark, R.redact(c, patterns=patterns), t="me@x.org, PIN 1234") == one(spark, c, t="me@x.org, PIN 1234") == "[redacted: MAIL], [redacted: PIN]"
 
 
 def test_rrf_is_symmetric(spark):
@@ -99,7 +99,7 @@ def test_markers_and_evidence(spark):
 
 
 def test_slides(spark):
-    assert one(spark, P.slides_to_markdown(F.col("t")), t="Title\n• one\nmore\n• two") == "## Title\n- one more\n- two"
+    assert one(spark, P.slides_to_markdown(F.col("t")), t="Title\n• one\nmore\n• two") == "# Title\n- one more\n- two"
 
 
 def test_source_times(spark):

@@ -13,6 +13,24 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.groupingSets([[], ["source_id"], ["source_id", "parser_id", "doc_type"]], "source_id", "parser_id", "doc_type").agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n"))
 
 
+def summaries(docs: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
+    """Documents and chunks for each (source_id, doc_type), and the metadata keys; chunks name their document as id."""
+    count = F.count(F.lit(1)).alias("n")
+    kinds = docs.select("id", "source_id", "doc_type")
+    per_doc = chunks.groupBy("id").agg(count)
+    return {
+        "document_counts": kinds.groupBy("source_id", "doc_type").agg(count),
+        "chunk_counts": kinds.join(per_doc, "id").groupBy("source_id", "doc_type").agg(F.sum("n").alias("n")),
+        "metadata_keys": metadata_keys(docs).select("key"),
+    }
+
+
+def refresh_summaries(docs: DataFrame, chunks: DataFrame, folder: str) -> None:
+    """The summary tables anew, each as Parquet below folder; run it after an import."""
+    for name, table in summaries(docs, chunks).items():
+        table.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
 def filter_options(docs: DataFrame, sources: DataFrame) -> DataFrame:
     """A2: documents of each source, those without any included."""
     return sources.join(docs.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")), "source_id", "left").select("source_id", F.coalesce("n", F.lit(0)).alias("n"))

@@ -17,6 +17,7 @@ from ..operators import privacy as R
 from ..operators import ranking as W
 from ..operators import routing as Q
 from ..operators import search as V
+from ..sources import importer as I
 from ..sources import tables as S
 from .queries import CHUNKS, TRIPLES, docs, rounded, triples
 from .registry import query
@@ -575,3 +576,32 @@ def g10_seed_ontology(spark, d):
 def f07_nested_filter(spark, d):
     where = {"bool": {"must": [{"term": {"parser_id": "en"}}], "must_not": [{"bool": {"should": [{"range": {"n_chars": {"lte": 800}}}, {"term": {"doc_type": "image"}}]}}]}}
     return docs(spark, d).where(L.predicate(where)).select("id")
+
+
+# -- summaries, importers, web queries
+
+
+@query("""WITH d AS (SELECT doc_id, source, CASE WHEN n_chars < 200 THEN 'table' WHEN n_chars < 800 THEN 'section' ELSE 'text' END AS kind, text FROM documents),
+c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+SELECT 'documents' AS name, source AS source_id, kind AS doc_type, count(*) AS n FROM d GROUP BY ALL UNION ALL
+SELECT 'chunks', source, kind, count(*) FROM c JOIN d USING (doc_id) WHERE length(line) > 0 GROUP BY ALL""")
+def a08_summaries(spark, d):
+    x = A.summaries(docs(spark, d), S.as_chunks(docs(spark, d)))
+    named = lambda key, name: x[key].select(F.lit(name).alias("name"), "source_id", "doc_type", "n")
+    return named("document_counts", "documents").union(named("chunk_counts", "chunks"))
+
+
+@query(r"""WITH p AS (SELECT page_id, page_id % 3 = 0 AS known, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages)
+SELECT 'web' AS run, count(*) AS found, count_if(NOT known AND title <> '') AS processed, count_if(known) AS skipped, count_if(NOT known AND coalesce(title, '') = '') AS failed FROM p""")
+def u06_import_run(spark, d):
+    at = lambda day: F.to_timestamp(F.lit(day))
+    pages = table(spark, d, "pages").withColumn("listed", at("2024-01-02"))
+    raw = pages.where("page_id % 3 = 0").select(F.col("url").alias("entry"), at("2024-01-03").alias("revised"))
+    return I.run_import(I.PageImporter("web", pages), spark, raw)[1].drop("first_failures")
+
+
+@query(rf"""WITH {CHUNKS}, w AS (SELECT chunk_id, id, list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+'), lambda x: lower(x)) AS w FROM chunks),
+s AS (SELECT chunk_id, id, CASE WHEN NOT list_contains(w, 'er') THEN len(list_filter(w, lambda x: x = 'this')) ELSE 0 END AS a, len(list_filter(range(1, len(w)), lambda i: w[i] = 'ea' AND w[i + 1] = 'er')) AS b FROM w)
+SELECT chunk_id, id, (a + b)::DOUBLE AS score FROM s WHERE a + b > 0""")
+def v06_web_search(spark, d):
+    return V.search_web(S.as_chunks(S.spread(docs(spark, d))), 'this -er or "ea er"')

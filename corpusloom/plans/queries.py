@@ -611,8 +611,7 @@ found AS (SELECT chunk_id, id, round(sum(least(1.0, 8.0 / (pos - b + 1))), 6) AS
 
 @query(f"WITH {SEARCH} SELECT chunk_id, id, score FROM found")
 def v06_fulltext_search(spark, d):
-    posts = V.postings(S.as_chunks(docs(spark, d)))
-    return V.search_fulltext(posts, ["this", "er"])
+    return V.search_web(S.as_chunks(S.spread(docs(spark, d))), "this er")
 
 
 @query("""WITH a AS (SELECT o_custkey % 5 AS query_id, o_orderkey AS chunk_id, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 50),
@@ -648,7 +647,7 @@ def v09_hybrid_search(spark, d):
     # the words of a query: the first two different ones of the document with its id
     own = F.filter(F.transform(F.regexp_extract_all("text", F.lit(f"({V.TOKEN})"), 1), F.lower), lambda x: ~x.isin(*V.STOPWORDS))
     terms = docs(spark, d).join(asked.select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), F.slice(F.array_distinct(own), 1, 2).alias("terms"))
-    words = V.search_fulltext_batch(V.postings(S.as_chunks(docs(spark, d))), terms).select("query_id", F.col("id").alias("chunk_id"), "score")
+    words = V.search_chunks_batch(S.as_chunks(S.spread(docs(spark, d))), terms).select("query_id", F.col("id").alias("chunk_id"), "score")
     words = words.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     found = V.search_hybrid(near, words, docs(spark, d).select(F.col("id").alias("chunk_id"), "id"), 5)
     return found.select("query_id", "id", "chunk_id", "score", "doc_rank")

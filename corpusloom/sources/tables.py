@@ -36,6 +36,15 @@ def as_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read, dealt out evenly if it is read in fewer parts than there are cores; larger ones stay as they are.
+
+    A small file of one row group is read by one task, whose heavy expressions would leave the other cores idle.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def as_chunks(docs: DataFrame) -> DataFrame:
     """Each line of a document as a chunk (chunk_id, id, chunk_index, text)."""
     lines = docs.select("id", F.posexplode(F.split("text", "\n", -1)).alias("chunk_index", "text"))

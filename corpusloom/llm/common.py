@@ -11,7 +11,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join is broadcast; it is counted first, and a shuffle join follows beyond it.
@@ -107,6 +107,25 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.select("node", "label")
 
 
+def numbered(rows: DataFrame, group: str, order: list[Column], scratch: Scratch) -> DataFrame:
+    """rows with pos, the place of a row (from 0) in the order of its group, and size, the rows of the group.
+
+    rows is a kept table, and group a column without nulls. Rows are dealt out by ranges of (group, order), so neither a
+    hot group nor a value that very many rows share is one task; rows that are alike in all of these are numbered as
+    they stand in the table. Only counts for each range and group are summed up by window.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col(group).asc(), *order, F.col("__as_read").asc()]
+    laid = rows.withColumn("__as_read", F.monotonically_increasing_id()).repartitionByRange(n, *by).sortWithinPartitions(*by)
+    laid = scratch.keep(laid.drop("__as_read").withColumn("__range", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
+    counts = laid.groupBy(group, "__range").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy(group)
+    before = F.coalesce(F.sum("__n").over(whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = scratch.keep(counts.select(group, "__range", (before - F.col("__first")).alias("__shift"), F.sum("__n").over(whole).alias("size")))
+    placed = laid.join(fitted(starts), [group, "__range"])
+    return placed.withColumn("pos", F.col("__at") + F.col("__shift")).drop("__range", "__at", "__shift")
+
+
 def beside_ids(batch: pa.RecordBatch, columns: dict[str, pa.Array], rows: list[int] | None = None, carried: tuple[str, ...] = ("doc_id",)) -> pa.RecordBatch:
     """columns beside the carried ones of batch, taken at rows if they are given; ids stay Arrow, so nulls cost them no digit."""
     at = None if rows is None else pa.array(rows, pa.int64())

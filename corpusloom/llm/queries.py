@@ -11,10 +11,14 @@ from .language_id import fit, identify
 from .license_scan import license_scan
 from .line_dedup import line_decisions
 from .media import media_digests, store_texts
+from .merkle import proof_digest, verify_tampered
 from .mixing import curriculum_mix, in_training_order
 from .ngram_join import ngram_jaccard_join
 from .packing import pack_documents
 from .quality import importance_sample
+from .target_sample import target_sample
+from .toxicity import fit as fit_toxicity
+from .toxicity import labelled, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,14 +77,41 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_target_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = target_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the labelled rows whose crc32(doc_id as text) mod 4 isn't 2."""
+    docs = table(spark, sf_dir, "documents")
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4, F.lit(0))
+    trained = labelled(docs.withColumn("fold", fold), table(spark, sf_dir, "labels"), F.col("fold") != 2)
+    found = toxicity(docs, fit_toxicity(trained))
+    return found.select("doc_id", (fold == 2).alias("held_out"), "score", "predicted")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = verify_tampered(docs, tampered, {"text": lower})
+    return rows.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_language_id, op3_importance_sample, op4_exact_dedup, op5_bin_completion,
         op6_ngram_jaccard, op7_curriculum_mix, op8_line_dedup, op9_media_columns, op10_html_text,
+        op11_target_sample, op12_toxicity, op13_merkle_manifest,
     )
 }
 
+#: SQL for crc32, byte by byte from its table of 256 values, t: of ASCII texts by their letters, of others by their bytes.
+_CRC_TABLE = "crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i))"
+_CRC_OF = "xor(4294967295, list_reduce({bytes}, lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8), 4294967295))"
+
 ORACLE_SQL = {
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -140,4 +171,70 @@ ORACLE_SQL = {
                max(t) FILTER (round_ = 0) AS position, max(t) FILTER (round_ = 1) AS position_again
         FROM x GROUP BY doc_id
     """,
+    "op11_target_sample": rf"""
+        WITH {_CRC_TABLE}, d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), b AS (
+            SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), fd AS (
+            SELECT doc_id, array_to_string(w[i:i + k], ' ') AS f, count(*) AS n FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 1)) AS i FROM d, range(3) r(k)) GROUP BY ALL
+        ), fb AS (
+            SELECT array_to_string(w[i:i + k], ' ') AS f, count(*) AS n FROM (SELECT w, k, unnest(range(1, len(w) - k + 1)) AS i FROM b, range(3) r(k)) GROUP BY ALL
+        ), h AS (
+            SELECT f, {_CRC_OF.format(bytes="list_transform(range(0, strlen(f)), lambda i: ('0x' || hex(encode(f))[2 * i + 1:2 * i + 2])::BIGINT)")} % 10000 AS bucket
+            FROM (SELECT f FROM fd UNION SELECT f FROM fb), crc
+        ), s AS (SELECT bucket, sum(n)::BIGINT AS s FROM fd JOIN h USING (f) GROUP BY 1), t AS (SELECT bucket, sum(n)::BIGINT AS t FROM fb JOIN h USING (f) GROUP BY 1),
+        g AS (
+            SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE / ((s + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS gain
+            FROM s LEFT JOIN t USING (bucket)
+        ), w AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM fd JOIN h USING (f) JOIN g USING (bucket) GROUP BY 1),
+        x AS (
+            SELECT d.doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                   ('0x' || sha256('42:' || coalesce(d.doc_id::VARCHAR, ''))[1:8])::BIGINT AS h
+            FROM d LEFT JOIN w USING (doc_id)
+        ), y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM x),
+        z AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS r, count_if(words >= 20) OVER () AS n FROM y)
+        SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND r <= 5 * n // 100 THEN r END AS rank FROM z
+    """,
+    "op13_merkle_manifest": rf"""
+        WITH RECURSIVE {_CRC_TABLE}, d AS (
+            SELECT doc_id, source, coalesce(':' || source, '-') AS tree, {_CRC_OF.format(bytes="list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x))")} % 5 = 0 AS tampered,
+                   concat_ws('', coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+                       coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+                   coalesce(strlen(text) || ':' || text, '-') AS tail,
+                   coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') AS changed
+            FROM documents, crc
+        ), leaf AS (
+            SELECT doc_id, tree, sha256(head || tail) AS leaf, CASE WHEN tampered THEN sha256(head || changed) ELSE sha256(head || tail) END AS shown,
+                   row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d
+        ), up AS (
+            SELECT tree, 0 AS level, pos AS i, n, leaf AS digest FROM leaf
+            UNION ALL
+            SELECT tree, level + 1, i // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY tree, level, i // 16, n
+        ), sub AS (SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+        top AS (
+            SELECT 0 AS level, pos AS i, n, digest FROM sub
+            UNION ALL
+            SELECT level + 1, i // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, i // 16, n
+        ), node AS (
+            SELECT tree, level, i, digest FROM up WHERE n > 1
+            UNION ALL
+            -- of the upper tree, as levels above those of each lower one
+            SELECT s.tree, h.h + t.level, t.i, t.digest FROM top t, sub s JOIN (SELECT tree, max(level) AS h FROM up GROUP BY tree) h USING (tree) WHERE t.n > 1 AND t.i // 16 = (s.pos // (16::BIGINT ** t.level)::BIGINT) // 16
+        ), path AS (
+            SELECT doc_id, l.tree, h.level, CASE WHEN h.level < h.h THEN l.pos // (16::BIGINT ** h.level)::BIGINT ELSE s.pos // (16::BIGINT ** (h.level - h.h))::BIGINT END AS i
+            FROM leaf l JOIN sub s USING (tree) JOIN (SELECT tree, h, unnest(range(0, h + (SELECT max(level) FROM top))) AS level FROM (SELECT tree, max(level) AS h FROM up GROUP BY tree)) h ON h.tree = l.tree
+        ), step AS (
+            SELECT p.doc_id, p.level, coalesce(string_agg(n.digest, '' ORDER BY n.i) FILTER (n.i < p.i), '') AS l, coalesce(string_agg(n.digest, '' ORDER BY n.i) FILTER (n.i > p.i), '') AS r
+            FROM path p JOIN node n ON n.tree = p.tree AND n.level = p.level AND n.i // 16 = p.i // 16 GROUP BY p.doc_id, p.level
+        ), proof AS (SELECT doc_id, sha256(string_agg(l || r, '' ORDER BY level)) AS proof_sha256, max(level) + 1 AS levels FROM step GROUP BY doc_id),
+        folded AS (
+            SELECT doc_id, 0 AS level, shown AS digest FROM leaf
+            UNION ALL
+            SELECT f.doc_id, f.level + 1, sha256(s.l || f.digest || s.r) FROM folded f JOIN step s ON s.doc_id = f.doc_id AND s.level = f.level
+        )
+        SELECT l.doc_id, leaf, sub.digest AS subroot, (SELECT digest FROM top WHERE n = 1) AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, f.digest AS folded_root,
+               f.digest = (SELECT digest FROM top WHERE n = 1) AS verified
+        FROM leaf l JOIN sub USING (tree) LEFT JOIN proof USING (doc_id) JOIN folded f ON f.doc_id = l.doc_id AND f.level = coalesce(levels, 0)
+    """,
 }

@@ -2,11 +2,11 @@
 
 Two words are compared by the subsequences of ORDER letters that both have, gaps and all: a subsequence counts DECAY to
 the power of its span in each word. Signs between letters are gaps too, so 'i.d-i*o t' has the subsequences of 'idiot',
-and a letter put in or left out leaves most of them. A sentence is the bag of its words, and the kernel of two sentences
+and a letter put in or left out leaves most of them. A sentence is the set of its words, and the kernel of two sentences
 sums a power of the word kernel over their pairs (a convolution kernel, so again a sum of products of features).
 
-LANDMARKS words stand for all: those that the toxic documents of the training rows have most unlike the others, and as
-many common ones. A sentence's kernel values with the landmarks, whitened by the inverse root of the landmarks' own
+LANDMARKS words stand for all: those that the toxic documents of the training rows have most unlike the others, and
+common ones. A sentence's kernel values with the landmarks, whitened by the inverse root of the landmarks' own
 kernel matrix, are its Nystrom features. A linear support vector machine is trained on sentences, each with the label of
 its document. With the machine's weights a word's part of the decision is one number, which a worker remembers.
 A document is as toxic as its worst sentence; a logistic curve over that, fitted on the training documents, is the score.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import itertools
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -33,7 +34,14 @@ from .common import Scratch, beside_ids
 ORDER, DECAY, POWER = 3, 0.7, 3
 #: Letters that the letters of one subsequence may lie apart, first to last.
 SPAN = 9
-LANDMARKS = 64
+LANDMARKS = 48
+REG = 1e-5
+#: Directions in which landmarks differ by less than this are not blown up to unit length.
+LEAST_EIGENVALUE = 0.02
+#: What a sentence of a toxic document weighs beside one of another in training.
+TOXIC_WEIGHT = 1.5
+#: Decisions from the negative of this to it count for the score; the machine's margin is 1.
+CLEAR = 2.0
 #: Labelled documents that the machine is trained on at most: those whose doc_id has the smallest hash.
 MOST_LABELLED = 10_000
 #: A sentence is cut after so many words, a word is looked at in windows of so many letters, half a window apart.
@@ -43,13 +51,12 @@ THRESHOLD = 0.3
 REMEMBERED = 1_000_000
 
 _LETTERS = 27  # and the gap, 0
-_CODE = np.zeros(256, np.int64)
+_CODE = np.zeros(256, np.int16)
 _CODE[97:123] = np.arange(1, _LETTERS)
 _WORD_TABLE = bytes(c if 97 <= c < 123 else 35 for c in range(256))
 _MARKS = re.compile("[̀-ͯ]+")
-_END = re.compile(rb"[.!?]+\s|\n")
 #: Single letters with up to three other signs between them.
-_SPACED = re.compile(rb"(?<![a-z])[a-z](?:[^a-z\n]{1,3}[a-z](?![a-z])){2,}")
+_SPACED = re.compile(rb" [a-z](?:[^a-z\n]{1,3}[a-z](?![a-z])){2,}")
 
 
 def plain(text: str | None) -> bytes:
@@ -60,15 +67,21 @@ def plain(text: str | None) -> bytes:
     return text.encode("ascii", "ignore")
 
 
-def sentences(text: str | None) -> Iterator[list[bytes]]:
-    """The words of each sentence; letters that stand alone in a row are a sentence of one word."""
+def sentences(text: str | None) -> Iterator[dict[bytes, None]]:
+    """The distinct words of each sentence; letters that stand alone in a row are a sentence of one word.
+
+    A sentence ends with its line, or where a stop, an exclamation or a question mark is followed by a space.
+    """
     raw = plain(text)
-    for s in _END.split(raw):
+    for s in raw.replace(b". ", b"\n").replace(b"! ", b"\n").replace(b"? ", b"\n").split(b"\n"):
         words = s.split()
-        for i in range(0, len(words), SENTENCE):
-            yield words[i : i + SENTENCE]
-    for s in _SPACED.findall(raw):
-        yield [s]
+        if len(words) <= SENTENCE:
+            yield dict.fromkeys(words)
+        else:
+            for i in range(0, len(words), SENTENCE):
+                yield dict.fromkeys(words[i : i + SENTENCE])
+    for s in _SPACED.findall(b" " + raw):
+        yield {s: None}
 
 
 def windows(word: bytes) -> list[bytes]:
@@ -83,25 +96,37 @@ def _places(length: int) -> list[tuple[int, int, int]]:
     return [p for p in itertools.combinations(range(length), ORDER) if p[-1] - p[0] < SPAN]
 
 
-def _codes(words: list[bytes]) -> np.ndarray:
-    out = np.zeros((len(words), max(map(len, words))), np.int64)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = _CODE[np.frombuffer(w, np.uint8)]
-    return out
+def _codes(words: list[bytes], size: int) -> np.ndarray:
+    """Letters as numbers from 1, gaps as 0: a row for each place, a column for each word."""
+    raw = np.frombuffer(b"".join([w.ljust(size, b"#") for w in words]), np.uint8)
+    return np.ascontiguousarray(_CODE[raw].reshape(len(words), size).T)
+
 
+def subsequences(words: list[bytes], size: int) -> Iterator[tuple[np.ndarray, float]]:
+    """(the subsequence of each word or 0, its weight) for each choice of places; no word is longer than size."""
+    codes = _codes(words, size)
+    for i, j, k in _places(size):
+        a, b, c = codes[i], codes[j], codes[k]
+        u = (a * _LETTERS + b) * _LETTERS + c
+        u *= (a > 0) & (b > 0) & (c > 0)
+        yield u, DECAY ** (k - i + 1)
 
-def subsequences(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """(subsequence or 0 of each word, which have one, weight) for each choice of places; words are of up to one length."""
-    codes = _codes(words)
-    for i, j, k in _places(codes.shape[1]):
-        a, b, c = codes[:, i], codes[:, j], codes[:, k]
-        whole = (a > 0) & (b > 0) & (c > 0)
-        yield (a * _LETTERS + b) * _LETTERS + c, whole, DECAY ** (k - i + 1)
+
+def _squares(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Each word's kernel with itself: equal subsequences of a row add up before they are squared; code 0 is none."""
+    order = np.argsort(codes, axis=1, kind="stable")
+    run, w = np.take_along_axis(codes, order, 1), weights[order]
+    first = np.ones(run.shape, bool)
+    first[:, 1:] = run[:, 1:] != run[:, :-1]
+    at = np.flatnonzero(first)
+    sums = np.add.reduceat(w.ravel(), at)
+    sums[run.ravel()[at] == 0] = 0
+    return np.bincount(at // run.shape[1], sums * sums, len(codes))
 
 
 @dataclass
 class WordKernel:
-    """The kernel of words with landmarks; a word is scaled by the root of its squared subsequence weights."""
+    """The normalised subsequence kernel of words with landmarks."""
 
     landmarks: list[bytes]
     table: np.ndarray = field(init=False)
@@ -110,28 +135,28 @@ class WordKernel:
     def __post_init__(self) -> None:
         self.table = np.zeros((_LETTERS**ORDER, len(self.landmarks)), np.float32)
         for j, w in enumerate(self.landmarks):
-            square = 0.0
-            for u, whole, weight in subsequences([w]):
-                if whole[0]:
-                    self.table[u[0], j] += weight
-                    square += weight * weight
-            self.table[:, j] /= max(square, 1e-12) ** 0.5
+            for u, weight in subsequences([w], len(w)):
+                self.table[u, j] += weight
+        self.table[0] = 0
+        self.table /= np.maximum(np.sqrt((self.table**2).sum(axis=0)), 1e-12)
         self.known = self.table.any(axis=1)
 
     def values(self, words: list[bytes]) -> np.ndarray:
-        """Kernel values (word x landmark), to the power of POWER."""
+        """Kernel values (word x landmark), to the power of POWER; a word without subsequences has 0."""
         out, square = np.zeros((len(words), len(self.landmarks)), np.float32), np.zeros(len(words))
-        sizes = np.array([min(s for s in (6, 8, 10, 13, 17, WINDOW) if len(w) <= s) for w in words])
+        steps = np.array((6, 8, 10, 13, 17, WINDOW))
+        sizes = steps[np.searchsorted(steps, np.fromiter(map(len, words), np.int64, len(words)))]
         for size in np.unique(sizes):
             at = np.flatnonzero(sizes == size)
-            for begin in range(0, len(at), 1 << 15):
-                some = at[begin : begin + (1 << 15)]
-                sums, squares = np.zeros((len(some), len(self.landmarks)), np.float32), np.zeros(len(some))
-                for u, whole, weight in subsequences([words[i] for i in some]):
-                    squares[whole] += weight * weight
-                    hit = np.flatnonzero(whole & self.known[u])
+            for begin in range(0, len(at), 1 << 13):
+                some = at[begin : begin + (1 << 13)]
+                sums, codes, weights = np.zeros((len(some), len(self.landmarks)), np.float32), [], []
+                for u, weight in subsequences([words[i] for i in some], int(size)):
+                    hit = np.flatnonzero(self.known[u])
                     sums[hit] += np.float32(weight) * self.table[u[hit]]
-                out[some], square[some] = sums, squares
+                    codes.append(u)
+                    weights.append(weight)
+                out[some], square[some] = sums, _squares(np.stack(codes, axis=1), np.array(weights))
         return (out / np.sqrt(np.maximum(square, 1e-12))[:, None].astype(np.float32)) ** POWER
 
 
@@ -178,7 +203,7 @@ class ToxicityModel:
         return out
 
     def scores(self, decisions: list[float]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.array(decisions) + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-(self.slope * np.clip(decisions, -CLEAR, CLEAR) + self.shift)))
 
 
 def _word_labels(rows: DataFrame) -> DataFrame:
@@ -197,18 +222,27 @@ def _word_labels(rows: DataFrame) -> DataFrame:
 
 
 def choose_landmarks(rows: DataFrame, n_toxic: int, n_others: int, landmarks: int, scratch: Scratch) -> list[bytes]:
-    """Half of the landmarks are the words most bound to toxic documents, the others common ones that aren't, by hash."""
+    """Two thirds of the landmarks are the words most bound to toxic documents, the others common ones that aren't, by hash."""
     counts = scratch.keep(_word_labels(rows).where(F.col("toxic") + F.col("others") >= 2))
     n = n_toxic + n_others
     share = (F.col("toxic") + F.col("others")) / n
     z = (F.col("toxic") / n_toxic - F.col("others") / n_others) / F.sqrt(share * (1 - share + 1 / n) * (1 / n_toxic + 1 / n_others))
     ranked = counts.withColumn("z", z)
-    bound = [r["word"] for r in ranked.orderBy(F.desc("z"), "word").limit(landmarks // 2).collect()]
+    bound = [r["word"] for r in ranked.orderBy(F.desc("z"), "word").limit(2 * landmarks // 3).collect()]
     common = ranked.where(~F.col("word").isin(bound)).orderBy(F.desc(F.floor(F.log2(F.col("toxic") + F.col("others")))), F.xxhash64("word"), "word")
     return [w.encode() for w in bound + [r["word"] for r in common.limit(landmarks - len(bound)).collect()]]
 
 
-def fit(rows: DataFrame, landmarks: int = LANDMARKS, most_labelled: int = MOST_LABELLED) -> ToxicityModel | float:
+def disturbed(word: bytes) -> bytes:
+    """A word with one more letter within it; place and letter follow from its checksum."""
+    if len(word) < ORDER + 1:
+        return word
+    h = zlib.crc32(word)
+    at = 1 + h % (len(word) - 1)
+    return word[:at] + bytes([97 + (h >> 8) % 26]) + word[at:]
+
+
+def fit(rows: DataFrame, landmarks: int = LANDMARKS, most_labelled: int = MOST_LABELLED, disturb: bool = True) -> ToxicityModel | float:
     """A model from rows (doc_id, text, toxic 0 or 1); without both labels the share of toxic ones, 0 for none.
 
     At most most_labelled rows are used. What reaches the driver is bounded by landmarks and by most_labelled numbers.
@@ -224,11 +258,12 @@ def fit(rows: DataFrame, landmarks: int = LANDMARKS, most_labelled: int = MOST_L
         return float(n_toxic / n)
     kernel = WordKernel(chosen)
     values, vectors = np.linalg.eigh(kernel.values(chosen).astype(np.float64))
-    root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T  # inverse root of the landmarks' kernel matrix
+    root = vectors / np.sqrt(np.maximum(values, LEAST_EIGENVALUE)) @ vectors.T  # inverse root of the landmarks' kernel matrix
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept = [(s, t) for text, t in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True) for s in sentences(text)]
+            kept += [({disturbed(w): None for w in s}, t) for s, t in kept] if disturb else []
             cut = [[x for w in s for x in windows(w)] for s, _ in kept]
             once = {x: i for i, x in enumerate(sorted({x for s in cut for x in s}))}
             value = kernel.values(list(once)).astype(np.float64) @ root if once else np.zeros((0, len(chosen)))
@@ -237,10 +272,12 @@ def fit(rows: DataFrame, landmarks: int = LANDMARKS, most_labelled: int = MOST_L
                 yield pa.RecordBatch.from_pydict({"label": pa.array([float(t) for _, t in kept[begin : begin + 10_000]]), "z": pa.array([x.tolist() for x in sums], pa.list_(pa.float64()))})
 
     trained = scratch.keep(rows.select("text", "toxic").mapInArrow(features, "label double, z array<double>"))
-    machine = LinearSVC(maxIter=60, regParam=1e-4, standardization=False).fit(trained.select("label", array_to_vector("z").alias("features")))
+    machine = LinearSVC(maxIter=100, regParam=REG, standardization=False, weightCol="weight").fit(
+        trained.select("label", (1 + (TOXIC_WEIGHT - 1) * F.col("label")).alias("weight"), array_to_vector("z").alias("features"))
+    )
     model = ToxicityModel(kernel, root @ machine.coefficients.toArray(), float(machine.intercept))
     seen = decide(rows.select("doc_id", "text", "toxic"), model, ("toxic",)).select("decision", "toxic").toPandas()  # most_labelled rows
-    model.slope, model.shift = _logistic(seen["decision"].to_numpy(), seen["toxic"].to_numpy(np.float64))
+    model.slope, model.shift = _logistic(np.clip(seen["decision"].to_numpy(), -CLEAR, CLEAR), seen["toxic"].to_numpy(np.float64))
     scratch.drop(trained)
     return model
 
@@ -285,7 +322,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel | float, threshold: float = T
     if isinstance(model, float):
         rows = docs.select("doc_id", F.lit(model).alias("score"))
     else:
-        at = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("decision") * model.slope + model.shift))
+        at = F.greatest(F.lit(-CLEAR), F.least(F.lit(CLEAR), F.col("decision"))) * model.slope + model.shift
         rows = decide(docs, model).select("doc_id", F.round(1 / (1 + F.exp(-at)), 6).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

@@ -56,7 +56,7 @@ _CODE[97:123] = np.arange(1, _LETTERS)
 _WORD_TABLE = bytes(c if 97 <= c < 123 else 35 for c in range(256))
 _MARKS = re.compile("[̀-ͯ]+")
 #: Single letters with up to three other signs between them.
-_SPACED = re.compile(rb" [a-z](?:[^a-z\n]{1,3}[a-z](?![a-z])){2,}")
+_SPACED = re.compile(rb"[ \n][a-z](?:[^a-z\n]{1,3}[a-z](?![a-z])){2,}")
 
 
 def plain(text: str | None) -> bytes:

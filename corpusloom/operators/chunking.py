@@ -20,7 +20,8 @@ def chunk_tokens(docs: DataFrame, size: int, overlap: int | None = None) -> Data
     overlap = min(size // 10 if overlap is None else overlap, size // 2)
     stride = max(1, size - overlap)
     toks = F.regexp_extract_all("text", F.lit(r"(\s*\S+)"), 1)
-    rows = docs.select("id", toks.alias("t")).where(F.size("t") > 0)
+    # exploded as one value, so that filters stay above it and no expression takes the tokens from the text again
+    rows = docs.select("id", F.explode(F.array(toks)).alias("t")).where(F.size("t") > 0)
     n = F.size("t")
     last = F.greatest(F.lit(0), F.ceil((n - size) / stride)).cast("int")
 
@@ -114,13 +115,14 @@ def list_chunks(chunks: DataFrame, where: Column, n: int, offset: int = 0) -> Da
 
 
 def embed_chunks(chunks: DataFrame, embed: Callable[[pd.Series], list[list[float]]]) -> DataFrame:
-    """(chunk_id, embedding) by a function on a series of texts, in Arrow batches."""
+    """(chunk_id, embedding) by a function on a series of texts, in Arrow batches; ids stay as they are, nulls among them."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"chunk_id": b["chunk_id"], "embedding": list(embed(b["text"]))})
+            vectors = pa.array([list(map(float, v)) for v in embed(b.column("text").to_pandas())], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_pydict({"chunk_id": b.column("chunk_id"), "embedding": vectors})
 
-    return chunks.select("chunk_id", "text").mapInPandas(run, "chunk_id long, embedding array<float>")
+    return chunks.select("chunk_id", "text").mapInArrow(run, f"chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, embedding array<float>")
 
 
 def hashing_embedder(dimension: int = 64) -> Callable[[pd.Series], list[list[float]]]:

@@ -42,19 +42,45 @@ def s01_read_tables(spark, d):
     return counts[0].union(counts[1]).union(counts[2])
 
 
-@query(r"""WITH e AS (SELECT doc_id % 500 AS id, source AS source_id, (doc_id % 500)::VARCHAR AS doc_id, lang AS parser_id, md5(text) AS h FROM documents WHERE doc_id % 4 = 0),
-n AS (SELECT doc_id AS id, source AS source_id, (doc_id % 500)::VARCHAR AS doc_id, lang AS parser_id, md5(text) AS h FROM documents WHERE doc_id % 4 = 1),
-o AS (SELECT * FROM n WHERE (source_id, doc_id, parser_id, id) IN (SELECT (source_id, doc_id, parser_id, max(id)) FROM n GROUP BY source_id, doc_id, parser_id)),
-a AS (SELECT source_id, doc_id, parser_id, min(id) AS a FROM e GROUP BY ALL), b AS (SELECT h, min(id) AS b FROM e GROUP BY h)
-SELECT o.id, coalesce(a, b, o.id) AS target_id, CASE WHEN a IS NULL AND b IS NULL THEN 'insert' ELSE 'update' END AS action FROM o LEFT JOIN a USING (source_id, doc_id, parser_id) LEFT JOIN b USING (h)""")
-def s02_ingest_parsed(spark, d):
+def _ingest_sql(key: str, parser: str) -> str:
+    return f"""WITH r AS (SELECT doc_id AS id, source AS source_id, n_chars % 50 AS d, lang AS parser_id, text, sha256(text) AS h, doc_id % 2 AS kind FROM documents),
+    f AS (SELECT {key}, arg_min({{'kind': kind, 'id': id, 'parser': parser_id}}, kind * 1000000000000 + id) AS f, max(id) FILTER (kind = 1) AS last FROM r GROUP BY ALL)
+    SELECT id, f.id AS target_id, CASE WHEN f.kind = 1 AND f.id = id THEN 'insert' ELSE 'update' END AS action, id = last AS latest, {parser} AS stored_parser, h AS stored_hash, 't' AS title, md5(text) AS text_md5
+    FROM r JOIN f USING ({key}) WHERE kind = 1"""
+
+
+def _ingested(spark, d, level: int) -> DataFrame:
+    """Documents with odd ids as a batch that is merged into those with even ones."""
     x = table(spark, d, "documents")
-    rows = x.select(F.col("doc_id").alias("id"), F.col("source").alias("source_id"), (F.col("doc_id") % 500).cast("string").alias("doc_id"), F.col("lang").alias("parser_id"), F.lit("t\x00").alias("title"), "text", F.lit("{}").alias("meta"))
-    existing = rows.where("id % 4 = 0").withColumn("id", F.col("id") % 500)
-    return S.ingest_parsed(rows.where("id % 4 = 1"), existing).select("id", "target_id", "action")
+    rows = x.select(F.col("doc_id").alias("id"), F.col("source").alias("source_id"), (F.col("n_chars") % 50).cast("string").alias("doc_id"), F.col("lang").alias("parser_id"), F.lit("t\x00").alias("title"), "text", F.lit("{}").alias("meta"))
+    out = S.ingest_parsed(rows.where("id % 2 = 1"), rows.where("id % 2 = 0"), level)
+    return out.select("id", "target_id", "action", "latest", "stored_parser", "stored_hash", "title", F.md5("text").alias("text_md5"))
+
+
+@query(_ingest_sql("source_id, d, parser_id", "parser_id"))
+def s02_ingest_parsed(spark, d):
+    return _ingested(spark, d, 1)
+
+
+@query(_ingest_sql("h", "f.parser"))
+def s02_ingest_by_hash(spark, d):
+    return _ingested(spark, d, 2)
+
+
+@query()
+def s02_ingest_by_both(spark, d):
+    """Each match can depend on those before it: held against a replay row by row (tests)."""
+    return _ingested(spark, d, 3)
+
+
+@query(r"""WITH t AS (SELECT url AS doc_id, regexp_replace(html, '(?is)<!--.*?-->|<!doctype[^>]*>|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<span class="mw-editsection">.*?</span>|<[^>]*>', '', 'g') AS text FROM pages),
+u AS (SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(replace(text, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS text FROM t)
+SELECT doc_id, trim(regexp_replace(text, '\s*(\n|  )\s*', chr(10), 'g'), ' ' || chr(10)) AS text FROM u""")
+def s03_html_text(spark, d):
+    return S.page_source(table(spark, d, "pages"), markdown=False).select("doc_id", "text")
 
 
-@query(r"""SELECT url AS doc_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title,
+@query(r"""SELECT url AS doc_id, replace(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '&amp;', '&') AS title,
   len(list_distinct(regexp_extract_all(html, '(?i)<a\b[^>]*\bhref\s*=\s*["'']([^"''#]+)', 1))) AS links FROM pages""")
 def s03_page_source(spark, d):
     return S.page_source(table(spark, d, "pages")).select("doc_id", "title", F.size("links").cast("long").alias("links"))

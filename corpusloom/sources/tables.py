@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import content_hash, sanitize
-from ..operators.dedup import dedup_merge
+from ..operators.dedup import merge_batch
+from .html_pages import read_page
 
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -116,45 +118,37 @@ def replace_plan(src: DataFrame, dst: DataFrame, dependents: DataFrame, key: str
 
 
 def ingest_parsed(docs: DataFrame, existing: DataFrame, level: int = 3) -> DataFrame:
-    """Documents as they are to be stored: sanitised, hashed, and merged with existing ones by dedup level (D3).
+    """Documents as they are to be stored: sanitised, hashed, and merged with existing ones and each other by dedup level.
 
-    docs and existing have id, source_id, doc_id, parser_id, title, text, meta (JSON text). NULs go from title, text and all of meta; the content
-    hash is that of the text, null for none. Each row has target_id, the row that it replaces or its own id, and action. Of rows of
-    one batch that have one target the one with the largest id counts. A batch of one row is a single ingest.
+    docs and existing have id, source_id, doc_id, parser_id, title, text, meta (JSON text). NULs go from title, text and all
+    of meta; the content hash is that of the text, null for none. No row of docs is lost: each comes back with target_id,
+    action, stored_hash, stored_parser and latest, as merge_batch says; those with latest are what the store holds in the
+    end. A batch of one row is a single ingest.
     """
     clean = docs.withColumns({c: sanitize(F.col(c)) for c in ("title", "text")})
     clean = clean.withColumn("meta", F.regexp_replace(sanitize(F.col("meta")), r"\\u0000", "")).withColumn("content_hash", content_hash(F.col("text")))
     known = existing if "content_hash" in existing.columns else existing.withColumn("content_hash", content_hash(F.col("text")))
-    # rows of the batch itself are merged first, by the same keys
-    keys = {0: [], 1: ["source_id", "doc_id", "parser_id"], 2: ["content_hash"], 3: ["source_id", "doc_id", "parser_id"]}[level]
-    if keys:
-        newest = clean.groupBy(*keys).agg(F.max("id").alias("id"))
-        blank = clean.where(F.col(keys[0]).isNull()) if keys == ["content_hash"] else None
-        once = clean.join(newest.select("id"), "id", "left_semi")
-        clean = once if blank is None else once.union(blank).distinct()
-    plan = dedup_merge(clean, known, level)
-    return clean.join(plan, "id").withColumn("target_id", F.coalesce("target_id", "id"))
+    return clean.join(merge_batch(clean, known, level), "id")
 
 
-def page_source(pages: DataFrame) -> DataFrame:
-    """S3: HTML pages (page_id, url, html) as documents: doc_id, title, text in Markdown, links.
+def page_source(pages: DataFrame, markdown: bool = True) -> DataFrame:
+    """S3: HTML pages (url, html) as documents: doc_id, title, text, links.
 
-    Scripts, styles, comments and navigation go; headings and list items become Markdown; links are absolute or relative addresses as they stand.
+    All text is kept, that of header, navigation and footer too; scripts, styles, templates, ruby notes, comments and
+    the wiki's edit marks go, and entities become their letters. text is Markdown, with # for headings and - for list
+    items; or, without markdown, the page's strings as they follow each other, a line for each stretch between line
+    breaks and double spaces. links are addresses as they stand, without what follows #. A null page has null text.
     """
-    html = F.regexp_replace("html", r"(?is)<!--.*?-->|<(script|style|nav|header|footer)\b.*?</\1\s*>", " ")
-    links = F.array_distinct(F.regexp_extract_all("html", F.lit(r"""(?i)<a\b[^>]*\bhref\s*=\s*["']([^"'#]+)"""), 1))
-    title = F.trim(F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
-    body = F.regexp_replace(html, r"(?is)<head\b.*?</head\s*>", " ")
-    for i in range(1, 7):
-        body = F.regexp_replace(body, rf"(?i)<h{i}\b[^>]*>\s*", "\n\n" + "#" * i + " ")
-    body = F.regexp_replace(body, r"(?i)<li\b[^>]*>\s*", "\n- ")
-    body = F.regexp_replace(body, r"(?i)<br\s*/?>", "\n")
-    body = F.regexp_replace(body, r"(?i)</?(p|div|h[1-6]|ul|ol|table|tr|section|article|pre|blockquote)\b[^>]*>", "\n\n")
-    body = F.regexp_replace(body, r"<[^>]*>", "")
-    for name, c in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("nbsp", " "), ("amp", "&")):
-        body = F.replace(body, F.lit(f"&{name};"), F.lit(c))
-    body = F.regexp_replace(F.regexp_replace(body, r"[ \t]+", " "), r" *\n *", "\n")
-    return pages.select(F.col("url").alias("doc_id"), title.alias("title"), F.trim(F.regexp_replace(body, r"\n{3,}", "\n\n")).alias("text"), links.alias("links"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            read = [(None, None, None) if h is None else read_page(h, markdown) for h in b.column("html").to_pylist()]
+            columns = zip(*read, strict=True) if read else ((), (), ())
+            kinds = (pa.string(), pa.string(), pa.list_(pa.string()))
+            made = {n: pa.array(c, k) for n, c, k in zip(("title", "text", "links"), columns, kinds, strict=True)}
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("url")} | made)
+
+    return spread(pages).select("url", "html").mapInArrow(run, "doc_id string, title string, text string, links array<string>")
 
 
 def export_comparisons(comparisons: DataFrame) -> DataFrame:

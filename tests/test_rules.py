@@ -117,8 +117,9 @@ def test_ingest(spark):
     kind = "id long, source_id string, doc_id string, parser_id string, title string, text string, meta string"
     existing = spark.createDataFrame([(1, "s", "a", "p", "", "old", "{}"), (2, "s", "b", "p", "", "same", "{}")], kind)
     new = spark.createDataFrame([(10, "s", "a", "p", "t\x00", "n\x00ew", '{"k": "\\u0000v"}'), (11, "s", "c", "p", "", "same", "{}"), (12, "s", "d", "p", "", "fresh", "{}"), (13, "s", "d", "p", "", "fresher", "{}")], kind)
-    got = {r.id: (r.target_id, r.action, r.title, r.text, r.meta) for r in S.ingest_parsed(new, existing).collect()}
-    assert got == {10: (1, "update", "t", "new", '{"k": "v"}'), 11: (2, "update", "", "same", "{}"), 13: (13, "insert", "", "fresher", "{}")}
+    got = {r.id: (r.target_id, r.action, r.latest, r.title, r.text, r.meta) for r in S.ingest_parsed(new, existing).collect()}
+    want = {10: (1, "update", True, "t", "new", '{"k": "v"}'), 11: (2, "update", True, "", "same", "{}")}
+    assert got == want | {12: (12, "insert", False, "", "fresh", "{}"), 13: (12, "update", True, "", "fresher", "{}")}
 
 
 def test_image_decisions_reach_parents(spark):

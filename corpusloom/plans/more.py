@@ -215,9 +215,12 @@ def pairs(spark, d) -> DataFrame:
     return x.join(b.select("item_id", F.col("text").alias("question")), "item_id").select(F.col("doc_id").alias("id"), "question", F.col("text").alias("document"))
 
 
-@query(f"""WITH {BIGRAMS}, a AS (SELECT id, unnest(q) AS word, generate_subscripts(q, 1) AS i FROM w), b AS (SELECT id, unnest(d) AS word, generate_subscripts(d, 1) AS j FROM w),
-m AS (SELECT id, i, j - i AS g, i - row_number() OVER (PARTITION BY id, j - i ORDER BY i) AS run FROM a JOIN b USING (id, word)),
-l AS (SELECT id, max(n) AS n FROM (SELECT id, count(*) AS n FROM m GROUP BY id, g, run) GROUP BY id)
+@query(f"""WITH RECURSIVE {BIGRAMS}, r AS (
+  -- lengths at which question and document have a run of words in common
+  SELECT id, 1 AS n, q, d FROM w WHERE list_has_any(q, d)
+  UNION ALL
+  SELECT id, n + 1, q, d FROM r WHERE list_has_any(list_transform(range(1, len(q) - n + 1), lambda i: array_to_string(q[i:i + n], ' ')), list_transform(range(1, len(d) - n + 1), lambda i: array_to_string(d[i:i + n], ' ')))
+), l AS (SELECT id, max(n) AS n FROM r GROUP BY id)
 SELECT id, bigram_overlap, coalesce(n, 0)::BIGINT AS longest_shared_words FROM share LEFT JOIN l USING (id)""")
 def p25_question_overlap(spark, d):
     return E.question_overlap(pairs(spark, d))
@@ -571,6 +574,40 @@ def r11_review_actions(spark, d):
 MENTIONS = f"{TRIPLES}, m AS (SELECT node, document_id, count(*) AS mentions FROM (SELECT source_node AS node, document_id FROM triples UNION ALL SELECT target_node, document_id FROM triples) GROUP BY ALL)"
 
 
+@query(f"""WITH {TRIPLES}, old AS (SELECT source_node, verb, target_node, count(*) AS evidence, max(confidence) AS confidence FROM triples WHERE document_id % 2 = 0 GROUP BY ALL),
+  new AS (SELECT source_node, verb, target_node, count(*) AS evidence, max(confidence) AS confidence FROM triples WHERE document_id % 2 = 1 GROUP BY ALL)
+SELECT source_node, verb, target_node, (coalesce(old.evidence, 0) + coalesce(new.evidence, 0))::BIGINT AS evidence, greatest(old.confidence, new.confidence) AS confidence,
+  CASE WHEN old.evidence IS NULL THEN 'create' WHEN new.evidence IS NULL THEN 'keep' ELSE 'update' END AS action FROM old FULL JOIN new USING (source_node, verb, target_node)""")
+def g01_append_evidence(spark, d):
+    t = triples(spark, d)
+    old = G.merge_relations(t.where("document_id % 2 = 0"), t.limit(0)).drop("action")
+    return G.append_evidence(t.where("document_id % 2 = 1"), old)
+
+
+@query("""WITH n AS (SELECT vec_id AS node_id, label AS type_id, 'n' || vec_id AS canonical_name, ['a' || (vec_id // 4)] AS aliases, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 2 = 0),
+q AS (SELECT CASE vec_id % 6 WHEN 1 THEN 'n' || (vec_id - 1) WHEN 3 THEN 'a' || (vec_id // 4) ELSE 'x' || vec_id END AS name, label AS type_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 2 = 1),
+a AS (SELECT canonical_name AS name, type_id, min(node_id) AS a FROM n GROUP BY ALL), b AS (SELECT unnest(aliases) AS name, type_id, node_id FROM n), bb AS (SELECT name, type_id, min(node_id) AS b FROM b GROUP BY ALL),
+u AS (SELECT q.*, a, b FROM q LEFT JOIN a USING (name, type_id) LEFT JOIN bb USING (name, type_id)),
+s AS (SELECT name, u.type_id, node_id, round(coalesce(list_cosine_similarity(n.e, u.e), 0), 6) AS score FROM u JOIN n USING (type_id) WHERE a IS NULL AND b IS NULL),
+v AS (SELECT * FROM s WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY name, type_id ORDER BY score DESC, node_id) = 1)
+SELECT u.name, u.type_id, coalesce(a, b, v.node_id) AS node_id, CASE WHEN a IS NOT NULL THEN 'name' WHEN b IS NOT NULL THEN 'alias' WHEN v.node_id IS NOT NULL THEN 'vector' ELSE 'new' END AS how, v.score FROM u LEFT JOIN v USING (name, type_id)""")
+def g02_resolve_by_vector(spark, d):
+    """Vectors with even ids as nodes of the type of their label; the others as names, some of them known."""
+    e = table(spark, d, "embeddings").withColumn("type_id", F.col("label"))
+    at = F.col("vec_id")
+    text = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    nodes = e.where("vec_id % 2 = 0").select(at.alias("node_id"), "type_id", text("n", at).alias("canonical_name"), F.array(text("a", F.floor(at / 4))).alias("aliases"), "embedding")
+    name = F.when(at % 6 == 1, text("n", at - 1)).when(at % 6 == 3, text("a", F.floor(at / 4))).otherwise(text("x", at))
+    return G.resolve_by_vector(e.where("vec_id % 2 = 1").select(name.alias("name"), "type_id", "embedding"), nodes, 0.2)
+
+
+@query()
+def v06_english_search(spark, d):
+    """Two forms of a word find each other by their stem: held against the stems of all words (tests)."""
+    posts = V.postings(S.as_chunks(S.spread(docs(spark, d))), english=True)
+    return V.search_fulltext(posts, ["things", "inning"], english=True)
+
+
 @query(f"WITH {MENTIONS} SELECT node, document_id, mentions FROM m WHERE document_id = 7")
 def g03_nodes_for_document(spark, d):
     return G.nodes_for_document(A.node_mentions(triples(spark, d)), 7)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
+#: Values of a group that are sorted at once, and intervals that the others are counted in.
+AT_ONCE, BINS = 50_000, 4096
+
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """Counts over all, by source and by (source, parser, type) in one pass."""
@@ -67,16 +73,49 @@ def normalise_usage(usage: DataFrame) -> DataFrame:
     return usage.withColumn("total", total).withColumn("cached", cached).withColumn("main", F.coalesce("input", F.lit(0)) - cached)
 
 
-def indexed_percentile(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """The value at place min(n - 1, floor(q * n)) of the sorted values of each group.
+def value_at(df: DataFrame, by: Sequence[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """by and, for each name, the value at a place (from 0) of the group's sorted values; places are expressions over n, their number.
 
-    Equal values are counted first, so what a group brings to one place is its distinct values, not its rows.
+    Groups of AT_ONCE values and less are sorted as they are. In larger ones the place is looked for by counts in BINS
+    intervals between the least and the largest value left, again and again, until so few are left or all are equal: no
+    task holds or sorts a group. Nulls are no values; a group without values has nulls, and a null is a group of its own.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy(*by)
-    counts = counts.withColumn("n", F.sum("k").over(w)).withColumn("upto", F.sum("k").over(w.orderBy(value)))
-    place = lambda q: F.least(F.col("n") - 1, F.floor(F.col("n") * q))
-    return counts.groupBy(*by).agg(*[F.min(F.when(F.col("upto") > place(q), F.col(value))).alias(name) for name, q in shares.items()])
+    rows = df.select(*by, F.col(value).cast("double").alias("v")).where("v is not null")
+    same = [F.col(f"r.`{c}`").eqNullSafe(F.col(f"t.`{c}`")) for c in by]
+    on = functools.reduce(lambda x, y: x & y, same, F.lit(True))
+    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place.cast("long").alias("place")) for name, place in places.items()]))
+    targets = cut(groups.select(*by, "n", "low", "high", wanted.alias("x")).select(*by, "n", "low", "high", "x.name", "x.place"))
+    large = (F.col("n") > AT_ONCE) & (F.col("low") < F.col("high"))
+    while not targets.where(large).isEmpty():
+        left = rows.alias("r").join(targets.where(large).alias("t"), on & F.col("v").between(F.col("low"), F.col("high")))
+        bin_ = F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1))
+        keys = [F.col(f"t.`{c}`").alias(c) for c in by]
+        counts = left.groupBy(*keys, "name", "place", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        upto = F.sum("n").over(Window.partitionBy(*by, "name").orderBy("bin")) - F.col("n")  # BINS rows at most
+        counts = counts.withColumn("place", F.col("place") - upto).where((F.col("place") >= 0) & (F.col("place") < F.col("n")))
+        targets = cut(counts.select(*by, "n", "low", "high", "name", "place").unionByName(targets.where(~large)))
+    small = rows.alias("r").join(targets.alias("t"), on & F.col("v").between(F.col("low"), F.col("high")) & (F.col("low") < F.col("high")))
+    sorted_ = F.sort_array(F.collect_list("v"))
+    found = small.groupBy(*[F.col(f"t.`{c}`").alias(c) for c in by], "name", "place").agg(F.get(sorted_, F.first("place").cast("int")).alias("v"))
+    found = found.select(*by, "name", "v").unionByName(targets.where("low = high").select(*by, "name", F.col("low").alias("v")))
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in places])
+
+
+def indexed_percentile(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """The value at place min(n - 1, floor(q * n)) of the sorted values of each group, for each name's share q."""
+    return value_at(df, by, value, {name: F.least(F.col("n") - 1, F.floor(F.col("n") * q)) for name, q in shares.items()})
+
+
+def interpolated_percentile(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """The value at place q * (n - 1) of the sorted values of each group, between two places in proportion, for each name's share q."""
+    at = {name: (F.col("n") - 1) * q for name, q in shares.items()}
+    ends = value_at(df, by, value, {f"{name}_{end}": f(place) for name, place in at.items() for end, f in (("below", F.floor), ("above", F.ceil))})
+    sizes = df.groupBy(*by).agg(F.count(value).alias("n"))
+    rows = ends.alias("r").join(sizes.alias("t"), functools.reduce(lambda x, y: x & y, [F.col(f"r.`{c}`").eqNullSafe(F.col(f"t.`{c}`")) for c in by], F.lit(True)))
+    part = lambda name: at[name] - F.floor(at[name])
+    between = lambda name: F.col(f"{name}_below") * (1 - part(name)) + F.col(f"{name}_above") * part(name)
+    return rows.select(*[F.col(f"r.`{c}`").alias(c) for c in by], *[between(name).alias(name) for name in shares])
 
 
 def tool_usage(calls: DataFrame, since: Column | None = None) -> DataFrame:
@@ -86,6 +125,13 @@ def tool_usage(calls: DataFrame, since: Column | None = None) -> DataFrame:
     return base.join(indexed_percentile(calls, ["tool"], "duration_ms", {"median_ms": 0.5, "p95_ms": 0.95}), "tool", "left")
 
 
+def transport_usage(calls: DataFrame, since: Column | None = None) -> DataFrame:
+    """Calls of each transport, unknown for none."""
+    calls = calls if since is None else calls.where(F.col("created_time") >= since)
+    name = F.when(F.coalesce("transport", F.lit("")) != "", F.col("transport")).otherwise("unknown")
+    return calls.groupBy(name.alias("transport")).agg(F.count(F.lit(1)).alias("calls"))
+
+
 def session_usage(calls: DataFrame) -> DataFrame:
     """First and last call of each session, calls, and calls of each tool as a map."""
     per = calls.groupBy("session_id", "tool").agg(F.count(F.lit(1)).alias("n"), F.min("created_time").alias("a"), F.max("created_time").alias("b"))
@@ -104,9 +150,13 @@ def tool_usage_daily(calls: DataFrame, first: str, last: str, zone: str = "UTC")
 def stage_stats(logs: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Spread of a stage's times and its share of the whole."""
     v = F.col(value)
-    out = logs.groupBy(*by).agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.stddev_samp(v).alias("stdev"), F.min(v).alias("least"), F.percentile(v, 0.1).alias("p10"), F.percentile(v, 0.9).alias("p90"), F.max(v).alias("most"))
+    out = logs.groupBy(*by).agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("stdev"), F.min(v).alias("least"), F.max(v).alias("most"))
+    shares = interpolated_percentile(logs, by, value, {"median": 0.5, "p10": 0.1, "p90": 0.9})
+    on = functools.reduce(lambda x, y: x & y, [F.col(f"r.`{c}`").eqNullSafe(F.col(f"t.`{c}`")) for c in by], F.lit(True))
+    out = out.alias("r").join(shares.alias("t"), on, "left").select("r.*", "median", "p10", "p90")
     whole = out.agg(F.sum("total").alias("__all"))
-    return out.crossJoin(F.broadcast(whole)).withColumn("share", F.col("total") / F.col("__all")).drop("__all")
+    columns = [*by, "n", "total", "mean", "median", "stdev", "least", "p10", "p90", "most"]
+    return out.crossJoin(F.broadcast(whole)).select(*columns, (F.col("total") / F.col("__all")).alias("share"))
 
 
 def image_registry(images: DataFrame) -> DataFrame:

@@ -164,7 +164,7 @@ def heading_segments(docs: DataFrame) -> DataFrame:
 
 
 def chunk_sections(docs: DataFrame, budget: int, least: float = 0.6) -> DataFrame:
-    """(id, chunk_index, section_path, text): sections of Markdown texts, small neighbours merged up to a budget of tokens.
+    """(id, chunk_index, section_path, text, page_start, page_end): sections of Markdown texts, small neighbours merged up to a budget of tokens.
 
     A chunk goes on with the next segment while it has less than least of the budget and both fit; but a heading of level
     1 begins a new chunk, unless all before it is headings. The path is that of the chunk's first segment. Longer segments
@@ -185,7 +185,24 @@ def chunk_sections(docs: DataFrame, budget: int, least: float = 0.6) -> DataFram
         return F.when(goes_on, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(fresh)))
 
     chunks = rows.groupBy("id").agg(F.aggregate(F.array_sort(F.collect_list(part)), F.array().cast(kind), add).alias("c"))
-    return chunks.select("id", F.posexplode("c").alias("chunk_index", "x")).select("id", "chunk_index", "x.section_path", "x.text")
+    return page_ranges(chunks.select("id", F.posexplode("c").alias("chunk_index", "x")).select("id", "chunk_index", "x.section_path", "x.text"))
+
+
+#: Fixed value: what a parser puts where a page begins.
+PAGE_MARK = r"<!-- page:(\d+) -->"
+
+
+def page_ranges(chunks: DataFrame) -> DataFrame:
+    """Chunks (id, chunk_index, text) with page_start and page_end: the pages in effect at the first and the last letter.
+
+    A page is in effect from its mark on; chunks follow each other by chunk_index. Both are null where no mark has come yet.
+    """
+    marks = F.regexp_extract_all("text", F.lit(PAGE_MARK), 1)
+    before = Window.partitionBy("id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
+    rows = chunks.withColumn("__last", F.try_element_at(marks, F.lit(-1)).cast("long"))
+    at = F.regexp_extract("text", "^" + PAGE_MARK, 1)
+    rows = rows.withColumn("page_start", F.when(at != "", at.cast("long")).otherwise(F.last("__last", ignorenulls=True).over(before)))
+    return rows.withColumn("page_end", F.coalesce("__last", "page_start")).drop("__last")
 
 
 def enforce_budget(chunks: DataFrame, tokens: int, cap: int, splitter: Callable[[str, int], list[str]] = split_to_budget) -> DataFrame:

@@ -116,6 +116,8 @@ def find_paths(edges: DataFrame, start: object, goal: object, depth: int = 4, n:
     home = _distances(both, goal, depth - 1, "left")
     away = _distances(both, start, depth - 1, "gone")
     useful = away.join(home, "a").where(F.col("gone") + F.col("left") <= depth).select(F.col("a").alias("b"), "left")
+    ends = edges.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(x).alias("b"), F.lit(d).alias("left")) for x, d in ((goal, 0), (start, depth))])).alias("x")).select("x.*")
+    useful = useful.union(ends).groupBy("b").agg(F.min("left").alias("left"))
     steps = cut(both.join(useful, "b").join(useful.select(F.col("b").alias("a")), "a", "left_semi").select("a", "b", "left"))
     at = edges.sparkSession.range(1).select(F.array(F.lit(start)).alias("path"), F.lit(start).alias("a"))
     found = None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +19,10 @@ from ..operators import privacy as R
 from ..operators import ranking as W
 from ..operators import routing as Q
 from ..operators import search as V
+from ..operators.lineage import shared_folder
 from ..sources import importer as I
 from ..sources import tables as S
+from ..streaming import streams as T
 from .queries import CHUNKS, TRIPLES, docs, rounded, triples
 from .registry import query
 
@@ -641,6 +645,71 @@ def f07_nested_filter(spark, d):
     return docs(spark, d).where(L.predicate(where)).select("id")
 
 
+# -- streams
+
+
+#: Events that arrive in four parts by time; every 97th of those more than 20 days before the end comes with the last part, long after its time.
+_EVENTS = "k AS (SELECT * FROM events WHERE NOT (event_id % 97 = 0 AND ts < (SELECT max(ts) FROM events) - INTERVAL 20 DAY))"
+
+
+def _arrivals(spark, d) -> DataFrame:
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = e.agg(F.min("ts"), F.max("ts")).first()
+    seconds = lambda c: c.cast("double")
+    share = 4 * (seconds(F.col("ts")) - seconds(F.lit(first))) / (seconds(F.lit(last)) - seconds(F.lit(first)) + 1)
+    late = (F.col("event_id") % 97 == 0) & (F.col("ts") < F.lit(last) - F.expr("INTERVAL 20 DAY"))
+    return T.replayed(e, F.when(late, 3).otherwise(F.least(F.lit(3), F.floor(share))), 4)
+
+
+@query("""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id % 3, doc_id) AS r, doc_id % 3 AS part, min(doc_id % 3) OVER (PARTITION BY sha256(text)) AS first,
+  count(*) FILTER (TRUE) OVER (PARTITION BY sha256(text), doc_id % 3) AS n FROM documents) WHERE r = 1 AND n = 1""")
+def t01_ingest_stream(spark, d):
+    """Documents arrive in three parts; what a part holds once and no earlier part had is new (of copies within one part any may stay)."""
+    x = table(spark, d, "documents").withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 3))
+    kept = T.run_to_table(T.dedup_ingest(T.replayed(x, F.col("doc_id") % 3, 3), "at", "1 day").select("doc_id", "content_hash"), "ingest")
+    once = x.withColumn("content_hash", P.content_hash(F.col("text"))).groupBy("content_hash", (F.col("doc_id") % 3).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    return kept.withColumn("part", F.col("doc_id") % 3).join(once.where("n = 1"), ["content_hash", "part"]).select("doc_id")
+
+
+@query(f"""WITH {_EVENTS}, s AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM k),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM s)
+SELECT user_id, min(ts) AS first_call, max(ts) + INTERVAL 30 MINUTE AS until, count(*) AS calls FROM g GROUP BY user_id, g HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM k) - INTERVAL 1 DAY""")
+def t03_session_stream(spark, d):
+    out = T.run_to_table(T.sessions(_arrivals(spark, d), late="1 day"), "sessions")
+    return out.select("user_id", F.col("first_call").cast("timestamp_ntz").alias("first_call"), F.col("until").cast("timestamp_ntz").alias("until"), "calls")
+
+
+@query(f"WITH {CHUNKS} SELECT chunk_id, id FROM chunks")
+def t05_chunk_stream(spark, d):
+    x = table(spark, d, "documents")
+    path = f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex[:12]}"
+    T.chunk_stream(T.replayed(x, F.col("doc_id") % 3, 3), lambda b: S.as_chunks(S.as_documents(b)).select("chunk_id", "id"), f"{path}/rows", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/rows").select("chunk_id", "id")
+
+
+@query(f"""WITH {_EVENTS}, w AS (SELECT time_bucket(INTERVAL 10 MINUTE, ts) - INTERVAL 10 MINUTE * i AS begin, event_type, value FROM k, range(6) r(i))
+SELECT begin, event_type, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.95) AS p95 FROM w GROUP BY ALL HAVING begin + INTERVAL 1 HOUR <= (SELECT max(ts) FROM k) - INTERVAL 1 DAY""")
+def t07_latency_stream(spark, d):
+    out = T.run_to_table(T.latency(_arrivals(spark, d), late="1 day"), "latency")
+    return out.select(F.col("begin").cast("timestamp_ntz").alias("begin"), "event_type", "median", "p95")
+
+
+@query(f"""WITH {CHUNKS}, m AS (SELECT id, chunk_id % 1000000 AS i, CASE chunk_id % 5 WHEN 3 THEN chunk_id % 1000000 + 1 END AS head, CASE chunk_id % 7 WHEN 2 THEN chunk_id % 1000000 + 2 END AS tail FROM chunks),
+b AS (SELECT *, last_value(coalesce(tail, head) IGNORE NULLS) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m)
+SELECT id, i AS chunk_index, coalesce(head, before) AS page_start, coalesce(tail, head, before) AS page_end FROM b""")
+def c02_page_ranges(spark, d):
+    """Lines of documents with page marks before some and behind others."""
+    x = S.as_chunks(docs(spark, d))
+    mark = lambda rest, of, add: F.when(F.col("chunk_id") % of == rest, F.concat(F.lit("<!-- page:"), (F.col("chunk_index") + add).cast("string"), F.lit(" -->"))).otherwise("")
+    text = F.concat(mark(3, 5, 1), "text", mark(2, 7, 2), F.lit("."))
+    return C.page_ranges(x.select("id", "chunk_index", text.alias("text"))).select("id", "chunk_index", "page_start", "page_end")
+
+
+@query("SELECT CASE WHEN user_id % 3 = 0 THEN 'unknown' WHEN user_id % 3 = 1 THEN 'http' ELSE 'pipe' END AS transport, count(*) AS calls FROM events GROUP BY 1")
+def a11_transport_usage(spark, d):
+    return A.transport_usage(table(spark, d, "events").withColumn("transport", pick("user_id", "", "http", "pipe")))
+
+
 # -- summaries, importers, web queries
 
 

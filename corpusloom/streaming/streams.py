@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 from ..functions.scalars import content_hash
+from ..operators.lineage import shared_folder
 from ..operators.ranking import latest_by
 
+#: Folders that the state of merge_latest is dealt out to by key.
+STATE_BUCKETS = 64
+
 
 def read_stream(spark: SparkSession, folder: str, name: str, files: int = 1) -> DataFrame:
     """The files of a table as a stream, so many at a time; ts becomes a timestamp with zone."""
@@ -45,19 +50,56 @@ def latency(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(w, "event_type").agg(p.alias("p")).select(F.col("window.start").alias("begin"), "event_type", F.col("p")[0].alias("median"), F.col("p")[1].alias("p95"))
 
 
-def merge_latest(path: str, keys: list[str], seq: str) -> Callable[[DataFrame, int], None]:
-    """T4: a foreachBatch sink that keeps the row with the highest seq of each key in versions below path."""
+def merge_latest(path: str, keys: list[str], seq: str, buckets: int = STATE_BUCKETS) -> Callable[[DataFrame, int], None]:
+    """T4: a foreachBatch sink that keeps the row with the highest seq of each key, in buckets below path.
+
+    A batch reads and writes the buckets of its own keys only, into a folder of its own; then it writes the pointer
+    (bucket, version), which says for each bucket which batch wrote it last. Nothing that an earlier pointer names is
+    touched, so a batch that is run again, or dies half-way, changes nothing but its own folder. Batches count from 0,
+    each on the pointer of the one before it. Rows equal in key and seq are one by any of them.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         new = latest_by(batch, keys, [seq])
-        if n:
-            new = latest_by(spark.read.parquet(f"{path}/v{n - 1}").unionByName(new), keys, [seq])
-        new.write.mode("overwrite").parquet(f"{path}/v{n}")
+        touched = sorted(r[0] for r in new.select(bucket).distinct().collect())  # buckets at most
+        known = {r["bucket"]: r["version"] for r in spark.read.parquet(f"{path}/pointer/{n - 1}").collect()} if n else {}
+        old = [f"{path}/data/{known[b]}/bucket={b}" for b in touched if b in known]
+        if old:
+            new = latest_by(spark.read.schema(new.schema).parquet(*old).unionByName(new), keys, [seq])
+        if touched:
+            new.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/{n}")
+        rows = sorted((known | dict.fromkeys(touched, n)).items())
+        spark.createDataFrame(rows, "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/pointer/{n}")
 
     return merge
 
 
+def read_latest(spark: SparkSession, path: str, n: int) -> DataFrame | None:
+    """T4: the rows that merge_latest holds after batch n; None before any row has come."""
+    known = spark.read.parquet(f"{path}/pointer/{n}").collect()
+    folders = [f"{path}/data/{r['version']}/bucket={r['bucket']}" for r in known]
+    return spark.read.parquet(*folders) if folders else None
+
+
+def run_to_table(stream: DataFrame, name: str = "stream") -> DataFrame:
+    """Run a stream over what is there now into a new table below the shared folder, and return it."""
+    path = f"{shared_folder(stream.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def replayed(rows: DataFrame, part: Column, parts: int, name: str = "arrivals") -> DataFrame:
+    """A table as a stream that arrives in parts, one a batch, in order of part (from 0): rows with the same part come together."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    for i in range(parts):
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(path)
+
+
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Run a stream over what is there now into a table in memory."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -178,7 +178,7 @@ def test_late_lower_sequence_never_wins(spark, tmp_path):
     make = lambda rows: spark.createDataFrame(rows, "raw_id int, seq int, state string")
     merge(make([(1, 5, "hidden"), (2, 1, "held")]), 0)
     merge(make([(1, 3, "visible"), (2, 2, "visible")]), 1)
-    got = {r.raw_id: (r.seq, r.state) for r in spark.read.parquet(f"{tmp_path}/v1").collect()}
+    got = {r.raw_id: (r.seq, r.state) for r in T.read_latest(spark, str(tmp_path), 1).collect()}
     assert got == {1: (5, "hidden"), 2: (2, "visible")}
 
 

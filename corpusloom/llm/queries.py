@@ -86,8 +86,7 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from the labelled rows whose crc32(doc_id as text) mod 4 isn't 2."""
     docs = table(spark, sf_dir, "documents")
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4, F.lit(0))
-    trained = labelled(docs.withColumn("fold", fold), table(spark, sf_dir, "labels"), F.col("fold") != 2)
-    found = toxicity(docs, fit_toxicity(trained))
+    found = toxicity(docs, fit_toxicity(labelled(docs, table(spark, sf_dir, "labels"), fold != 2)))
     return found.select("doc_id", (fold == 2).alias("held_out"), "score", "predicted")
 
 

@@ -242,13 +242,13 @@ def disturbed(word: bytes) -> bytes:
     return word[:at] + bytes([97 + (h >> 8) % 26]) + word[at:]
 
 
-def fit(rows: DataFrame, landmarks: int = LANDMARKS, most_labelled: int = MOST_LABELLED, disturb: bool = True) -> ToxicityModel | float:
-    """A model from rows (doc_id, text, toxic 0 or 1); without both labels the share of toxic ones, 0 for none.
+def fit(rows: DataFrame, landmarks: int = LANDMARKS, disturb: bool = True) -> ToxicityModel | float:
+    """A model from rows (doc_id, text, toxic 0 or 1), as labelled() bounds them; without both labels the share of toxic ones, 0 for none.
 
-    At most most_labelled rows are used. What reaches the driver is bounded by landmarks and by most_labelled numbers.
+    What reaches the driver is bounded by landmarks and by two numbers for each row.
     """
     scratch = Scratch(rows.sparkSession, "toxicity")
-    rows = scratch.keep(rows.select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled))
+    rows = scratch.keep(rows.select("doc_id", "text", "toxic"))
     n, n_toxic = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not n or n_toxic in (0, n):
         return float(n_toxic / n) if n else 0.0
@@ -276,7 +276,7 @@ def fit(rows: DataFrame, landmarks: int = LANDMARKS, most_labelled: int = MOST_L
         trained.select("label", (1 + (TOXIC_WEIGHT - 1) * F.col("label")).alias("weight"), array_to_vector("z").alias("features"))
     )
     model = ToxicityModel(kernel, root @ machine.coefficients.toArray(), float(machine.intercept))
-    seen = decide(rows.select("doc_id", "text", "toxic"), model, ("toxic",)).select("decision", "toxic").toPandas()  # most_labelled rows
+    seen = decide(rows.select("doc_id", "text", "toxic"), model, ("toxic",)).select("decision", "toxic").toPandas()  # a row for each of rows
     model.slope, model.shift = _logistic(np.clip(seen["decision"].to_numpy(), -CLEAR, CLEAR), seen["toxic"].to_numpy(np.float64))
     scratch.drop(trained)
     return model
@@ -327,7 +327,13 @@ def toxicity(docs: DataFrame, model: ToxicityModel | float, threshold: float = T
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, trained: Column) -> DataFrame:
-    """(doc_id, text, toxic) of the rows of docs where trained holds, by doc_id; a label given twice counts as its largest, null as none."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return docs.where(trained).select("doc_id", "text").join(known.withColumnRenamed("doc_id", "__doc"), F.col("doc_id") == F.col("__doc")).select("doc_id", "text", "toxic")
+def labelled(docs: DataFrame, labels: DataFrame, trained: Column, most_labelled: int = MOST_LABELLED) -> DataFrame:
+    """(doc_id, text, toxic) of documents with a label, for the ids where trained, an expression over doc_id, holds.
+
+    A label given twice counts as its largest, null as none. The most_labelled ids of the smallest hash are used, and
+    broadcast, so that no text but theirs moves; of rows that share an id the smallest text is taken.
+    """
+    known = labels.where("doc_id is not null and toxic is not null").where(trained).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).withColumnRenamed("doc_id", "__doc")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__doc"))
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")

@@ -66,6 +66,12 @@ def token_usage(usage: DataFrame) -> DataFrame:
     return usage.rollup("stage", "model").agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("calls"), *[F.sum(c).alias(c) for c in ("input", "output", "total", "cached")])
 
 
+def silent_stages(usage: DataFrame) -> DataFrame:
+    """Stages with calls of a model of which no token was ever reported, with those calls: their usage is undercounted."""
+    rows = usage.groupBy("stage", "model").agg(F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
+    return rows.where("total = 0").groupBy("stage").agg(F.sum("calls").alias("calls"))
+
+
 def normalise_usage(usage: DataFrame) -> DataFrame:
     """A10: a missing total is input and output; cached is input at most; main is what isn't cached."""
     total = F.coalesce("total", F.coalesce("input", F.lit(0)) + F.coalesce("output", F.lit(0)))
@@ -184,6 +190,27 @@ def label_stats(labels: DataFrame) -> DataFrame:
     return out.crossJoin(F.broadcast(out.agg(F.sum("n").alias("__all")))).withColumn("share", F.col("n") / F.col("__all")).drop("__all")
 
 
+#: The labels of the privacy filter.
+LABELS = ("public", "needs_review", "private")
+
+
+def label_summary(raw: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels (raw_id, label, meta as JSON) of raw documents (raw_id, source_id), for each source and in all (level 1): total_raw, classified, unclassified, errors and a column for each label.
+
+    A source's counts are those of its documents' labels; errors are labels whose meta has error true. A label of a
+    document that isn't there counts nowhere.
+    """
+    error = F.coalesce(F.get_json_object("meta", "$.error") == "true", F.lit(False))
+    said = labels.select("raw_id", "label", error.alias("error")).join(raw.select("raw_id", "source_id"), "raw_id")
+    one = [F.count_if(F.col("label") == x).alias(x) for x in LABELS]
+    by_label = said.rollup("source_id").agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("classified"), F.count_if("error").alias("errors"), *one)
+    whole = raw.rollup("source_id").agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("total_raw")).alias("w")
+    on = F.col("w.source_id").eqNullSafe(F.col("l.source_id")) & (F.col("w.level") == F.col("l.level"))
+    rows = whole.join(by_label.alias("l"), on, "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select("w.source_id", "w.level", "total_raw", count("classified"), (F.col("total_raw") - F.coalesce("classified", F.lit(0))).alias("unclassified"), count("errors"), *map(count, LABELS))
+
+
 def oversized(docs: DataFrame, limit: int, types: Sequence[str]) -> DataFrame:
     """Raw documents of the types whose longest text is over the limit."""
     found = docs.where(F.col("source_type").isin(list(types))).groupBy("raw_id").agg(F.max(F.length("text")).alias("longest"))
@@ -196,8 +223,22 @@ def node_mentions(relations: DataFrame) -> DataFrame:
     return ends.groupBy("node", "document_id").agg(F.count(F.lit(1)).alias("mentions"))
 
 
-def run_checks(docs: DataFrame, checks: dict[str, Column]) -> DataFrame:
-    """A row for each document and check with a count above 0."""
+def built_in_checks() -> dict[str, Column]:
+    """The checks that come with the library, over (doc_type, text): markers that a parser left in place of images and formulas, and texts of nothing but space."""
+    left = lambda mark: (F.length("text") - F.length(F.replace("text", F.lit(mark), F.lit("")))) / len(mark)
+    blank = (F.col("doc_type") == "text") & (F.coalesce(F.regexp_replace("text", r"(?U)^\s+|\s+$", ""), F.lit("")) == "")
+    return {"image-markers": left("<!-- image -->"), "formula-markers": left("<!-- formula-not-decoded -->"), "empty-text": blank}
+
+
+def run_checks(docs: DataFrame, checks: dict[str, Column] | None = None, names: Sequence[str] = ()) -> DataFrame:
+    """A row for each document and check with a count above 0; the built-in checks if no others are given, those of names only if some are.
+
+    An unknown name raises.
+    """
+    checks = built_in_checks() if checks is None else checks
+    if unknown := [n for n in names if n not in checks]:
+        raise ValueError(f"unknown checks {unknown}, there are {sorted(checks)}")
+    checks = {n: c for n, c in checks.items() if not names or n in names}
     found = F.array(*[F.struct(F.lit(n).alias("issue"), c.cast("long").alias("n")) for n, c in checks.items()])
     return docs.select("id", F.explode(found).alias("x")).select("id", "x.issue", "x.n").where("n > 0")
 

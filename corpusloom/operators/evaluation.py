@@ -16,6 +16,12 @@ def hit_rate(results: DataFrame, by: Sequence[str] = ("run_id",), flag: str = "i
     return results.groupBy(*by).agg(F.count(flag).alias("n"), F.avg(F.col(flag).cast("double")).alias("hit_rate"))
 
 
+def latest_hit_rate(runs: DataFrame, results: DataFrame, flag: str = "is_hit") -> DataFrame:
+    """For each generation the hit rate of its newest run (run_id, generation_id, created_time), ties to the larger run_id; null without a flag."""
+    newest = runs.where("generation_id is not null").groupBy("generation_id").agg(F.max_by("run_id", F.struct("created_time", "run_id")).alias("run_id"))
+    return newest.join(hit_rate(results, ("run_id",), flag), "run_id", "left").select("generation_id", "run_id", F.coalesce("n", F.lit(0)).alias("n"), "hit_rate")
+
+
 def rank_distribution(results: DataFrame) -> DataFrame:
     """E2."""
     return results.groupBy("hit_rank").agg(F.count(F.lit(1)).alias("n"))
@@ -53,6 +59,41 @@ def compare_runs(results: DataFrame, usage: DataFrame) -> DataFrame:
     return out.join(usage.groupBy("run_id").agg(F.sum("tokens").alias("tokens")), "run_id", "left")
 
 
+#: What the steps of an agent's trace may say; the last step with a summary is the trace's.
+TRACE = "array<struct<summary:boolean,saw_source:boolean,opened_source:boolean,hit_turn_limit:boolean,stopped_by:string,tool_calls:int>>"
+
+
+def trace_summary(trace: Column) -> Column:
+    """The summary step of a trace in JSON, the last one that says it is; null without any."""
+    return F.try_element_at(F.filter(F.from_json(trace, TRACE), lambda x: F.coalesce(x["summary"], F.lit(False))), F.lit(-1))
+
+
+def compare_runs_in_full(results: DataFrame, usage: DataFrame) -> DataFrame:
+    """Runs side by side, a row for each run_id of results.
+
+    results has run_id, is_hit, is_judge_hit, source_entry_key, entry_hit_rank, answer_time, trace (JSON), source_relation and
+    acknowledges_conflict; usage has run_id, stage (answer or judge) and total. What a run never recorded is null, not 0:
+    entry hits without any entry key, what the agent did without any trace summary, relations without any relation, tokens without usage.
+    """
+    s = trace_summary(F.col("trace"))
+    rows = results.withColumn("s", s)
+    said = F.count("s") > 0
+    ever = lambda c: F.count(F.when(F.col(c) != "", 1)) > 0
+    yes = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    related = [F.when(ever("source_relation"), F.count_if(F.col("source_relation") == x)).alias(x) for x in ("newer_source", "older_source", "conflicting_source")]
+    out = rows.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("questions"), yes(F.col("is_hit")).alias("exact_hits"),
+        F.when(ever("source_entry_key"), F.count_if(F.col("entry_hit_rank") > 0)).alias("entry_hits"),
+        F.count("is_judge_hit").alias("judged"), yes(F.col("is_judge_hit")).alias("judge_correct"),
+        F.when(said, yes(F.col("s.saw_source"))).alias("agent_saw_source"), F.when(said, yes(F.col("s.opened_source"))).alias("agent_opened_source"),
+        F.when(said, yes(F.col("s.hit_turn_limit"))).alias("turn_limit"), F.when(said, F.count_if(F.col("s.stopped_by") != "")).alias("stopped"),
+        F.avg("answer_time").alias("avg_answer_seconds"), *related,
+        F.when(ever("source_relation"), yes(F.col("acknowledges_conflict"))).alias("acknowledges_conflict"),
+    )
+    spent = lambda stage: F.sum(F.when((F.col("stage") == stage) & (F.col("total") > 0), F.col("total"))).alias(f"{stage}_tokens")
+    return out.join(usage.groupBy("run_id").agg(spent("answer"), spent("judge")), "run_id", "left")
+
+
 def question_matrix(results: DataFrame, runs: Sequence[str]) -> DataFrame:
     """Questions by runs, hardest first."""
     out = results.groupBy("question_id").pivot("run_id", list(runs)).agg(F.max(F.col("is_hit").cast("int")))
@@ -82,6 +123,29 @@ def accuracy_breakdown(results: DataFrame) -> DataFrame:
     return results.cube("mode", "model").agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
 
 
+def wrong_breakdown(results: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """What a model's wrong answers are, and its accuracy beside those of source conflicts, a row for each model.
+
+    results has model, question_id, is_judge_hit (null: not judged, left out), source_relation and source_verified; conflicts, as
+    conflict_findings gives them, has question_id and models. Answers from a verified newer document count as right in
+    accuracy_newer_ok; questions that several models contradict with one newer document are left out in accuracy_without_corroborated.
+    """
+    shared = conflicts.where("models > 1").select("question_id").distinct().withColumn("corroborated", F.lit(True))
+    rows = results.where("is_judge_hit is not null").join(shared, "question_id", "left")
+    wrong = ~F.col("is_judge_hit")
+    kind = lambda x: F.coalesce(wrong & (F.col("source_relation") == x), F.lit(False))
+    kept = F.col("corroborated").isNull()
+    out = rows.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("wrong"), F.count_if(kind("newer_source")).alias("newer"),
+        F.count_if(kind("newer_source") & F.coalesce("source_verified", F.lit(False))).alias("newer_verified"),
+        F.count_if(kind("older_source")).alias("older"), F.count_if(kind("conflicting_source")).alias("conflicting"),
+        F.count_if(kept).alias("n_without_corroborated"), F.avg(F.when(kept, F.col("is_judge_hit").cast("double"))).alias("accuracy_without_corroborated"),
+    )
+    right = F.col("n") - F.col("wrong")
+    other = F.col("wrong") - F.col("newer") - F.col("older") - F.col("conflicting")
+    return out.select("*", other.alias("other"), (right / F.col("n")).alias("accuracy"), ((right + F.col("newer_verified")) / F.col("n")).alias("accuracy_newer_ok"))
+
+
 def flip_rate(verdicts: DataFrame) -> DataFrame:
     """Share of pairs of repeated verdicts on a question that differ; from counts, not from pairs."""
     per = verdicts.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("verdict").alias("y"))
@@ -94,6 +158,22 @@ def agent_behaviour(traces: DataFrame) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("conversations"), F.avg("turns").alias("turns"), F.avg("answers").alias("answers"), F.avg("chars").alias("chars"))
 
 
+def answer_behaviour(results: DataFrame, usage: DataFrame) -> DataFrame:
+    """How each model answers: results (model, answer_time, trace as JSON), usage (model, question_id, total).
+
+    n, seconds_per_answer over answers with a time, tool_calls_per_answer (0 without a trace summary), the shares of answers
+    that opened and that saw the source, and tokens_per_question over the questions that usage names, null without usage.
+    """
+    rows = results.withColumn("s", trace_summary(F.col("trace")))
+    share = lambda c: F.avg(F.coalesce(F.col(c), F.lit(False)).cast("double"))
+    out = rows.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("answer_time").alias("seconds_per_answer"), F.avg(F.coalesce("s.tool_calls", F.lit(0)).cast("double")).alias("tool_calls_per_answer"),
+        share("s.opened_source").alias("opened_source"), share("s.saw_source").alias("saw_source"),
+    )
+    spent = usage.where("question_id is not null").groupBy("model").agg((F.sum("total") / F.count_distinct("question_id")).alias("tokens_per_question"))
+    return out.join(spent, "model", "left")
+
+
 def plan_grid(sets: DataFrame, modes: DataFrame, models: DataFrame, complete: DataFrame) -> DataFrame:
     """Names of the runs that are still to do; the sides of the product are small dimensions."""
     name = F.concat_ws("-", "question_set", "mode", "model")

@@ -20,6 +20,47 @@ def backlog(items: DataFrame, done: DataFrame, key: str | Sequence[str], accepte
     return items.join(done.select(*keys), keys, "left_anti")
 
 
+def backlog_records(docs: DataFrame, chunks: DataFrame, doc_type: str) -> DataFrame:
+    """Image or table records (id, doc_type, text, meta as JSON) with text and without any chunk.
+
+    Decorative images, those whose meta has a boilerplate that isn't null, keep their record but are never due.
+    """
+    due = docs.where((F.col("doc_type") == doc_type) & (F.col("text") != ""))
+    if doc_type == "image":
+        due = due.where(F.get_json_object("meta", "$.boilerplate").isNull())
+    return due.join(chunks.select("id"), "id", "left_anti")
+
+
+def backlog_unsummarised(docs: DataFrame, types: Sequence[str], parser: str | None = None) -> DataFrame:
+    """Documents of the types with text and no summary (null or empty), of one parser if it is given; images never, as their text describes them."""
+    due = docs.where(F.col("doc_type").isin(list(types)) & (F.col("doc_type") != "image") & (F.col("text") != "") & (F.coalesce("summary", F.lit("")) == ""))
+    return due if parser is None else due.where(F.col("parser_id") == parser)
+
+
+def resolved_parser(source_type: Column, parser: str | None, layout_types: Sequence[str], layout: str = "layout", auto: Sequence[str | None] = (None, "", "auto")) -> Column:
+    """The parser that a file of a type goes to: parser itself, or where it is one of auto the layout parser for layout_types, else parser as it stands."""
+    own = F.lit(parser).cast("string")
+    return F.when(source_type.isin(list(layout_types)), layout).otherwise(own) if parser in auto else own
+
+
+def backlog_unparsed(
+    raw: DataFrame, docs: DataFrame, parser: Column, doc_ids: Sequence[str] = (), exclude: Sequence[str] = (), max_bytes: int | None = None, again: bool = False
+) -> DataFrame:
+    """Raw files (raw_id, doc_id, source_type, file_size) without a document (raw_id, parser_id) by the parser that their type goes to.
+
+    parser is an expression over raw, such as resolved_parser; where it is null no document counts. doc_ids keeps those
+    only, exclude leaves some out, max_bytes leaves out larger files and those of unknown size; again takes files that
+    have been parsed too.
+    """
+    due = raw.where(F.col("doc_id").isin(list(doc_ids))) if doc_ids else raw
+    due = due.where(~F.col("doc_id").isin(list(exclude))) if exclude else due
+    due = due if max_bytes is None else due.where(F.col("file_size") <= max_bytes)
+    if again:
+        return due
+    done = docs.select("raw_id", F.col("parser_id").alias("__parser"))
+    return due.withColumn("__parser", parser).join(done, ["raw_id", "__parser"], "left_anti").drop("__parser")
+
+
 def scan_candidates(docs: DataFrame, scans: DataFrame, version: str, most_chars: int) -> DataFrame:
     """Counts of documents to scan under a prompt version, done already, and too large."""
     done = scans.where(F.col("version") == version).select("id").distinct().withColumn("__done", F.lit(True))

@@ -55,12 +55,16 @@ def current_visibility(decisions: DataFrame) -> DataFrame:
     return latest_by(decisions, ["raw_id", "group"], ["seq"])
 
 
-def name_rule(patterns: Sequence[str] = (), titles: Sequence[str] = (), exclude: Sequence[str] = ()) -> Column:
-    """R2: doc_id or title matches any pattern (case-insensitive LIKE) and no exclusion."""
-    hit = [F.col("doc_id").ilike(p) for p in patterns] + [F.col("title").ilike(p) for p in titles]
-    out = reduce(or_, hit, F.lit(False))
-    not_ = [F.col("doc_id").ilike(p) for p in exclude]
-    return out & ~reduce(or_, not_, F.lit(False))
+def name_rule(patterns: Sequence[str] = (), titles: Sequence[str] = (), exclude: Sequence[str] = (), packages: Sequence[tuple[Sequence[str], Sequence[str]]] = ()) -> Column:
+    """R2: doc_id or title matches any pattern (case-insensitive LIKE), or both those of a package (titles, files), and doc_id no exclusion.
+
+    A null doc_id or title matches nothing.
+    """
+    like = lambda column, those: reduce(or_, [F.coalesce(F.col(column), F.lit("")).ilike(p) for p in those], F.lit(False))
+    hit = like("doc_id", patterns) | like("title", titles)
+    for entry_titles, files in packages:
+        hit = hit | (like("title", entry_titles) & like("doc_id", files))
+    return hit & ~like("doc_id", exclude)
 
 
 def visibility_sweep(raw: DataFrame, rule: Column, decided: DataFrame) -> DataFrame:

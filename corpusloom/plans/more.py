@@ -572,6 +572,132 @@ def r11_review_actions(spark, d):
     return R.review_actions(c.select("raw_id", pick("raw_id", "confirm", "show", "hide").alias("action")), c.select("raw_id", pick("c_nationkey", "provisional", "visible").alias("state")))
 
 
+# -- backlogs, reports and checks by their own rules
+
+
+@query("""SELECT doc_id AS id FROM documents d WHERE n_chars < 800 AND text <> '' AND doc_id % 5 <> 2 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)""")
+def j04_backlog_records(spark, d):
+    """Short documents as images; every fifth is decorative, and those labelled good have chunks."""
+    x = table(spark, d, "documents")
+    meta = F.when(F.col("doc_id") % 5 == 2, '{"boilerplate": "logo"}').when(F.col("doc_id") % 5 == 3, '{"boilerplate": null}').otherwise("{}")
+    rows = x.select(F.col("doc_id").alias("id"), F.when(F.col("n_chars") < 800, "image").otherwise("table").alias("doc_type"), "text", meta.alias("meta"))
+    return J.backlog_records(rows, table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id")), "image").select("id")
+
+
+@query("""SELECT doc_id AS id FROM documents WHERE text <> '' AND lang = 'en' AND doc_id % 3 <> 0 AND n_chars >= 200""")
+def j06_backlog_unsummarised(spark, d):
+    x = docs(spark, d).withColumn("summary", F.when(F.col("id") % 3 == 0, F.col("source_id")).when(F.col("id") % 3 == 1, "")).withColumn("doc_type", F.when(F.col("doc_type") == "table", "image").otherwise(F.col("doc_type")))
+    return J.backlog_unsummarised(x, ["text", "section", "image"], "en").select("id")
+
+
+@query("""WITH r AS (SELECT doc_id AS raw_id, lang AS t, n_chars AS size FROM documents), p AS (SELECT doc_id AS raw_id, CASE quality WHEN 1 THEN 'layout' ELSE 'auto' END AS parser FROM labels)
+SELECT raw_id FROM r WHERE size <= 5000 AND raw_id % 11 <> 4 AND NOT EXISTS (SELECT 1 FROM p WHERE p.raw_id = r.raw_id AND p.parser = CASE WHEN t IN ('en', 'fr') THEN 'layout' ELSE 'auto' END)""")
+def j20_backlog_unparsed(spark, d):
+    """Documents as raw files of the type of their language; labels as what has been parsed, good ones by the layout parser."""
+    x = table(spark, d, "documents")
+    raw = x.select(F.col("doc_id").alias("raw_id"), F.concat(F.lit("r"), (F.col("doc_id") % 11).cast("string")).alias("doc_id"), F.col("lang").alias("source_type"), F.col("n_chars").alias("file_size"))
+    parsed = table(spark, d, "labels").select(F.col("doc_id").alias("raw_id"), F.when(F.col("quality") == 1, "layout").otherwise("auto").alias("parser_id"))
+    return J.backlog_unparsed(raw, parsed, J.resolved_parser(F.col("source_type"), "auto", ["en", "fr"]), exclude=["r4"], max_bytes=5000).select("raw_id")
+
+
+@query("""WITH r AS (SELECT l_returnflag AS stage, l_linestatus AS model, CASE WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN 0 WHEN l_returnflag = 'A' THEN NULL ELSE 5 END AS total FROM lineitem),
+m AS (SELECT stage, model, count(*) AS calls, coalesce(sum(total), 0) AS total FROM r GROUP BY ALL) SELECT stage, sum(calls)::BIGINT AS calls FROM m WHERE total = 0 GROUP BY 1""")
+def a09_silent_stages(spark, d):
+    total = F.when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F"), 0).when(F.col("l_returnflag") != "A", 5)
+    return A.silent_stages(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("stage"), F.col("l_linestatus").alias("model"), total.alias("total")))
+
+
+@query("""WITH l AS (SELECT source AS s, doc_id % 7 = 0 AS error, CASE WHEN toxic = 1 THEN 'private' WHEN quality = 1 THEN 'public' ELSE 'needs_review' END AS label FROM labels JOIN documents USING (doc_id)),
+w AS (SELECT source AS s, grouping(source)::INT AS level, count(*) AS total_raw FROM documents GROUP BY ROLLUP (source)),
+c AS (SELECT s, grouping(s)::INT AS level, count(*) AS classified, count(*) FILTER (error) AS errors, count(*) FILTER (label = 'public') AS public, count(*) FILTER (label = 'needs_review') AS needs_review, count(*) FILTER (label = 'private') AS private FROM l GROUP BY ROLLUP (s))
+SELECT w.s AS source_id, w.level, total_raw, coalesce(classified, 0) AS classified, total_raw - coalesce(classified, 0) AS unclassified, coalesce(errors, 0) AS errors, coalesce(public, 0) AS public, coalesce(needs_review, 0) AS needs_review, coalesce(private, 0) AS private
+FROM w LEFT JOIN c ON w.s IS NOT DISTINCT FROM c.s AND w.level = c.level""")
+def a17_label_summary(spark, d):
+    l = table(spark, d, "labels")  # noqa: E741
+    label = F.when(F.col("toxic") == 1, "private").when(F.col("quality") == 1, "public").otherwise("needs_review")
+    meta = F.when(F.col("doc_id") % 7 == 0, '{"error": true}').when(F.col("doc_id") % 7 == 1, '{"error": false}')
+    raw = table(spark, d, "documents").select(F.col("doc_id").alias("raw_id"), F.col("source").alias("source_id"))
+    return A.label_summary(raw, l.select(F.col("doc_id").alias("raw_id"), label.alias("label"), meta.alias("meta")))
+
+
+@query(r"""WITH x AS (SELECT doc_id AS id, CASE WHEN doc_id % 9 = 0 THEN '  ' || chr(10) ELSE repeat('<!-- image -->', (doc_id % 4)::INT) || text || repeat('<!-- formula-not-decoded -->', (doc_id % 3)::INT) END AS text, n_chars >= 800 AS is_text FROM documents)
+SELECT id, 'image-markers' AS issue, (length(text) - length(replace(text, '<!-- image -->', ''))) // 14 AS n FROM x WHERE contains(text, '<!-- image -->')
+UNION ALL SELECT id, 'formula-markers', (length(text) - length(replace(text, '<!-- formula-not-decoded -->', ''))) // 28 FROM x WHERE contains(text, '<!-- formula-not-decoded -->')
+UNION ALL SELECT id, 'empty-text', 1 FROM x WHERE is_text AND regexp_matches(text, '^\s*$')""")
+def a20_built_in_checks(spark, d):
+    at = F.col("id")
+    marked = F.concat(F.repeat(F.lit("<!-- image -->"), (at % 4).cast("int")), "text", F.repeat(F.lit("<!-- formula-not-decoded -->"), (at % 3).cast("int")))
+    return A.run_checks(docs(spark, d).withColumn("text", F.when(at % 9 == 0, "  \n").otherwise(marked)))
+
+
+@query("""SELECT doc_id AS id FROM documents WHERE ((source ILIKE 'SRC1%' AND lang ILIKE 'E_') OR lang = 'fr') AND NOT lang ILIKE 'd%' AND source NOT ILIKE '%9'""")
+def r02_name_packages(spark, d):
+    x = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("doc_id"), F.col("lang").alias("title"))
+    return x.where(R.name_rule(titles=["FR"], packages=[(["E_"], ["SRC1%"])], exclude=["%9"])).select("id")
+
+
+#: Line items as answers of agents: the order is the question, the ship mode's place in a trace of JSON.
+_ANSWERS = """a AS (SELECT l_returnflag || l_linestatus AS run_id, l_linestatus AS model, l_orderkey AS question_id, l_discount >= 0.05 AS is_hit, CASE WHEN l_quantity > 10 THEN l_tax > 0.02 END AS is_judge_hit,
+  CASE WHEN l_returnflag <> 'A' THEN l_suppkey::VARCHAR END AS source_entry_key, CASE WHEN l_partkey % 3 > 0 THEN l_partkey % 3 END AS entry_hit_rank, CASE WHEN l_partkey % 4 > 0 THEN l_extendedprice END AS answer_time,
+  CASE WHEN l_returnflag = 'R' AND l_partkey % 2 = 0 THEN l_linenumber END AS calls, l_suppkey % 2 = 0 AS saw, l_suppkey % 3 = 0 AS opened, CASE WHEN l_linestatus = 'F' THEN ([NULL, 'newer_source', 'older_source', 'conflicting_source'])[l_partkey % 4 + 1] END AS relation, l_partkey % 5 = 0 AS ack FROM lineitem)"""
+
+
+def _answers(spark, d) -> DataFrame:
+    l = table(spark, d, "lineitem")  # noqa: E741
+    c = F.col
+    text = lambda x: F.when(x, "true").otherwise("false")
+    step = F.concat(F.lit('[{"summary": false, "tool_calls": 99}, {"summary": true, "tool_calls": '), c("l_linenumber").cast("string"), F.lit(', "saw_source": '), text(c("l_suppkey") % 2 == 0), F.lit(', "opened_source": '), text(c("l_suppkey") % 3 == 0), F.lit('}, {"text": "end"}]'))
+    relation = F.when(c("l_linestatus") == "F", F.get(F.array(F.lit(None), *map(F.lit, ("newer_source", "older_source", "conflicting_source"))), (c("l_partkey") % 4).cast("int")))
+    return l.select(
+        F.concat("l_returnflag", "l_linestatus").alias("run_id"), c("l_linestatus").alias("model"), c("l_orderkey").alias("question_id"), (c("l_discount") >= 0.05).alias("is_hit"),
+        F.when(c("l_quantity") > 10, c("l_tax") > 0.02).alias("is_judge_hit"), F.when(c("l_returnflag") != "A", c("l_suppkey").cast("string")).alias("source_entry_key"),
+        F.when(c("l_partkey") % 3 > 0, c("l_partkey") % 3).alias("entry_hit_rank"), F.when(c("l_partkey") % 4 > 0, c("l_extendedprice")).alias("answer_time"),
+        F.when((c("l_returnflag") == "R") & (c("l_partkey") % 2 == 0), step).otherwise("[]").alias("trace"), relation.alias("source_relation"), (c("l_partkey") % 5 == 0).alias("acknowledges_conflict"),
+        (c("l_suppkey") % 2 == 0).alias("source_verified"),
+    )
+
+
+@query(f"""WITH {_ANSWERS}, u AS (SELECT l_returnflag || l_linestatus AS run_id, CASE WHEN l_linenumber = 1 THEN 'answer' ELSE 'judge' END AS stage, l_partkey AS total FROM lineitem WHERE l_returnflag <> 'N'),
+t AS (SELECT run_id, sum(total) FILTER (stage = 'answer' AND total > 0)::BIGINT AS answer_tokens, sum(total) FILTER (stage = 'judge' AND total > 0)::BIGINT AS judge_tokens FROM u GROUP BY 1),
+r AS (SELECT run_id, count(*) AS questions, count(*) FILTER (is_hit) AS exact_hits, CASE WHEN count(source_entry_key) > 0 THEN count(*) FILTER (entry_hit_rank > 0) END AS entry_hits, count(is_judge_hit) AS judged, count(*) FILTER (is_judge_hit) AS judge_correct,
+  CASE WHEN count(calls) > 0 THEN count(*) FILTER (calls IS NOT NULL AND saw) END AS agent_saw_source, CASE WHEN count(calls) > 0 THEN count(*) FILTER (calls IS NOT NULL AND opened) END AS agent_opened_source, CASE WHEN count(calls) > 0 THEN 0::BIGINT END AS turn_limit,
+  CASE WHEN count(calls) > 0 THEN 0::BIGINT END AS stopped, round(avg(answer_time), 4) AS avg_answer_seconds, CASE WHEN count(relation) > 0 THEN count(*) FILTER (relation = 'newer_source') END AS newer_source, CASE WHEN count(relation) > 0 THEN count(*) FILTER (relation = 'older_source') END AS older_source,
+  CASE WHEN count(relation) > 0 THEN count(*) FILTER (relation = 'conflicting_source') END AS conflicting_source, CASE WHEN count(relation) > 0 THEN count(*) FILTER (ack) END AS acknowledges_conflict FROM a GROUP BY 1)
+SELECT r.*, answer_tokens, judge_tokens FROM r LEFT JOIN t USING (run_id)""")
+def e07_compare_runs_in_full(spark, d):
+    l = table(spark, d, "lineitem").where("l_returnflag <> 'N'")  # noqa: E741
+    usage = l.select(F.concat("l_returnflag", "l_linestatus").alias("run_id"), F.when(F.col("l_linenumber") == 1, "answer").otherwise("judge").alias("stage"), F.col("l_partkey").alias("total"))
+    return rounded(E.compare_runs_in_full(_answers(spark, d), usage), "avg_answer_seconds", digits=4)
+
+
+@query(f"""WITH {_ANSWERS}, j AS (SELECT a.*, l.saw AS verified, question_id % 10 = 0 AS corroborated FROM a, (SELECT 1) x, LATERAL (SELECT a.saw) l WHERE is_judge_hit IS NOT NULL),
+m AS (SELECT model, count(*) AS n, count(*) FILTER (NOT is_judge_hit) AS wrong, count(*) FILTER (NOT is_judge_hit AND relation = 'newer_source') AS newer, count(*) FILTER (NOT is_judge_hit AND relation = 'newer_source' AND verified) AS newer_verified,
+  count(*) FILTER (NOT is_judge_hit AND relation = 'older_source') AS older, count(*) FILTER (NOT is_judge_hit AND relation = 'conflicting_source') AS conflicting, count(*) FILTER (NOT corroborated) AS n_without_corroborated,
+  round(avg(is_judge_hit::INT) FILTER (NOT corroborated), 6) AS accuracy_without_corroborated FROM j GROUP BY 1)
+SELECT *, wrong - newer - older - conflicting AS other, round((n - wrong) / n::DOUBLE, 6) AS accuracy, round((n - wrong + newer_verified) / n::DOUBLE, 6) AS accuracy_newer_ok FROM m""")
+def e11_wrong_breakdown(spark, d):
+    conflicts = table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("question_id"), F.when(F.col("o_orderkey") % 10 == 0, 2).otherwise(1).alias("models"))
+    return rounded(E.wrong_breakdown(_answers(spark, d), conflicts), "accuracy", "accuracy_newer_ok", "accuracy_without_corroborated")
+
+
+@query(f"""WITH {_ANSWERS}, u AS (SELECT l_linestatus AS model, l_orderkey AS q, l_partkey AS total FROM lineitem WHERE l_linestatus = 'F'), t AS (SELECT model, round(sum(total) / count(DISTINCT q)::DOUBLE, 6) AS tokens_per_question FROM u GROUP BY 1),
+r AS (SELECT model, count(*) AS n, round(avg(answer_time), 6) AS seconds_per_answer, round(avg(coalesce(calls, 0)), 6) AS tool_calls_per_answer, round(avg((calls IS NOT NULL AND opened)::INT), 6) AS opened_source, round(avg((calls IS NOT NULL AND saw)::INT), 6) AS saw_source FROM a GROUP BY 1)
+SELECT r.*, tokens_per_question FROM r LEFT JOIN t USING (model)""")
+def e13_answer_behaviour(spark, d):
+    usage = table(spark, d, "lineitem").where("l_linestatus = 'F'").select(F.col("l_linestatus").alias("model"), F.col("l_orderkey").alias("question_id"), F.col("l_partkey").alias("total"))
+    out = E.answer_behaviour(_answers(spark, d), usage)
+    return rounded(out, "seconds_per_answer", "tool_calls_per_answer", "opened_source", "saw_source", "tokens_per_question")
+
+
+@query("""WITH n AS (SELECT o_orderpriority AS generation_id, o_orderkey AS run_id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders),
+h AS (SELECT l_orderkey AS run_id, CASE WHEN l_quantity > 5 THEN l_discount >= 0.05 END AS hit FROM lineitem)
+SELECT generation_id, n.run_id, count(hit) AS n, avg(hit::INT)::DOUBLE AS hit_rate FROM n LEFT JOIN h USING (run_id) WHERE r = 1 GROUP BY ALL""")
+def e01_latest_hit_rate(spark, d):
+    runs = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("generation_id"), F.col("o_orderdate").alias("created_time"))
+    results = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.when(F.col("l_quantity") > 5, F.col("l_discount") >= 0.05).alias("is_hit"))
+    return E.latest_hit_rate(runs, results)
+
+
 # -- graph
 
 

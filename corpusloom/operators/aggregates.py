@@ -91,9 +91,11 @@ def value_at(df: DataFrame, by: Sequence[str], value: str, places: dict[str, Col
     on = functools.reduce(lambda x, y: x & y, same, F.lit(True))
     groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
     wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place.cast("long").alias("place")) for name, place in places.items()]))
-    targets = cut(groups.select(*by, "n", "low", "high", wanted.alias("x")).select(*by, "n", "low", "high", "x.name", "x.place"))
+    targets = groups.select(*by, "n", "low", "high", wanted.alias("x")).select(*by, "n", "low", "high", "x.name", "x.place")
     large = (F.col("n") > AT_ONCE) & (F.col("low") < F.col("high"))
-    while not targets.where(large).isEmpty():
+    searched = not groups.where(large).isEmpty()
+    targets = cut(targets) if searched else targets
+    while searched and not targets.where(large).isEmpty():
         left = rows.alias("r").join(targets.where(large).alias("t"), on & F.col("v").between(F.col("low"), F.col("high")))
         bin_ = F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1))
         keys = [F.col(f"t.`{c}`").alias(c) for c in by]

@@ -666,7 +666,7 @@ def u02_token_overlap(spark, d):
 w AS (SELECT id, t, unnest(range(0, greatest(0, ceil((n - 100) / 90.0)::BIGINT) + 1)) AS i FROM n)
 SELECT id, i::INT AS chunk_index, array_to_string(t[i * 90 + 1:i * 90 + 100], '') AS text, len(t[i * 90 + 1:i * 90 + 100])::INT AS token_length FROM w""")
 def c01_chunk_tokens(spark, d):
-    return C.chunk_tokens(docs(spark, d), 100).drop("char_start", "char_end")
+    return C.chunk_tokens(S.spread(docs(spark, d)), 100).drop("char_start", "char_end")
 
 
 @query(r"""WITH c AS (SELECT doc_id AS id, i - 1 AS chunk_index, line AS text, n_chars, CASE WHEN i % 4 = 0 THEN 'summary_256' ELSE 'lines' END AS strategy

@@ -9,7 +9,7 @@ from .exact_dedup import exact_dedup
 from .html_text import html_text
 from .language_id import fit, identify
 from .license_scan import license_scan
-from .line_dedup import line_decisions
+from .line_dedup import MIN_EQUAL, line_decisions
 from .media import media_digests, store_texts
 from .merkle import proof_digest, verify_tampered
 from .mixing import curriculum_mix, in_training_order
@@ -66,7 +66,7 @@ def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_decisions(table(spark, sf_dir, "documents"))
+    return line_decisions(table(spark, sf_dir, "documents"), min_equal=MIN_EQUAL)
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

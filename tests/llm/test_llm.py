@@ -132,6 +132,34 @@ def test_line_decisions_against_brute_force(spark, tau):
         assert (got[i].kept, got[i].n_removed, got[i].n_lines) == (kept, removed, text.count("\n") + 1)
 
 
+@pytest.mark.parametrize(("tau", "hot"), [(1, 3), (2, 20)])
+def test_lines_with_hot_segments(spark, tau, hot):
+    """Forms that differ in few places share nearly all their segments; every rest is cut again, down to short ones."""
+    rng = random.Random(tau)
+    form = lambda: f"posted by user {rng.randrange(400):0{rng.choice((3, 4))}d} on day {rng.randrange(30)}"
+    kinds = [form, lambda: changed(rng, form(), 2), lambda: "".join(rng.choice("ab") for _ in range(rng.randrange(4, 12))), lambda: rng.choice(["}", "", "ok", "no"])]
+    rows = [(i, "\n".join(rng.choice(kinds)() for _ in range(4))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want, seen = {}, []
+    for i, text in rows:
+        kept = []
+        for pos, line in enumerate(text.split("\n")):
+            near = tau if len(line) >= 4 else 0
+            if line and not any(x == line or (near and len(x) >= 4 and abs(len(x) - len(line)) <= near and edit_distance(x, line) <= near) for x in seen):
+                kept.append(pos)
+            seen.append(line)
+        want[i] = kept
+    assert {r.doc_id: r.kept for r in line_dedup.line_decisions(df, tau, 4, 1, hot).collect()} == want
+
+
+def test_short_lines(spark):
+    rows = [(1, "a\nb\n\na"), (2, "b\nab\n\nac"), (None, "ac\nx"), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in line_dedup.line_decisions(df, min_equal=1).collect()}
+    assert got == {None: (2, 0, [0, 1]), 1: (4, 1, [0, 1]), 2: (4, 2, [1]), 3: (1, 0, [])}
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(df, min_equal=1).collect()} == {None: "ac\nx", 1: "a\nb\n", 2: "ab\n", 3: ""}
+
+
 # n-gram Jaccard join
 
 

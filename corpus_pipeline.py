@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.common import Scratch
-from corpusloom.llm.line_dedup import line_dedup
+from corpusloom.llm.line_dedup import MIN_EQUAL, line_dedup
 from corpusloom.llm.mixing import mixed_documents
 from corpusloom.llm.ngram_join import one_of_each
 from corpusloom.llm.packing import pack_documents
@@ -27,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand, equal or within two edits, earlier in the corpus go; documents that lose all they have go too."""
-    return line_dedup(docs)
+    """Lines that stand, equal or from 12 characters on within two edits, earlier in the corpus go; documents that lose all they have go too."""
+    return line_dedup(docs, min_equal=MIN_EQUAL)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

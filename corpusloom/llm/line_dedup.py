@@ -54,22 +54,28 @@ def _index_places(line: Column, n: Column, tau: int, *before: Column) -> Column:
     return F.array(*places)
 
 
-def _probe_places(line: Column, n: Column, tau: int, gap: int, own: bool, *before: Column) -> list[Column]:
-    """(key, gap, at, k) of the substrings of a line of length n that can meet a segment of a line gap characters shorter.
+def _probes(line: Column, n: Column, tau: int, gap: int, own: bool, *before: Column) -> list[tuple[Column, Column, Column, Column]]:
+    """Whether it fits, key, at and k of each substring of a line of length n that can meet a segment of a line gap characters shorter.
 
     Those that stand where a segment of a line of equal length stands are index keys, and left out unless own is set.
     """
-    places, m = [], n - gap
+    out, m = [], n - gap
     for i, (s, k) in enumerate(_segments(m, tau + 1)):
         low, high = max(-i, gap - (tau - i)), min(i, gap + (tau - i))
         for off in range(low, high + 1):
             if not own and not gap and not off:
                 continue
             at = s + off
-            fits = (m >= 0) & (at >= 1) & (at + k - 1 <= n)
-            key = _key(i, m, F.substring(line, at, k), *before)
-            places.append(F.when(fits, F.struct(key.alias("key"), F.lit(gap).alias("gap"), at.alias("at"), k.alias("k"))))
-    return places
+            out.append(((at >= 1) & (at + k - 1 <= n), _key(i, m, F.substring(line, at, k), *before), at, k))
+    return out
+
+
+def _probe_places(line: Column, n: Column, tau: int, gap: int, own: bool, *before: Column) -> list[Column]:
+    """(key, gap, at, k) of these, null where one doesn't fit."""
+    return [
+        F.when((n >= gap) & fits, F.struct(key.alias("key"), F.lit(gap).alias("gap"), at.alias("at"), k.alias("k")))
+        for fits, key, at, k in _probes(line, n, tau, gap, own, *before)
+    ]
 
 
 def index_keys(line: Column, n: Column, tau: int) -> Column:
@@ -78,10 +84,12 @@ def index_keys(line: Column, n: Column, tau: int) -> Column:
 
 
 def probe_keys(line: Column, n: Column, tau: int) -> Column:
-    """(key, gap) of the substrings of a line that can meet a segment of a line gap = 0 to tau characters shorter."""
-    places = [p for gap in range(tau + 1) for p in _probe_places(line, n, tau, gap, False)]
-    keys = [F.when(p.isNotNull(), F.struct(p["key"].alias("key"), p["gap"].alias("gap"))) for p in places]
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+    """(key, gap) of the substrings of a line that can meet a segment of a line gap = 0 to tau characters shorter.
+
+    Each is one plain case, so that its substring and hash are worked out once.
+    """
+    probes = [(gap, fits, key) for gap in range(tau + 1) for fits, key, _, _ in _probes(line, n, tau, gap, False)]
+    return F.array_distinct(F.array_compact(F.array(*[F.when(fits, F.struct(key.alias("key"), F.lit(gap).alias("gap"))) for gap, fits, key in probes])))
 
 
 def _count(line: Column, letter: str) -> Column:

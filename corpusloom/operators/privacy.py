@@ -35,6 +35,7 @@ MARKERS = {
     "export control": ("high", r"(?i)export[- ]controlled|subject\s+to\s+(?:the\s+)?(?:ITAR|EAR)\b|ITAR[- ]controlled|\bECCN\b\W{0,5}(?!EAR99)[0-9][A-E][0-9]{3}"),
     "confidentiality notice": ("medium", r"(?i)\b(?:company|strictly|highly)\s+confidential\b|\bvertraulich\b|\bdo\s+not\s+(?:distribute|forward|copy)\b|\bnot\s+for\s+(?:public\s+)?(?:distribution|release)\b|\binternal\s+use\s+only\b|\b(?:collaboration)[- ]internal\s+only\b|\binternal\s+to\s+the\s+collaboration\b"),
 }
+#: A byte of an address, and what stands after a key word without being a secret.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NOT_A_SECRET = r"(?!\[redacted|<|\*{3}|x{3}|none\b|n/?a\b|your\b|the\b|is\b|required\b|same\b|see\b|tbd\b)"
 #: Fixed values (U7): label, pattern, and whether its group, with which a match ends, is what goes.
@@ -81,6 +82,7 @@ def span_pattern(span: Column) -> Column:
     """
     flat = F.trim(F.regexp_replace(span, r"(?U)\s+", " "))
     digits = F.regexp_replace(flat, r"\D", "")
+    # fixed values: the signs that may stand between the digits of a telephone number, and its edges
     phone = F.concat(F.lit(r"(?<!\d)\(?"), F.array_join(F.filter(F.split(digits, ""), lambda x: x != ""), r"[\s\-.()/]*"), F.lit(r"(?!\d)"))
     words = F.transform(F.split(flat, " "), lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}_])", r"\\$1"))
     edge = lambda c, mark: F.when(c.rlike(r"[\p{L}\p{N}_]"), mark).otherwise("")

@@ -612,3 +612,51 @@ def test_pipeline_stages(spark, sf, docs):
     kept = brute_components([(r.doc_id, r.text) for r in clean.collect()])
     assert ids(unique) == {i for i, (_, c) in kept.items() if c == i}
     assert packed.agg(F.sum("length")).first()[0] >= mixed.count()
+
+
+def stages_over(spark, tmp_path, rows, labels):
+    """The tables of each stage over rows of documents, each kept before the next."""
+    import corpus_pipeline as P
+
+    at = frame(spark, rows)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    scratch, steps = common.Scratch(spark, "test"), [at]
+    for _, stage in P.STAGES:
+        at = scratch.keep(stage(spark, at, str(tmp_path)))
+        steps.append(at)
+    assert all(s.columns == steps[0].columns for s in steps[:-1])
+    return steps
+
+
+NO_LABELS = "doc_id long, quality int, toxic int"
+
+
+def test_pipeline_without_documents(spark, tmp_path):
+    steps = stages_over(spark, tmp_path, [], spark.createDataFrame([], NO_LABELS))
+    assert [s.count() for s in steps] == [0] * 6
+
+
+def test_pipeline_with_nulls_repeats_and_no_labels(spark, tmp_path):
+    """Without labels no document is refused; lines and copies go by the stated rules, also of null and repeated ids."""
+    words = [" ".join(f"{a}{i}" for i in range(20)) for a in ("sun", "sea", "oak")]
+    rows = EDGE + [(None, words[0], "en", "s1"), (None, words[1], None, None), (8, words[2], "en", "s1"), (8, words[2], "en", "s1"), (9, words[2] + " more", "en", None)]
+    raw, good, clean, unique, mixed, packed = stages_over(spark, tmp_path, rows, spark.createDataFrame([], NO_LABELS))
+    assert good.count() == raw.count()
+    texts = [(r.doc_id, r.text) for r in clean.collect()]
+    places = {(i, pos, line) for i, t in texts if t for pos, line in enumerate(t.split("\n")) if line}
+    assert len(places) == len({line for _, _, line in places})  # rows that share an id are one document
+    assert set(words) <= {t for _, t in texts}
+    assert sum(bool(t) and t.startswith("word word") for _, t in texts) == 1
+    left = {(r.doc_id, r.text) for r in unique.collect()}
+    assert {t for _, t in left if t} >= {words[0], words[1]}
+    assert sum(bool(t) and t.startswith("oak0") for _, t in left) == 1
+    assert {(r.doc_id, r.text) for r in mixed.collect()} <= left
+    pieces = packed.collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in mixed.collect()} and all(r.offset + r.length <= 2048 for r in pieces)
+
+
+def test_pipeline_with_labels_of_one_kind(spark, tmp_path):
+    """Labels of one kind part nothing, so that no document is refused."""
+    rows = [(i, f"a text of its own, number {i}, with words{i} that stand{i} nowhere{i} else{i}", "en", "s0") for i in range(30)]
+    good = stages_over(spark, tmp_path, rows, spark.createDataFrame([(i, 1, 0) for i in range(10)], NO_LABELS))[1]
+    assert good.count() == 30

@@ -23,7 +23,7 @@ from ..operators.lineage import shared_folder
 from ..sources import importer as I
 from ..sources import tables as S
 from ..streaming import streams as T
-from .queries import CHUNKS, TRIPLES, docs, rounded, triples
+from .queries import CHUNKS, TRIPLES, docs, first_piece, rounded, triples
 from .registry import query
 
 
@@ -176,13 +176,40 @@ def p16_fill_markers(spark, d):
     return c.select("conv_id", "turn", P.fill_markers(F.concat("role", F.lit("-#-#-#")), "#", F.array(F.col("turn").cast("string"), F.col("conv_id").cast("string"))).alias("text"))
 
 
-@query()
+def any_of(patterns, text: str = "low") -> str:
+    """SQL for a text that one of the patterns fits; a look-ahead is said by counts, since DuckDB's patterns have none."""
+    return " OR ".join(
+        f"len(regexp_extract_all({text}, '{p[:at]}')) > len(regexp_extract_all({text}, '{p[:at] + p[at + 3 : -1]}'))" if (at := p.find("(?!")) >= 0 else f"regexp_matches({text}, '{p}')"
+        for p in patterns
+    )
+
+
+#: What is put before turns of conversations to make search queries of them, by conv_id and turn.
+OPENERS = (
+    "", "How do I install ", "compare ", "Show me a plot of ", "row and column: ", "table of  contents: ", "graph node ", "the GRAPH of ", "AB-12 ", "What is ", "NASA? ",
+)
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, ({list(OPENERS)})[(conv_id * 3 + turn) % {len(OPENERS)} + 1] || CASE WHEN turn % 3 = 0 THEN role ELSE text END AS text FROM conversations),
+q AS (SELECT *, lower(trim(text)) AS low FROM t),
+k AS (SELECT conv_id, turn, CASE WHEN {any_of(Q.TABLE)} THEN 'table' WHEN {any_of(Q.SYNTHESIS)} THEN 'synthesis'
+  WHEN {any_of(Q.IDENTIFIER)} OR {any_of([Q.HYPHENATED], "text")} OR ({any_of([Q.ACRONYM], "text")} AND len(regexp_extract_all(text, '\\S+')) <= 12) THEN 'identifier'
+  WHEN {any_of(Q.FIGURE)} THEN 'figure' WHEN {any_of(Q.PROCEDURAL)} THEN 'procedural' WHEN {any_of(Q.LOOKUP)} THEN 'lookup' ELSE 'factual' END AS kind FROM q),
+r(kind, max_results, rerank, boost) AS (VALUES ('table', 5, true, 1.7), ('synthesis', 10, true, 1.3), ('identifier', 5, false, NULL), ('figure', 5, false, 1.5), ('procedural', 5, true, NULL), ('lookup', 3, false, NULL), ('factual', 5, NULL, NULL))
+SELECT conv_id, turn, kind, max_results, rerank, boost::DOUBLE AS boost FROM k JOIN r USING (kind)""")
 def p17_route_queries(spark, d):
-    c = table(spark, d, "conversations").withColumnRenamed("text", "query")
+    c = table(spark, d, "conversations").withColumn("__i", F.col("conv_id") * 3 + F.col("turn"))
+    c = c.select("conv_id", "turn", F.concat(pick("__i", *OPENERS), F.when(F.col("turn") % 3 == 0, F.col("role")).otherwise(F.col("text"))).alias("query"))
     return Q.route_queries(c).select("conv_id", "turn", "kind", "max_results", "rerank", "boost")
 
 
-@query()
+#: SQL: where a window of 2,000 characters from start on ends: behind the last paragraph, else line, of its last fifth, else where it is full.
+STOP = r"""start + 1600 + coalesce(nullif(length(regexp_extract(substr(text, start + 1601, 399), '(?s)^.*\n\n')), 0), nullif(length(regexp_extract(substr(text, start + 1601, 400), '(?s)^.*\n')), 0), 400)"""
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT doc_id AS id, 0 AS "window", 0::BIGINT AS start, coalesce(text, '') AS text FROM documents
+UNION ALL SELECT id, "window" + 1, {STOP} - 100, text FROM w WHERE length(text) - start > 2000)
+SELECT id, "window", CASE WHEN length(text) - start > 2000 THEN substr(text, start + 1, {STOP} - start) ELSE substr(text, start + 1) END AS text FROM w""")
 def p19_split_windows(spark, d):
     return R.split_windows(docs(spark, d), 2000, 100)
 
@@ -468,7 +495,11 @@ def c02_chunk_sections(spark, d):
     return C.chunk_sections(pages, 100)
 
 
-@query()
+@query(f"""WITH RECURSIVE {CHUNKS}, c AS (SELECT id, chunk_id AS chunk_index, text, len(regexp_extract_all(text, '\\S+')) > 60 AS over FROM chunks),
+cut AS (SELECT id, chunk_index, -1 AS part, '' AS text, text AS rest FROM c WHERE over
+UNION ALL SELECT id, chunk_index, part + 1, p, substr(rest, length(p) + 1) FROM (SELECT *, {first_piece(300)} AS p FROM cut WHERE rest <> '')),
+b AS (SELECT id, chunk_index, 0 AS part, text FROM c WHERE NOT over UNION ALL SELECT id, chunk_index, part, text FROM cut WHERE part >= 0)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY chunk_index, part) - 1 AS chunk_index, text FROM b""")
 def c04_enforce_budget(spark, d):
     return C.enforce_budget(S.as_chunks(docs(spark, d)).select("id", "chunk_index", "text"), 60, 300)
 

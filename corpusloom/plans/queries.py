@@ -680,7 +680,15 @@ def c06_drop_number_chunks(spark, d):
     return C.drop_number_chunks(chunks, docs(spark, d).withColumn("doc_type", F.lit("text")), 100.0, 2000).select("id", F.col("chunk_index").cast("long"))
 
 
-@query()
+def first_piece(cap: int) -> str:
+    """SQL: what is cut from rest first, of at most cap characters: up to the last paragraph in it, else line, else sentence."""
+    ends = [rf"nullif(regexp_extract(substr(rest, 1, {cap - len(mark) + 1}), '(?s)^.+{pattern}'), '')" for mark, pattern in (("\n\n", r"\n\n"), ("\n", r"\n"), (". ", r"\. "))]
+    return f"CASE WHEN length(rest) <= {cap} THEN rest ELSE coalesce({', '.join(ends)}, substr(rest, 1, {cap})) END"
+
+
+@query(f"""WITH RECURSIVE cut AS (SELECT doc_id AS id, -1 AS chunk_index, '' AS text, coalesce(text, '') AS rest FROM documents
+UNION ALL SELECT id, chunk_index + 1, p, substr(rest, length(p) + 1) FROM (SELECT *, {first_piece(800)} AS p FROM cut WHERE rest <> ''))
+SELECT id, chunk_index, text FROM cut WHERE chunk_index >= 0""")
 def c03_chunk_budget(spark, d):
     return C.chunk_budget(docs(spark, d), 800)
 

@@ -222,6 +222,46 @@ def p20_evidence_found(spark, d):
     return x.select("doc_id", P.evidence_found(quote, F.concat(head, "text")).alias("found"))
 
 
+#: What is put behind texts by doc_id, and the markings in it (family, severity, wording) that the library's own list finds.
+MARKED = (
+    (". Holds proprietary  information of ours", ("proprietary notice", "medium", "proprietary information")),
+    (". For OFFICIAL use\nonly", ("official use only", "high", "official use only")),
+    (". CUI // SP-X", ("CUI banner", "high", "cui // sp")),
+    (". ECCN: 3A001 part", ("export control", "high", "eccn: 3a001")),
+    (". Strictly Confidential, do not   forward", ("confidentiality notice", "medium", "strictly confidential"), ("confidentiality notice", "medium", "do not forward")),
+    (". proprietary methods",),
+    (". ECCN EAR99 goods",),
+    (". (OUO) and (ouo)", ("official use only", "high", "(ouo)")),
+    (". Company confidential, strictly confidential, vertraulich, internal use only", *(("confidentiality notice", "medium", w) for w in ("company confidential", "strictly confidential", "vertraulich"))),
+)
+#: What is put behind texts by doc_id, and what is left of it once secrets are redacted by the library's own list.
+SECRETS = (
+    (". at https://x.org/j/1?pwd=Ab12Cd34", ". at https://x.org/j/1?pwd=[redacted: meeting passcode]"),
+    (". password: s3cr3t now", ". password: [redacted: credential] now"),
+    (". PIN = 123456", ". PIN = [redacted: credential]"),
+    (". Card#AB12 | 3456 used", ". [redacted: payment card] used"),
+    (". -----BEGIN RSA PRIVATE KEY-----\nMIIB\n-----END RSA PRIVATE KEY----- end", ". [redacted: private key] end"),
+    (". host 10.0.12.7:8080 up", ". host [redacted: network address] up"),
+    (". mac aa:bb:cc:dd:ee:0f end", ". mac [redacted: hardware address] end"),
+    (". token ghp_" + "a1B2" * 9, ". token [redacted: access token]"),
+    (". password: none given", ". password: none given"),
+    (". host 8.8.8.8, PIN: 12", ". host 8.8.8.8, PIN: 12"),
+)
+
+
+@query(f"""WITH m(k, family, severity, wording) AS (VALUES {", ".join(str((k, *found)) for k, (_, *all_) in enumerate(MARKED) for found in all_)})
+SELECT doc_id AS id, family, severity, wording FROM documents JOIN m ON k = doc_id % {len(MARKED)} WHERE text IS NOT NULL""")
+def p18_known_markings(spark, d):
+    x = docs(spark, d).withColumn("text", F.concat("text", pick("id", *(m[0] for m in MARKED))))
+    return R.find_markers(x).select("id", "family", "severity", "wording")
+
+
+@query("SELECT doc_id, text || (" + str([left.replace("\n", " ") for _, left in SECRETS]) + f")[doc_id % {len(SECRETS)} + 1] AS text FROM documents")
+def p21_redact_secrets(spark, d):
+    x = table(spark, d, "documents").withColumn("text", F.concat("text", pick("doc_id", *(s[0] for s in SECRETS))))
+    return x.select("doc_id", R.redact(F.col("text")).alias("text"))
+
+
 @query()
 def p23_redact_rules(spark, d):
     x = docs(spark, d).withColumn("raw_id", F.col("id"))

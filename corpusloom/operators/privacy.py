@@ -165,16 +165,23 @@ def find_markers(docs: DataFrame, families: Mapping[str, tuple[str, str]] | None
 
 def pattern_spans(text: Column, pattern: Column, last_group: bool = False) -> Column:
     """(begin, end) of each match of a pattern in a text, from 0; of its last group, with which a match ends, if last_group."""
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    part = F.regexp_extract_all(text, pattern, F.lit(1)) if last_group else found
+    # taken from the text once, as one value, and only where there is a match at all
+    held = {"between": F.split(text, pattern, -1), "found": F.regexp_extract_all(text, pattern, F.lit(0))}
+    if last_group:
+        held["part"] = F.regexp_extract_all(text, pattern, F.lit(1))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int>>").alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
         end = acc["at"] + F.length(x["gap"]) + F.length(x["found"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct((end - F.length(x["part"])).alias("begin"), end.alias("end")))).alias("out"))
 
-    rows = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("found"), part.alias("part"))
-    return F.filter(F.aggregate(rows, start, add, lambda acc: acc["out"]), lambda s: s["end"] > s["begin"])
+    def spans(h: Column) -> Column:
+        part = h["part"] if last_group else h["found"]
+        rows = F.arrays_zip(F.slice(h["between"], F.lit(1), F.size(h["found"])).alias("gap"), h["found"].alias("found"), part.alias("part"))
+        return F.filter(F.aggregate(rows, start, add, lambda acc: acc["out"]), lambda s: s["end"] > s["begin"])
+
+    once = F.array(F.struct(*[c.alias(n) for n, c in held.items()]))
+    return F.when(F.rlike(text, pattern), F.flatten(F.transform(once, spans))).otherwise(F.array().cast("array<struct<begin:int,end:int>>"))
 
 
 def find_replacements(text: Column, rules: Column | None = None, patterns: Sequence[tuple[str, str, bool]] | None = None) -> Column:

@@ -242,9 +242,10 @@ def rules_of(docs: DataFrame, rules: DataFrame) -> DataFrame:
     """Docs (id, raw_id, ...) with rules, an array of (pattern, label), for find_replacements().
 
     rules has rule_id, raw_id, span and label; a rule without raw_id holds for all documents. Spans without words are no rules. A document's own
-    rules come first.
+    rules come first. Of rules with one pattern, which find the same parts, only the first is there: it gives the label.
     """
     made = rules.select("rule_id", "raw_id", span_pattern(F.col("span")).alias("pattern"), "label").where("pattern is not null")
+    made = made.groupBy("raw_id", "pattern").agg(F.min(F.struct("rule_id", "label")).alias("r")).select("r.rule_id", "raw_id", "pattern", "r.label")
     as_list = F.transform(F.array_sort(F.collect_list(F.struct("rule_id", "pattern", "label"))), lambda x: F.struct(x["pattern"].alias("pattern"), x["label"].alias("label")))
     own = made.where("raw_id is not null").groupBy("raw_id").agg(as_list.alias("__own"))
     common = made.where("raw_id is null").agg(as_list.alias("__all"))  # one row

@@ -152,3 +152,15 @@ def test_stuck_holds(spark, tmp_path):
     stream = spark.readStream.schema("raw_id long, state string, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path))
     T.run_available(T.stuck_holds(stream), "stuck", f"{tmp_path}/../checkpoint_stuck", "append")
     assert [r.raw_id for r in spark.table("stuck").collect()] == [1]
+
+
+def test_equal_rules_are_one(spark):
+    docs = spark.createDataFrame([(1, "the MIT license, my own words"), (2, "mit\nLicense here"), (3, None)], "raw_id long, text string")
+    rules = [(10 + i, None, "mit  License", f"licence {i}") for i in range(50)] + [(1, 1, "own words", "own"), (2, 1, "own  words", "later"), (3, 2, "MIT license", "mine")]
+    rows = R.rules_of(docs, spark.createDataFrame(rules, "rule_id long, raw_id long, span string, label string")).withColumn("redacted", R.redact(F.col("text"), F.col("rules"))).collect()
+    got = {r.raw_id: ([x.label for x in r.rules], r.redacted) for r in rows}
+    assert got == {
+        1: (["own", "licence 0"], "the [redacted: licence 0], my [redacted: own]"),
+        2: (["mine", "licence 0"], "[redacted: mine] here"),
+        3: (["licence 0"], None),
+    }

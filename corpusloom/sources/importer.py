@@ -56,13 +56,15 @@ def run_import(importer: Importer, spark: SparkSession, raw: DataFrame, failures
     """One run: items that are new or newer than in raw (entry, revised) are fetched.
 
     Returns the documents (source_id, entry, title, text) and the run's summary (S6): found, processed, skipped, failed and
-    the first failures. An item that fetch() gives no row for has failed.
+    the first failures. An item that fetch() gives no row for has failed. Each listed row is an item; those with one entry share its state.
     """
     listing = importer.listing(spark)
     wanted = changed_items(listing, raw)
     got = importer.fetch(wanted)
-    state = got.select("entry", F.col("error").isNull().alias("ok"))
-    items = listing.select("entry").join(wanted.select("entry", F.lit(True).alias("wanted")), "entry", "left").join(state, "entry", "left")
+    # one row for each entry, so that an entry that is listed or fetched several times doesn't multiply
+    state = got.groupBy("entry").agg(F.bool_and(F.col("error").isNull()).alias("ok"))
+    asked = wanted.groupBy("entry").agg(F.lit(True).alias("wanted"))
+    items = listing.select("entry").join(asked, "entry", "left").join(state, "entry", "left")
     status = F.when(F.col("wanted").isNull(), "skipped").when(F.col("ok"), "processed").otherwise("failed")
     summary = import_run_summary(items.select(F.lit(importer.source_id).alias("run"), F.col("entry").alias("item"), status.alias("status")), failures)
     return got.where("error is null").select(F.lit(importer.source_id).alias("source_id"), "entry", "title", "text"), summary

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import aggregates as A
 from corpusloom.operators import search as V
+from corpusloom.plans import more
 from corpusloom.sources import importer as I
 
 
@@ -91,3 +92,20 @@ def test_import_run_of_a_folder(spark, tmp_path):
     found, summary = I.run_import(I.FolderImporter("folder", str(tmp_path)), spark, raw)
     assert [tuple(r) for r in found.collect()] == [("folder", "a", None, "alpha")]
     assert tuple(summary.first()) == ("folder", 3, 1, 1, 1, ["b"])
+
+
+def test_import_of_pages_with_one_address(spark):
+    rows = [(1, "u", "<title>a</title>x"), (2, "u", "<title>b</title>y"), (3, "v", "<title>c</title>z"), (4, "w", "none"), (5, "w", "none")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("listed", F.to_timestamp(F.lit("2024-01-02")))
+    raw = spark.createDataFrame([("v",)], "entry string").withColumn("revised", F.to_timestamp(F.lit("2024-01-03")))
+    found, summary = I.run_import(I.PageImporter("web", pages), spark, raw)
+    s = summary.first()
+    assert (s.found, s.processed, s.skipped, s.failed) == (5, 2, 1, 2)
+    assert sorted(r.title for r in found.collect()) == ["a", "b"]
+
+
+def test_import_query_counts_pages_not_addresses(spark, tmp_path):
+    rows = [(3, "u", "<title>a</title>"), (4, "u", "<title>b</title>"), (5, "u", "<p>none"), (7, None, "<title>c</title>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    s = more.u06_import_run(spark, str(tmp_path)).first()
+    assert (s.found, s.processed, s.skipped, s.failed) == (4, 2, 1, 1)

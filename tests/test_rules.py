@@ -164,3 +164,22 @@ def test_equal_rules_are_one(spark):
         2: (["mine", "licence 0"], "[redacted: mine] here"),
         3: (["licence 0"], None),
     }
+
+
+def test_replayed_parts_are_whole_and_in_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "FILE_ROWS", 10)
+    x = spark.range(0, 95).withColumn("part", F.when(F.col("id") < 60, 0).when(F.col("id") < 63, 2).otherwise(3))
+    seen = []
+
+    def see(batch, n):
+        rows = batch.withColumn("file", F.input_file_name()).collect()
+        seen.append((sorted(r.id for r in rows), max(map(len, _by_file(rows)), default=0)))
+
+    q = T.replayed(x, F.col("part"), 4).writeStream.foreachBatch(see).option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [ids for ids, _ in seen] == [list(range(60)), [], [60, 61, 62], list(range(63, 95))]
+    assert max(most for _, most in seen) < 32
+
+
+def _by_file(rows):
+    return [[r for r in rows if r.file == f] for f in {r.file for r in rows}]

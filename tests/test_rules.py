@@ -10,6 +10,7 @@ from corpusloom.operators import filters as L
 from corpusloom.operators import privacy as R
 from corpusloom.operators import routing as Q
 from corpusloom.operators import search as V
+from corpusloom.plans import more
 from corpusloom.sources import tables as S
 from corpusloom.streaming import streams as T
 
@@ -183,3 +184,12 @@ def test_replayed_parts_are_whole_and_in_several_files(spark, tmp_path, monkeypa
 
 def _by_file(rows):
     return [[r for r in rows if r.file == f] for f in {r.file for r in rows}]
+
+
+def test_chunk_stream_writes_a_batch_by_several_tasks(spark, sf, monkeypatch):
+    monkeypatch.setattr(T, "FILE_ROWS", 20)
+    out = more.t05_chunk_stream(spark, sf)
+    files = [f.split("/batch=")[1][0] for f in out.inputFiles()]
+    assert min(files.count(n) for n in "012") > 1
+    want = S.as_chunks(S.as_documents(S.read_table(spark, sf, "documents"))).select("chunk_id", "id")
+    assert out.exceptAll(want).isEmpty() and out.count() == want.count()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +22,12 @@ def validate_triples(triples: DataFrame, types: Sequence[str], verbs: Sequence[s
 def merge_relations(triples: DataFrame, relations: DataFrame) -> DataFrame:
     """G1: one row for each (source, verb, target) with evidence and whether it is created or updated."""
     keys = ["source_node", "verb", "target_node"]
-    new = triples.groupBy(*keys).agg(F.count(F.lit(1)).alias("evidence"), F.max("confidence").alias("confidence"))
-    old = relations.select(*keys).distinct().withColumn("known", F.lit(True))
-    return new.join(old, keys, "left").withColumn("action", F.when(F.col("known"), "update").otherwise("create")).drop("known")
+    # both in one aggregation, so that nothing is sorted or joined; a key with a null is no known one
+    new = triples.select(*keys, F.lit(1).cast("long").alias("n"), "confidence", F.lit(False).alias("known"))
+    old = relations.select(*keys, F.lit(0).cast("long").alias("n"), F.lit(None).cast(triples.schema["confidence"].dataType).alias("confidence"), F.lit(True).alias("known"))
+    both = new.unionByName(old).groupBy(*keys).agg(F.sum("n").alias("evidence"), F.max("confidence").alias("confidence"), F.bool_or("known").alias("known")).where("evidence > 0")
+    known = F.col("known") & reduce(and_, [F.col(c).isNotNull() for c in keys])
+    return both.select(*keys, "evidence", "confidence", F.when(known, "update").otherwise("create").alias("action"))
 
 
 def append_evidence(triples: DataFrame, relations: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from corpusloom.functions import scalars as P
 from corpusloom.operators import chunking as C
 from corpusloom.operators import evaluation as E
 from corpusloom.operators import filters as L
+from corpusloom.operators import graph as G
 from corpusloom.operators import privacy as R
 from corpusloom.operators import routing as Q
 from corpusloom.operators import search as V
@@ -193,3 +194,13 @@ def test_chunk_stream_writes_a_batch_by_several_tasks(spark, sf, monkeypatch):
     assert min(files.count(n) for n in "012") > 1
     want = S.as_chunks(S.as_documents(S.read_table(spark, sf, "documents"))).select("chunk_id", "id")
     assert out.exceptAll(want).isEmpty() and out.count() == want.count()
+
+
+def test_relations_are_merged_without_a_join(spark):
+    rows = [(1, "is", 2, 0.5), (1, "is", 2, None), (1, "has", 2, 0.1), (None, "is", 2, 0.2), (3, "is", 4, None)]
+    t = spark.createDataFrame(rows, "source_node long, verb string, target_node long, confidence double")
+    known = t.limit(0).union(spark.createDataFrame([(1, "is", 2, 9.0), (1, "is", 2, 9.0), (None, "is", 2, 9.0), (7, "is", 7, 9.0)], t.schema))
+    out = G.merge_relations(t, known)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.source_node, r.verb, r.target_node): (r.evidence, r.confidence, r.action) for r in out.collect()}
+    assert got == {(1, "is", 2): (2, 0.5, "update"), (1, "has", 2): (1, 0.1, "create"), (None, "is", 2): (1, 0.2, "create"), (3, "is", 4): (1, None, "create")}

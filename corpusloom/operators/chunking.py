@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import count_tokens, prose_words_per_kchar
 
+#: Texts that a worker cuts at a time.
+TEXTS = 64
+
 
 def chunk_tokens(docs: DataFrame, size: int, overlap: int | None = None) -> DataFrame:
     """Windows of size tokens, overlap (a tenth by default, half at most) apart; the last one is the first to reach the end.
@@ -83,7 +86,8 @@ def chunk_budget(docs: DataFrame, cap: int, splitter: Callable[[str, int], list[
     """Each document cut to a budget of characters by a splitter of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        # a few texts at a time, so that a worker never holds the pieces of a whole batch
+        for b in (part.slice(at, TEXTS) for part in batches for at in range(0, len(part), TEXTS)):
             rows = [(i, k, t) for i, text in enumerate(b.column("text").to_pylist()) for k, t in enumerate(splitter(text or "", cap))]
             ids = b.column("id").take(pa.array([r[0] for r in rows], pa.int64()))
             yield pa.RecordBatch.from_pydict({"id": ids, "chunk_index": pa.array([r[1] for r in rows], pa.int32()), "text": pa.array([r[2] for r in rows], pa.string())})

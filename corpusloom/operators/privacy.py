@@ -35,6 +35,14 @@ MARKERS = {
     "export control": ("high", r"(?i)export[- ]controlled|subject\s+to\s+(?:the\s+)?(?:ITAR|EAR)\b|ITAR[- ]controlled|\bECCN\b\W{0,5}(?!EAR99)[0-9][A-E][0-9]{3}"),
     "confidentiality notice": ("medium", r"(?i)\b(?:company|strictly|highly)\s+confidential\b|\bvertraulich\b|\bdo\s+not\s+(?:distribute|forward|copy)\b|\bnot\s+for\s+(?:public\s+)?(?:distribution|release)\b|\binternal\s+use\s+only\b|\b(?:collaboration)[- ]internal\s+only\b|\binternal\s+to\s+the\s+collaboration\b"),
 }
+#: Words in lower case, one of which stands in each text with a marking of the family, so that others needn't be looked through.
+MARKER_WORDS = {
+    "proprietary notice": ("proprietary",),
+    "official use only": ("official", "(ouo)"),
+    "CUI banner": ("cui",),
+    "export control": ("controlled", "subject", "eccn"),
+    "confidentiality notice": ("confidential", "vertraulich", "distribut", "forward", "copy", "release", "internal"),
+}
 #: A byte of an address, and what stands after a key word without being a secret.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NOT_A_SECRET = r"(?!\[redacted|<|\*{3}|x{3}|none\b|n/?a\b|your\b|the\b|is\b|required\b|same\b|see\b|tbd\b)"
@@ -152,19 +160,25 @@ def find_markers(docs: DataFrame, families: Mapping[str, tuple[str, str]] | None
     """
     out = []
     for name, (severity, pattern) in (MARKERS if families is None else families).items():
-        spans = F.transform(pattern_spans(F.col("text"), F.lit(pattern)), lambda s, i: F.struct(F.substring("text", s["begin"] + 1, s["end"] - s["begin"]).alias("span"), s["begin"].alias("begin"), s["end"].alias("end")))
+        may = reduce(or_, [F.contains("__low", F.lit(w)) for w in MARKER_WORDS[name]]) if families is None else None
+        spans = F.transform(pattern_spans(F.col("text"), F.lit(pattern), may=may), lambda s, i: F.struct(F.substring("text", s["begin"] + 1, s["end"] - s["begin"]).alias("span"), s["begin"].alias("begin"), s["end"].alias("end")))
         squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
         named = F.transform(spans, lambda s: F.struct(F.lower(squeeze(s["span"])).alias("wording"), s.alias("at")))
-        words = F.slice(F.array_distinct(F.transform(named, lambda x: x["wording"])), 1, most)
-        first = F.transform(words, lambda w: F.get(F.filter(named, lambda x: x["wording"] == w), F.lit(0)))
+        words = lambda n: F.slice(F.array_distinct(F.transform(n, lambda x: x["wording"])), 1, most)
+        # taken up as one value, so that the matches aren't found anew for each wording
+        first = F.flatten(F.transform(F.array(named), lambda n: F.transform(words(n), lambda w: F.get(F.filter(n, lambda x: x["wording"] == w), F.lit(0)))))
         begin = lambda x: F.greatest(x["at"]["begin"] - context, F.lit(0))
         evidence = lambda x: F.left(squeeze(F.substring("text", begin(x) + 1, x["at"]["end"] + context - begin(x))), F.lit(300))
         out.append(F.transform(first, lambda x: F.struct(F.lit(name).alias("family"), F.lit(severity).alias("severity"), x["wording"].alias("wording"), x["at"]["span"].alias("span"), evidence(x).alias("evidence"))))
-    return docs.select("id", F.inline(F.flatten(F.array(*out))))
+    rows = docs.select("id", "text", F.lower("text").alias("__low")) if families is None else docs
+    return rows.select("id", F.inline(F.flatten(F.array(*out))))
+
 
+def pattern_spans(text: Column, pattern: Column, last_group: bool = False, may: Column | None = None) -> Column:
+    """(begin, end) of each match of a pattern in a text, from 0; of its last group, with which a match ends, if last_group.
 
-def pattern_spans(text: Column, pattern: Column, last_group: bool = False) -> Column:
-    """(begin, end) of each match of a pattern in a text, from 0; of its last group, with which a match ends, if last_group."""
+    may, if given, is false only for texts without a match.
+    """
     # taken from the text once, as one value, and only where there is a match at all
     held = {"between": F.split(text, pattern, -1), "found": F.regexp_extract_all(text, pattern, F.lit(0))}
     if last_group:
@@ -181,7 +195,8 @@ def pattern_spans(text: Column, pattern: Column, last_group: bool = False) -> Co
         return F.filter(F.aggregate(rows, start, add, lambda acc: acc["out"]), lambda s: s["end"] > s["begin"])
 
     once = F.array(F.struct(*[c.alias(n) for n, c in held.items()]))
-    return F.when(F.rlike(text, pattern), F.flatten(F.transform(once, spans))).otherwise(F.array().cast("array<struct<begin:int,end:int>>"))
+    some = F.rlike(text, pattern) if may is None else may & F.rlike(text, pattern)
+    return F.when(some, F.flatten(F.transform(once, spans))).otherwise(F.array().cast("array<struct<begin:int,end:int>>"))
 
 
 def find_replacements(text: Column, rules: Column | None = None, patterns: Sequence[tuple[str, str, bool]] | None = None) -> Column:

@@ -204,3 +204,24 @@ def test_relations_are_merged_without_a_join(spark):
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
     got = {(r.source_node, r.verb, r.target_node): (r.evidence, r.confidence, r.action) for r in out.collect()}
     assert got == {(1, "is", 2): (2, 0.5, "update"), (1, "has", 2): (1, 0.1, "create"), (None, "is", 2): (1, 0.2, "create"), (3, "is", 4): (1, None, "create")}
+
+
+def test_markings_are_sought_only_where_a_word_of_theirs_stands(spark):
+    texts = [
+        "Proprietary  data", "proprietary to X", "contains information that is PROPRIETARY", "considered to be proprietary", "Official\nUse Only", "an (ouo) mark", "CUI // SP", "cui // sp",
+        "export controlled", "Export-Controlled", "Subject to the ITAR", "subject to EAR", "ITAR-controlled", "ECCN: 3A001", "ECCN EAR99", "company CONFIDENTIAL", "Vertraulich", "do not distribute", "Do Not Forward",
+        "do  not copy", "not for public release", "not for distribution", "Internal use only", "collaboration-internal only", "internal to the collaboration", "nothing", "", None,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = R.find_markers(docs)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Contains(") >= len(R.MARKERS)
+    assert sorted(got.collect()) == sorted(R.find_markers(docs, R.MARKERS).collect())
+    assert {r.id for r in got.collect()} == {*range(25)} - {7, 14}
+
+
+def test_texts_are_cut_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(C, "TEXTS", 2)
+    texts = ["a. " * n for n in range(9)] + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    want = [(i, k, t) for i, x in enumerate(texts) for k, t in enumerate(C.split_to_budget(x or "", 10))]
+    assert sorted(tuple(r) for r in C.chunk_budget(docs, 10).collect()) == want

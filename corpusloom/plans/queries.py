@@ -20,6 +20,8 @@ from ..operators import joins as J
 from ..operators import privacy as R
 from ..operators import ranking as W
 from ..operators import search as V
+from ..operators.lineage import cut
+from ..operators.ranking import global_rank
 from ..sources import tables as S
 from .registry import query
 
@@ -647,8 +649,12 @@ def v09_hybrid_search(spark, d):
     # the words of a query: the first two different ones of the document with its id
     own = F.filter(F.transform(F.regexp_extract_all("text", F.lit(f"({V.TOKEN})"), 1), F.lower), lambda x: ~x.isin(*V.STOPWORDS))
     terms = docs(spark, d).join(asked.select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), F.slice(F.array_distinct(own), 1, 2).alias("terms"))
-    words = V.search_chunks_batch(S.as_chunks(S.spread(docs(spark, d))), terms).select("query_id", F.col("id").alias("chunk_id"), "score")
-    words = words.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    # queries with the same words have the same hits: each set of words is sought, and its best documents kept, once
+    sets = cut(terms.select("query_id", F.array_sort("terms").alias("terms")))
+    once = cut(sets.groupBy("terms").agg(F.min("query_id").alias("set_id")))
+    words = V.search_chunks_batch(S.as_chunks(S.spread(docs(spark, d))), once.select(F.col("set_id").alias("query_id"), "terms")).select("query_id", F.col("id").alias("chunk_id"), "score")
+    best = global_rank(words.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), 10).withColumnRenamed("query_id", "set_id")
+    words = sets.join(once, "terms").join(best, "set_id").select("query_id", "chunk_id", "score")
     found = V.search_hybrid(near, words, docs(spark, d).select(F.col("id").alias("chunk_id"), "id"), 5)
     return found.select("query_id", "id", "chunk_id", "score", "doc_rank")
 

@@ -167,3 +167,15 @@ def test_similar_nodes_without_a_join_of_vectors(spark):
         got.setdefault(r.query_id, []).append(r.chunk_id)
     wanted = {i: _near([r for r in rows if r[0] != i], v, 3, t, 0.2) for i, t, v in rows[::9] if v is not None and t is not None}
     assert got == {i: w for i, w in wanted.items() if w}
+
+
+def test_batch_search_with_a_set_of_keys_and_without(spark, monkeypatch):
+    rng = random.Random(5)
+    chunks = spark.createDataFrame([(i, i // 2, " ".join(rng.choice("red Red blue green sky sea of the long longer".split()) for _ in range(rng.randrange(1, 30)))) for i in range(80)], "chunk_id long, id long, text string")
+    queries = spark.createDataFrame([(1, ["red", "blue"]), (2, ["longer"]), (3, ["sea", "SKY", "red"]), (4, ["of", "red"]), (5, []), (6, ["absent", "sea"])], "query_id long, terms array<string>")
+    found = V.search_chunks_batch(chunks, queries)
+    assert "filter(words" in found._jdf.queryExecution().analyzed().toString()
+    few = sorted(map(tuple, found.collect()))
+    assert few == sorted(map(tuple, V.search_fulltext_batch(V.postings(chunks), queries).select(found.columns).collect())) and {r[0] for r in few} == {1, 2, 3}
+    monkeypatch.setattr(V, "MOST_KEYS", 1)
+    assert sorted(map(tuple, V.search_chunks_batch(chunks, queries).collect())) == few

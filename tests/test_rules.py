@@ -225,3 +225,9 @@ def test_texts_are_cut_a_few_at_a_time(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
     want = [(i, k, t) for i, x in enumerate(texts) for k, t in enumerate(C.split_to_budget(x or "", 10))]
     assert sorted(tuple(r) for r in C.chunk_budget(docs, 10).collect()) == want
+
+
+def test_latency_stream_reads_a_part_from_several_files(spark, sf, monkeypatch):
+    want = sorted(map(tuple, more.t07_latency_stream(spark, sf).collect()))
+    monkeypatch.setattr(T, "FILE_ROWS", 50)
+    assert sorted(map(tuple, more.t07_latency_stream(spark, sf).collect())) == want

@@ -231,3 +231,8 @@ def test_latency_stream_reads_a_part_from_several_files(spark, sf, monkeypatch):
     want = sorted(map(tuple, more.t07_latency_stream(spark, sf).collect()))
     monkeypatch.setattr(T, "FILE_ROWS", 50)
     assert sorted(map(tuple, more.t07_latency_stream(spark, sf).collect())) == want
+
+
+def test_latency_of_a_large_window_is_exact(spark):
+    calls = spark.range(40_001).select(F.timestamp_seconds(F.lit(1_704_103_200) + F.col("id") % 600).alias("ts"), F.lit("view").alias("event_type"), (F.col("id") * 7919 % 40_001).cast("double").alias("value"))
+    assert {(r.median, r.p95) for r in T.latency(calls.repartition(4)).collect()} == {(20_000.0, 38_000.0)}

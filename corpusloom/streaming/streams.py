@@ -17,8 +17,8 @@ from ..operators.ranking import latest_by
 
 #: Folders that the state of merge_latest is dealt out to by key.
 STATE_BUCKETS = 64
-#: Rows of a file of a replayed table.
-FILE_ROWS = 25_000
+#: Rows of a file of a replayed table, and bytes of its values; a part gets as many files as either asks for.
+FILE_ROWS, FILE_BYTES = 25_000, 128_000_000
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files: int = 1) -> DataFrame:
@@ -96,13 +96,15 @@ def run_to_table(stream: DataFrame, name: str = "stream") -> DataFrame:
 def replayed(rows: DataFrame, part: Column, parts: int, name: str = "arrivals") -> DataFrame:
     """A table as a stream that arrives in parts, one a batch, in order of part (from 0): rows with the same part come together.
 
-    Each part is as many files as the largest one needs at FILE_ROWS a file, so that a batch, which takes up so many files, is read and
-    written by as many tasks; files without rows make up the number.
+    Each part is as many files as the largest one needs at FILE_ROWS and FILE_BYTES a file, so that a batch, which takes up so many files,
+    is read and written by as many tasks, however long the texts are; files without rows make up the number.
     """
     spark = rows.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    sizes = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).where(F.col("part").isin(*range(parts)))
-    files = -(-(sizes.agg(F.max("n")).first()[0] or 1) // FILE_ROWS)
+    held = sum((F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.lit(8) for c, kind in rows.dtypes), F.lit(0).cast("long"))
+    sizes = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum(held).alias("b")).where(F.col("part").isin(*range(parts)))
+    most = sizes.agg(F.max("n"), F.max("b")).first()
+    files = max(-(-(x or 1) // y) for x, y in zip(most, (FILE_ROWS, FILE_BYTES), strict=True))
     for i in range(parts):
         rows.where(part == i).repartition(files).write.mode("append").parquet(path)
         for _ in range((i + 1) * files - len(spark.read.schema(rows.schema).parquet(path).inputFiles())):

@@ -236,3 +236,13 @@ def test_latency_stream_reads_a_part_from_several_files(spark, sf, monkeypatch):
 def test_latency_of_a_large_window_is_exact(spark):
     calls = spark.range(40_001).select(F.timestamp_seconds(F.lit(1_704_103_200) + F.col("id") % 600).alias("ts"), F.lit("view").alias("event_type"), (F.col("id") * 7919 % 40_001).cast("double").alias("value"))
     assert {(r.median, r.p95) for r in T.latency(calls.repartition(4)).collect()} == {(20_000.0, 38_000.0)}
+
+
+def test_replayed_parts_of_long_texts_are_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "FILE_BYTES", 50_000, raising=False)
+    x = spark.range(0, 40).withColumn("text", F.when(F.col("id") > 2, F.expr("repeat('é', 5000)")))
+    seen = []
+    see = lambda b, n: seen.append(sorted((len(f), r.id) for f in _by_file(b.withColumn("file", F.input_file_name()).collect()) for r in f))
+    T.replayed(x, F.col("id") % 2, 2).writeStream.foreachBatch(see).option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start().awaitTermination()
+    assert [sorted(i for _, i in b) for b in seen] == [list(range(0, 40, 2)), list(range(1, 40, 2))]
+    assert max(n for b in seen for n, _ in b) <= 12

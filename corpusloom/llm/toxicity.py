@@ -19,7 +19,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Set
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -171,11 +171,12 @@ class ToxicityModel:
     shift: float = 0.0
     parts: dict[bytes, float] = field(default_factory=dict)
 
-    def learn(self, words: Iterable[bytes]) -> None:
-        """Remember the parts of words."""
+    def learn(self, words: Set[bytes]) -> None:
+        """Remember the parts of words, and of these alone where others beside them would be too many."""
         new = [w for w in words if w not in self.parts]
         if len(self.parts) + len(new) > REMEMBERED:
             self.parts.clear()
+            new = list(words)
         cut = [(w, x) for w in new for x in windows(w)]
         self.parts.update(dict.fromkeys(new, 0.0))
         if cut:
@@ -196,7 +197,7 @@ class ToxicityModel:
             split = [list(sentences(t)) for t in texts[i:j]]
             words = {w for text in split for s in text for w in s}
             if any(w not in self.parts for w in words):
-                self.learn(words if len(self.parts) + len(words) > REMEMBERED else words.difference(self.parts))
+                self.learn(words)
             part = self.parts.__getitem__
             out += [self.intercept + max((sum(map(part, s)) for s in text), default=0.0) for text in split]
             i = j

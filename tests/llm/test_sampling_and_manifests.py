@@ -248,6 +248,25 @@ def test_gaps_are_tolerated(model):
     assert score("weather") < 0.3
 
 
+@pytest.mark.parametrize("most", [1, 4, 40])
+def test_words_beyond_those_remembered(model, monkeypatch, most):
+    """A worker that starts anew still has the words that a later text shares with earlier ones."""
+    _, m = model
+    rng = random.Random(5)
+    words = [*INSULTS, *("".join(rng.choice("abcdest") for _ in range(rng.randrange(2, 30))) for _ in range(60))]
+    texts = [None, "", *(" ".join(["it", "is", *rng.choices(words, k=rng.randrange(1, 9))]) for _ in range(80))]
+    fresh = lambda: toxicity.ToxicityModel(m.kernel, m.weights, m.intercept)
+    want = fresh().decisions(texts)
+    monkeypatch.setattr(toxicity, "REMEMBERED", most)
+    small = fresh()
+    for block in (1, 100, 1 << 22):
+        assert small.decisions(texts, block) == pytest.approx(want, abs=1e-6)
+    held = fresh()
+    for text in texts[2:]:
+        held.decisions([text])
+        assert len(held.parts) <= max(most, 10)  # a text has ten words at most
+
+
 def test_toxicity_edge_cases(spark, model):
     _, m = model
     got = toxicity.toxicity(frame(spark, EDGE), m)
